@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.schemas import REPEAT_PREFIX_CHARS
 
-# What separates two tokens, and the n-gram lengths of the path analyzer.
-TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+# The word rules of the standard text analysis. Letters, digits and "_" run on; some
+# marks join two letters, some two digits; an ideograph is a word; longer words are cut.
+LETTER = r"\p{L}\p{Nl}\p{M}"
+DIGIT = r"\p{Nd}"
+IDEOGRAPH = r"\p{IsHan}\p{IsHiragana}"
+LETTER_JOINT = r":.'\u00b7\u2018\u2019\u2024\u2027"
+DIGIT_JOINT = r".,;'\u2018\u2019\u2024\u2044"
+MAX_WORD = 255
+# N-gram lengths of the path analysis.
 MIN_GRAM = 2
 MAX_GRAM = 5
 
+# ASCII stands first in each class, which is the quick way out for most characters.
+WORD_LETTER = f"[a-z[{LETTER}&&[^{IDEOGRAPH}]]]"
+WORD_DIGIT = f"[0-9{DIGIT}]"
+WORD_START = f"[a-z0-9[{LETTER}{DIGIT}&&[^{IDEOGRAPH}]]]"
+WORD_PART = f"[a-z0-9_[{LETTER}{DIGIT}&&[^{IDEOGRAPH}]]]"
+JOINT = (f"(?:[{LETTER_JOINT}](?<={WORD_LETTER}.)(?={WORD_LETTER})"
+         f"|[{DIGIT_JOINT}](?<={WORD_DIGIT}.)(?={WORD_DIGIT}))")
+WORD = f"_*+{WORD_START}{WORD_PART}*+(?:{JOINT}{WORD_PART}++)*+|[{IDEOGRAPH}]"
+
 
 def is_blank(value: Column) -> Column:
     return value.isNull() | (F.trim(value) == "")
@@ -31,8 +45,16 @@ def contains_ci(text: Column, wanted: str) -> Column:
 
 def tokens(content: Column) -> Column:
     """Lower-case tokens of a text, in order, with repeats."""
-    parts = F.split(F.lower(F.coalesce(content, F.lit(""))), TOKEN_BREAK)
-    return F.filter(parts, lambda word: word != "")
+    found = F.regexp_extract_all(F.lower(F.coalesce(content, F.lit(""))), F.lit(WORD), F.lit(0))
+
+    def cut(words: Column) -> Column:
+        pieces = F.flatten(F.transform(words, lambda word: F.transform(
+            F.sequence(F.lit(1), F.length(word), F.lit(MAX_WORD)),
+            lambda start: F.substring(word, start, MAX_WORD))))
+        return F.when(F.exists(words, lambda word: F.length(word) > MAX_WORD), pieces).otherwise(words)
+
+    # The one-element array names the words, so that the text is matched once.
+    return F.transform(F.array(found), cut)[0]
 
 
 def ngrams(words: Column, low: int = MIN_GRAM, high: int = MAX_GRAM) -> Column:
@@ -47,14 +69,11 @@ def ngrams(words: Column, low: int = MIN_GRAM, high: int = MAX_GRAM) -> Column:
     return F.array_distinct(F.flatten(F.transform(long_enough, grams_of)))
 
 
-def query_tokens(text: str) -> list[str]:
-    """``tokens`` of a search keyword, known while the plan is built."""
-    return sorted({word for word in re.split(r"[\W_]+", text.lower()) if word})
-
-
-def query_ngrams(text: str, low: int = MIN_GRAM, high: int = MAX_GRAM) -> list[str]:
-    return sorted({word[i:i + size] for word in query_tokens(text)
-                   for size in range(low, high + 1) for i in range(len(word) - size + 1)})
+def query_terms(spark: SparkSession, keyword: str, grams: bool = False) -> list[str]:
+    """Distinct tokens, or n-grams, of a search keyword by the same analysis, as plain values."""
+    words = tokens(F.lit(keyword))
+    analyzed = spark.range(1).select(ngrams(words) if grams else F.array_distinct(words))
+    return sorted(analyzed.first()[0])
 
 
 def burst_message(threshold: int, window_seconds: int, source: Column, content: Column) -> Column:

@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import contains_ci, ngrams, query_ngrams, query_tokens, tokens
+from emberlog.functions.text import contains_ci, ngrams, query_terms, tokens
 from emberlog.functions.times import at, parse, to_second
 from emberlog.schemas import PAGE_SIZE
 from emberlog.sources.tables import between_closed, between_dates
 
 CONTENT, NGRAM = "content", "content.ngram"
+TERM_BUCKETS = 16
 
 
 def given(value: str | None) -> str | None:
@@ -64,13 +65,25 @@ def matching_ids(terms: DataFrame, keyword: str, mode: str = "token_any") -> Dat
 
     ``token_any``: a whole word. ``ngram_any``: any n-gram, as an n-gram analyzed query matches.
     """
-    word = (F.col("field") == CONTENT) & F.col("term").isin(*query_tokens(keyword))
-    if mode == "token_any":
-        return terms.filter(word).select("id")
-    if mode != "ngram_any":
+    if mode not in ("token_any", "ngram_any"):
         raise ValueError(f"unknown search mode {mode!r}")
-    gram = (F.col("field") == NGRAM) & F.col("term").isin(*query_ngrams(keyword))
-    return terms.filter(word | gram).select("id")
+    found = _postings(terms, CONTENT, query_terms(terms.sparkSession, keyword))
+    if mode == "ngram_any":
+        found = found.unionByName(
+            _postings(terms, NGRAM, query_terms(terms.sparkSession, keyword, grams=True)))
+    return found
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _postings(terms: DataFrame, field: str, wanted: list[str]) -> DataFrame:
+    """Ids of the postings of the wanted terms; stored postings are pruned to the terms' buckets."""
+    found = terms.filter((F.col("field") == field) & F.col("term").isin(*wanted))
+    if "term_bucket" in terms.columns:
+        found = found.filter(F.col("term_bucket").isin(*[term_bucket(F.lit(term)) for term in wanted]))
+    return found.select("id")
 
 
 def search_index(documents: DataFrame, terms: DataFrame, keyword: str | None = None,

@@ -47,9 +47,19 @@ HOURLY = """SELECT CAST(created_at AS DATE) AS log_date, CAST(hour(created_at) A
 
 STATS = LOGS + f", stats AS ({HOURLY.format(rows='logs')})"
 
-TOKENS = DOC_LOGS + r""", tokens AS (
-  SELECT id, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) AS term FROM doc_logs),
-words AS (SELECT id, term FROM tokens WHERE term <> '')"""
+# Words run on over marks that join two letters or two digits. A private-use character is put behind
+# every such mark; two passes reach the marks that share a neighbour.
+LETTERS, DIGITS = r"\p{L}\p{Nl}\p{M}", r"\p{Nd}"
+LETTER_MARKS, DIGIT_MARKS = r":.''\x{b7}\x{2018}\x{2019}\x{2024}\x{2027}", r".,;''\x{2018}\x{2019}\x{2024}\x{2044}"
+JOINED = "lower(content)"
+for run, marks in ((LETTERS, LETTER_MARKS), (DIGITS, DIGIT_MARKS)):
+    for _ in range(2):
+        JOINED = rf"regexp_replace({JOINED}, '([{run}])([{marks}])([{run}])', '\1\2' || chr(57344) || '\3', 'g')"
+
+TOKENS = DOC_LOGS + rf""", joined AS (SELECT id, {JOINED} AS body FROM doc_logs),
+found AS (SELECT id, unnest(regexp_extract_all(body,
+  '(?:[{LETTERS}{DIGITS}_]|[{LETTER_MARKS};,\x{{2044}}]\x{{E000}})+')) AS term FROM joined),
+words AS (SELECT id, replace(term, chr(57344), '') AS term FROM found WHERE ltrim(term, '_') <> '')"""
 
 LEVEL_OF_LINE = """CASE WHEN contains({c}, 'ERROR') THEN 'ERROR' WHEN contains({c}, 'WARN') THEN 'WARN'
   WHEN contains({c}, 'DEBUG') THEN 'DEBUG' ELSE 'INFO' END"""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from emberlog.functions.times import at, log_date, on, parse
 from emberlog.operators.archive import with_storage_columns
-from emberlog.operators.search import index_documents, index_terms
+from emberlog.operators.search import index_documents, index_terms, term_bucket
 from emberlog.schemas import (ALERT_SCHEMA, ARCHIVE_SCHEMA, LOGS_SCHEMA, RETENTION_DAYS,
                               STATISTICS_KEYS, STATISTICS_SCHEMA)
 
@@ -99,7 +99,7 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, ALERT_SCHEMA).drop("load_id")
 
 
-TERMS_SCHEMA = "term string, id string, field string, load_id string"
+TERMS_SCHEMA = "term string, id string, field string, term_bucket int, load_id string"
 DOCUMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("content", T.StringType()), T.StructField("log_level", T.StringType()),
@@ -107,15 +107,16 @@ DOCUMENTS_SCHEMA = T.StructType([
 
 
 def index_logs(logs: DataFrame, path: str, load_id: str | None = None, with_ngrams: bool = True) -> str:
-    """Add readable logs to the search index. Postings are range-sorted by term, with the document
-    id behind it, so a frequent term is spread and a searched one is found by file statistics."""
+    """Add readable logs to the search index. Postings lie in buckets by term and are sorted within
+    a file, so a search reads few of them; rebalancing gives a large bucket several writers."""
     documents = index_documents(logs.withColumn("log_date", log_date(F.col("created_at"))))
     load = _write(documents, f"{path}/documents", load_id, "timestamp")
     (index_terms(documents, with_ngrams)
-     .repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term")
-     .withColumn("load_id", F.lit(load))
+     .withColumns({"term_bucket": term_bucket(F.col("term")), "load_id": F.lit(load)})
+     .hint("rebalance", F.col("field"), F.col("term_bucket"))
+     .sortWithinPartitions("field", "term_bucket", "term")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("field", "load_id").parquet(f"{path}/terms"))
+     .partitionBy("field", "term_bucket", "load_id").parquet(f"{path}/terms"))
     return load
 
 

@@ -67,10 +67,14 @@ def test_multiline_text_is_never_taken_for_gzip(spark):
 def test_tokens_and_ngrams(spark):
     assert evaluate(spark, ["Disk-full: /var/LOG 97%", "", None], text.tokens) == [
         ["disk", "full", "var", "log", "97"], [], []]
+    assert evaluate(spark, ["from 192.168.0.1: can't open user_id=a.b.c 1,000;5 a.1 x:y _ __a 3. 4"], text.tokens) == [
+        ["from", "192.168.0.1", "can't", "open", "user_id", "a.b.c", "1,000;5", "a", "1", "x:y", "__a", "3", "4"]]
+    assert evaluate(spark, ["로그 기록 日本 カタ ひ"], text.tokens) == [["로그", "기록", "日", "本", "カタ", "ひ"]]
+    assert evaluate(spark, ["x" * 600 + " y"], text.tokens) == [["x" * 255, "x" * 255, "x" * 90, "y"]]
     grams = evaluate(spark, ["abc a abc"], lambda c: text.ngrams(text.tokens(c)))[0]
     assert sorted(grams) == ["ab", "abc", "bc"]
-    assert text.query_tokens("Disk-full disk") == ["disk", "full"]
-    assert text.query_ngrams("abc") == ["ab", "abc", "bc"]
+    assert text.query_terms(spark, "Disk-full disk") == ["disk", "full"]
+    assert text.query_terms(spark, "abc", grams=True) == ["ab", "abc", "bc"]
 
 
 def test_error_rate_rounds_half_up_and_handles_zero(spark):

@@ -18,9 +18,10 @@ def level_rank(level: Column) -> Column:
     return ranked.otherwise(F.lit(0))
 
 
-def rank_of(level: str | None) -> int:
-    """``level_rank`` of a parameter, known while the plan is built."""
-    return LEVEL_RANKS.get((level or "").upper(), 0)
+def levels_from(minimum: str | None) -> list[str] | None:
+    """Levels ranked at least like ``minimum``; None where that is every level, unknown ones too."""
+    least = LEVEL_RANKS.get((minimum or "").upper(), 0)
+    return [level for level, rank in LEVEL_RANKS.items() if rank >= least] if least else None
 
 
 def derive_level(line: Column) -> Column:

@@ -29,8 +29,9 @@ JOINT = (f"(?:[{LETTER_JOINT}](?<={WORD_LETTER}.)(?={WORD_LETTER})"
 WORD = f"_*+{WORD_START}{WORD_PART}*+(?:{JOINT}{WORD_PART}++)*+|[{IDEOGRAPH}]"
 
 
-def is_blank(value: Column) -> Column:
-    return value.isNull() | (F.trim(value) == "")
+def unless_blank(value: Column, default: str) -> Column:
+    """``value``, or ``default`` where it is null or blank."""
+    return F.coalesce(F.when(F.trim(value) != "", value), F.lit(default))
 
 
 def normalize_message(content: Column, chars: int = REPEAT_PREFIX_CHARS) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.compression import compress, should_compress
-from emberlog.functions.levels import known_level, level_rank, rank_of
+from emberlog.functions.levels import known_level, levels_from
 from emberlog.functions.measures import original_size
-from emberlog.functions.text import is_blank
+from emberlog.functions.text import unless_blank
 from emberlog.functions.times import at, instant, log_date
 from emberlog.schemas import (BYPASS_SOURCE, DEFAULT_LEVEL, DEFAULT_SOURCE, LEVELS,
                               MIN_COMPRESS_CHARS)
@@ -20,8 +20,8 @@ def normalize_events(events: DataFrame, as_of: datetime | str) -> DataFrame:
     """Fill a missing time, level or source; values that are there stay as they are."""
     return events.withColumns({
         "timestamp": F.coalesce(F.col("timestamp"), at(as_of)),
-        "logLevel": F.when(is_blank(F.col("logLevel")), F.lit(DEFAULT_LEVEL)).otherwise(F.col("logLevel")),
-        "source": F.when(is_blank(F.col("source")), F.lit(DEFAULT_SOURCE)).otherwise(F.col("source")),
+        "logLevel": unless_blank(F.col("logLevel"), DEFAULT_LEVEL),
+        "source": unless_blank(F.col("source"), DEFAULT_SOURCE),
     })
 
 
@@ -54,11 +54,12 @@ def filter_events(events: DataFrame, min_level: str = DEFAULT_LEVEL, excluded_so
     ``excluded_sources`` is a comma list compared exactly, blanks included. One source used for
     performance tests always passes.
     """
-    keep = level_rank(F.col(level)) >= rank_of(min_level)
+    passing = levels_from(min_level)
+    keep = F.lit(True) if passing is None else F.upper(level).isin(*passing)
     if excluded_sources:
         excluded = F.coalesce(F.col(source).isin(*excluded_sources.split(",")), F.lit(False))
         keep = ~excluded & keep
-    return events.filter(F.coalesce(F.col(source) == BYPASS_SOURCE, F.lit(False)) | keep)
+    return events.filter(keep | (F.col(source) == BYPASS_SOURCE))
 
 
 def ingest_events(events: DataFrame, as_of: datetime | str, min_level: str | None = DEFAULT_LEVEL,
@@ -92,14 +93,14 @@ def dedup_events(events: DataFrame, key: str = "id", delay: str | None = None,
 
 
 def to_log_rows(events: DataFrame, as_of: datetime | str, min_chars: int = MIN_COMPRESS_CHARS,
-                enabled: bool = True) -> DataFrame:
+                enabled: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events with an ``id`` as rows of the log table: sizes taken, long bodies compressed."""
     body = F.col("content")
     rows = events.select(
         "id", "source", body, F.col("logLevel").alias("log_level"),
         F.coalesce(F.col("timestamp"), at(as_of)).alias("created_at"),
         should_compress(body, min_chars, enabled).alias("compressed"),
-        original_size(body).alias("original_size"))
+        original_size(body).alias("original_size"), *keep)
     return stored_sizes(rows.withColumn("content", compress(body, F.col("compressed"))))
 
 

@@ -58,13 +58,16 @@ def wire_events(logs: DataFrame) -> DataFrame:
 
 def gappy_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with a missing time, a blank or missing level, a blank or missing source."""
-    logs = logs_of(spark, folder)
-    level, source = F.col("log_level"), F.col("source")
-    return logs.select(
-        "id",
-        F.when(source == "svc-3", "  ").when(source != "svc-7", source).alias("source"), "content",
-        F.when(level == "trace", "").when(level != "DEBUG", level).alias("logLevel"),
-        F.when(level != "WARN", F.col("created_at")).alias("timestamp"))
+    events = sources.table(spark, folder, "events")
+    slot, kind = F.col("user_id") % 10, F.col("event_type")
+    source = F.concat(F.lit("svc-"), slot.cast("string"))
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.when(slot == 3, "  ").when(slot != 7, source).alias("source"),
+        F.concat(kind, F.lit(" event while handling request: "), F.col("props")).alias("content"),
+        F.when(kind == "error", "ERROR").when(kind == "purchase", "WARN").when(kind == "signup", "")
+        .when(kind == "view", "INFO").alias("logLevel"),
+        F.when(kind != "purchase", F.col("ts")).alias("timestamp"))
 
 
 def line_logs(spark: SparkSession, folder: str) -> DataFrame:

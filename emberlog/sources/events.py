@@ -12,24 +12,32 @@ CORRUPT = "_corrupt_record"
 DECODED = T.StructType(EVENT_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
 
 
-def _parsed(messages: DataFrame, value: str) -> DataFrame:
+def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
+    """All messages as events; ``rejected`` holds the text of a malformed one and is null otherwise."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    event = F.from_json(F.col(value).cast("string"), DECODED, options)
-    return messages.select(F.col(value).cast("string").alias("raw"), event.alias("event"))
+    raw = F.col(value).cast("string")
+    event = F.from_json(raw, DECODED, options)
+    # Filters do not move below a generator: without it each of them would parse the text again.
+    parsed = messages.select(raw.alias("raw"), F.inline(F.array(F.struct(event.alias("event")))))
+    bad = F.col("event").isNull() | F.col(f"event.{CORRUPT}").isNotNull()
+    return parsed.select(
+        *[F.col(f"event.{name}").alias(name) for name in EVENT_SCHEMA.names],
+        F.when(bad, F.coalesce("raw", F.lit(""))).alias("rejected"))
 
 
 def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """Well-formed messages as events. Unknown fields are ignored, missing ones are null."""
-    good = F.col("event").isNotNull() & F.col(f"event.{CORRUPT}").isNull()
-    return _parsed(messages, value).filter(good).select(
-        *[F.col(f"event.{name}").alias(name) for name in EVENT_SCHEMA.names])
+    return parse_messages(messages, value).filter(F.col("rejected").isNull()).drop("rejected")
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("rejected").isNotNull()).select(
+        F.col("rejected").alias("raw"), F.lit("malformed json").alias("reason"))
 
 
 def decode_rejects(messages: DataFrame, value: str = "value") -> DataFrame:
     """The messages ``decode_events`` leaves out."""
-    bad = F.col("event").isNull() | F.col(f"event.{CORRUPT}").isNotNull()
-    return (_parsed(messages, value).filter(bad)
-            .select("raw", F.lit("malformed json").alias("reason")))
+    return rejects(parse_messages(messages, value))
 
 
 def read_event_stream(spark: SparkSession, folder: str | None = None,

@@ -14,31 +14,31 @@ from emberlog.functions.compression import decompress
 from emberlog.operators.ingest import to_log_rows, with_event_id
 from emberlog.operators.rollup import increment_statistics
 from emberlog.sinks.tables import index_logs, write_logs, write_statistics
-from emberlog.sources.events import decode_events, decode_rejects
+from emberlog.sources.events import parse_messages, rejects
 
 
 def store_batch(logs: DataFrame, root: str, load_id: str, with_index: bool = False) -> None:
     """One load into all tables below ``root``. Repeating it replaces the same partitions."""
-    # Compressed bodies are computed once and then written and counted; lost blocks are recomputed.
-    kept = logs.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_logs(kept, f"{root}/logs", load_id)
-        write_statistics(increment_statistics(kept), f"{root}/statistics", load_id)
-        if with_index:
-            readable = kept.withColumn("content", decompress(F.col("content"), F.col("compressed")))
-            index_logs(readable, f"{root}/index", load_id)
-    finally:
-        kept.unpersist()
+    write_logs(logs, f"{root}/logs", load_id)
+    write_statistics(increment_statistics(logs), f"{root}/statistics", load_id)
+    if with_index:
+        readable = logs.withColumn("content", decompress(F.col("content"), F.col("compressed")))
+        index_logs(readable, f"{root}/index", load_id)
 
 
 def consume_batch(messages: DataFrame, root: str, load_id: str, as_of: datetime | str,
                   with_index: bool = False, with_id: Callable = with_event_id) -> None:
     """Decode, size, compress and store one batch of messages; malformed ones go to ``rejects``."""
-    events = with_id(decode_events(messages))
-    store_batch(to_log_rows(events, as_of), root, load_id, with_index)
-    (decode_rejects(messages).withColumn("load_id", F.lit(load_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("load_id").parquet(f"{root}/rejects"))
+    # Parsed and compressed once, then written and counted; lost blocks are computed again.
+    parsed = to_log_rows(with_id(parse_messages(messages)), as_of, keep=("rejected",))
+    kept = parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        store_batch(kept.filter(F.col("rejected").isNull()).drop("rejected"), root, load_id, with_index)
+        (rejects(kept).withColumn("load_id", F.lit(load_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("load_id").parquet(f"{root}/rejects"))
+    finally:
+        kept.unpersist()
 
 
 def consume_events(messages: DataFrame, root: str, checkpoint: str, as_of: datetime | str,

@@ -1,9 +1,9 @@
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from emberlog.operators import archive, rollup
-from emberlog.plans.nightly import run_archive, run_nightly
+from emberlog.plans.nightly import run_archive, run_nightly, unarchived_days
 from emberlog.schemas import LOGS_SCHEMA, STATISTICS_SCHEMA
 from emberlog.sinks import messages, tables
 
@@ -79,11 +79,15 @@ def test_archive_runs_twice_without_repeats(spark, logs, tmp_path):
     assert run_archive(spark, root, "2024-01-21 00:00:00", 10) == 100
     assert run_archive(spark, root, "2024-01-21 00:00:00", 10) == 0
     assert run_archive(spark, root, "2024-01-22 00:00:00", 10) == 10
-    stored = tables.read_archive(spark, f"{root}/archives")
+    tables.write_logs(logs((5000, "late", "x", "INFO", "2024-01-03 00:00:00")), f"{root}/logs", "late")
+    assert unarchived_days(tables.read_logs(spark, f"{root}/logs").filter("log_date < '2024-01-12'"),
+                           tables.read_archive(spark, f"{root}/archives")) == [date(2024, 1, 3)]
+    assert run_archive(spark, root, "2024-01-22 00:00:00", 10) == 1
+    stored = tables.read_archive(spark, f"{root}/archives").filter("id != 5000")
     assert stored.count() == stored.select("id").distinct().count() == 110
     long_ones = stored.filter("compressed").collect()
     assert all(r.original_size == 2000 and r.compressed_size == len(r.content) < 2000 for r in long_ones) and long_ones
-    history = archive.log_history(tables.read_logs(spark, f"{root}/logs"), stored)
+    history = archive.log_history(tables.read_logs(spark, f"{root}/logs").filter("id != 5000"), stored)
     assert history.exceptAll(month(logs)).count() == 0 and history.count() == 200
 
 

@@ -43,20 +43,46 @@ def to_local_time(ts: Column, source_zone: str = "UTC", zone: str = LOCAL_ZONE)
     return F.convert_timezone(F.lit(source_zone), F.lit(zone), ts)
 
 
+def _seconds(ts: Column) -> Column:
+    return F.extract(F.lit("SECOND"), ts)
+
+
+def _before(ts: Column, seconds: Column) -> Column:
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def to_second(ts: Column) -> Column:
-    """Cut to whole seconds, staying zone-less."""
-    return F.date_trunc("second", ts).cast("timestamp_ntz")
+    """Cut to whole seconds. Truncation functions would go through the session time zone."""
+    return _before(ts, _seconds(ts) % 1)
 
 
 def to_minute(ts: Column) -> Column:
-    return F.date_trunc("minute", ts).cast("timestamp_ntz")
+    return _before(ts, _seconds(ts))
+
+
+def on_the_hour(ts: Column) -> Column:
+    return (F.minute(ts) == 0) & (_seconds(ts) == 0)
+
+
+def at_midnight(ts: Column) -> Column:
+    return (F.hour(ts) == 0) & on_the_hour(ts)
+
+
+def iso_text(ts: Column) -> Column:
+    """ISO local date-time, as in ``2024-01-01T10:00:00.5``."""
+    return F.translate(ts.cast("string"), " ", "T")
+
+
+def plain_text(ts: Column) -> Column:
+    """Date and time to the second, as in ``2024-01-01 10:00:00``."""
+    return F.substring(ts.cast("string"), 1, 19)
 
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp."""
     seconds = (F.unix_date(ts.cast("date")).cast("long") * 86400
                + F.hour(ts) * 3600 + F.minute(ts) * 60)
-    fraction = F.extract(F.lit("SECOND"), ts) * MICROS
+    fraction = _seconds(ts) * MICROS
     return seconds * MICROS + fraction.cast("long")
 
 

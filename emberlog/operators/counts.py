@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.levels import known_level
 from emberlog.functions.measures import error_rate, percent
-from emberlog.functions.times import at, day_bounds, hour_label, log_date, log_hour, on, parse
+from emberlog.functions.times import (at, at_midnight, day_bounds, hour_label, log_date, log_hour, on,
+                                     on_the_hour, parse)
 from emberlog.schemas import LEVELS, RECENT_ERRORS
 from emberlog.sources.tables import between_closed, scan_day_logs
 
@@ -78,8 +79,7 @@ def hourly_stats(logs: DataFrame, day: date | str, closed: bool = False) -> Data
     if closed:
         start, end = day_bounds(day)
         own = F.when(created < at(end), log_hour(created))
-        on_the_hour = (created == F.date_trunc("hour", created)) & (created > at(start))
-        before = F.when(on_the_hour, ((log_hour(created) + 23) % 24).cast("int"))
+        before = F.when(on_the_hour(created) & (created > at(start)), ((log_hour(created) + 23) % 24).cast("int"))
         hours = F.filter(F.array(own, before), lambda hour: hour.isNotNull())
         rows = rows.select("log_level", F.explode(hours).alias("hour"))
     else:
@@ -144,8 +144,7 @@ def error_trends(logs: DataFrame, start: datetime | str, end: datetime | str,
     own = log_date(created)
     days = F.array(own)
     if closed:
-        midnight = created == F.date_trunc("day", created)
-        days = F.when(midnight, F.array(own, F.date_sub(own, 1))).otherwise(days)
+        days = F.when(at_midnight(created), F.array(own, F.date_sub(own, 1))).otherwise(days)
     counted = (rows.select("log_level", F.explode(days).alias("log_date")).groupBy("log_date")
                .agg(F.count("*").alias("total_logs"),
                     F.count_if(F.col("log_level") == "ERROR").alias("error_logs")))
@@ -173,6 +172,11 @@ def level_share(counts: DataFrame) -> DataFrame:
         F.floor(percent(F.col("value"), F.col("known")) + 0.5).cast("int").alias("percent"))
 
 
+def streaming_level_counters(logs: DataFrame) -> DataFrame:
+    """``level_counters`` of a stream, without the total; run it in complete mode."""
+    return logs.groupBy(known_level(F.col("log_level")).alias("level")).agg(F.count("*").alias("processed"))
+
+
 def distinct_sources(logs: DataFrame) -> DataFrame:
     return logs.select("source").distinct()
 

@@ -139,14 +139,19 @@ def repeated_error(logs: DataFrame, threshold: int = REPEAT_THRESHOLD,
                 .agg(F.max_by(log, "position").alias("trigger_log"),
                      F.reverse(F.array_sort(F.collect_list(F.struct("position", log.alias("log")))))
                      .alias("found")))
+    listed = detected.withColumn("related_logs", F.transform("found", lambda item: item["log"]))
+    return detection_rows(listed, window_seconds, prefix_chars, severity)
+
+
+def detection_rows(found: DataFrame, window_seconds: int, prefix_chars: int, severity: str) -> DataFrame:
+    """Pattern results from (``repeat_count``, ``trigger_log``, ``related_logs``)."""
     pattern = normalize_message(F.col("trigger_log.content"), prefix_chars)
-    return detected.select(
+    return found.select(
         F.lit("repeated-error").alias("pattern_id"), F.lit("Repeated error").alias("pattern_name"),
         F.lit(True).alias("detected"), F.lit(severity).alias("severity"),
         repeat_message(F.col("trigger_log.source"), window_seconds, F.col("repeat_count"),
                        F.col("trigger_log.content")).alias("message"),
-        F.col("trigger_log.created_at").alias("detected_at"), "trigger_log",
-        F.transform("found", lambda item: item["log"]).alias("related_logs"),
+        F.col("trigger_log.created_at").alias("detected_at"), "trigger_log", "related_logs",
         F.struct(F.col("trigger_log.source").alias("source"), pattern.alias("message_pattern"),
                  F.col("repeat_count").cast("long").alias("repeat_count"),
                  F.lit(window_seconds).cast("long").alias("time_window_seconds"))

@@ -515,5 +515,8 @@ put("streaming_rollup", f"""WITH {STATS} SELECT * FROM stats
 put("streaming_minute_metrics", f"""WITH {LOGS}, minutes AS (SELECT CAST(date_trunc('minute', created_at) AS TIMESTAMP)
   AS minute, count(*) AS processed, count(*) FILTER (log_level = 'ERROR') AS errors FROM logs GROUP BY 1)
   SELECT * FROM minutes WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(created_at) FROM logs)""")
-put("streaming_error_burst", f"{BURST_ALL} SELECT scope, id, created_at FROM fired")
-put("streaming_repeated_error", f"{REPEATS} SELECT id, created_at, repeat_count FROM detected")
+put("streaming_error_burst", ORACLE_SQL["error_burst"])
+put("streaming_repeated_error", ORACLE_SQL["repeated_error"])
+put("streaming_level_counters", f"""WITH {LOGS} SELECT {KNOWN.format(c='log_level')} AS level, count(*) AS processed
+  FROM logs GROUP BY 1""")
+put("search_stored", ORACLE_SQL["search_index_tokens"])

@@ -12,7 +12,7 @@ from emberlog.functions import levels, measures, text, times
 from emberlog.functions.compression import (compress, decompress, is_compressed, should_compress,
                                             utf16_length)
 from emberlog.operators import archive, counts, ingest, metrics, patterns, rollup, search
-from emberlog.plans import dashboard, nightly
+from emberlog.plans import dashboard, nightly, searching
 from emberlog.plans.params import (ARCHIVE_DAYS, AS_OF, BURST, COUNT_END, COUNT_START, DAY,
                                    DENSE_BURST, DOC_KEYWORD, KEYWORD, REPEAT_THRESHOLD,
                                    REPEAT_WINDOW, RETENTION_DAYS, STATUS_AS_OF)
@@ -891,7 +891,10 @@ def sliding_burst(spark, folder):
 
 @query
 def repeated_error(spark, folder):
-    found = patterns.repeated_error(logs_of(spark, folder), REPEAT_THRESHOLD, REPEAT_WINDOW)
+    return detection_summary(patterns.repeated_error(logs_of(spark, folder), REPEAT_THRESHOLD, REPEAT_WINDOW))
+
+
+def detection_summary(found):
     return found.select(
         "pattern_id", "severity", "message", "detected_at", F.col("trigger_log.id").alias("trigger_id"),
         F.size("related_logs").alias("related"), F.col("additional_data.source").alias("source"),
@@ -944,4 +947,25 @@ def streaming_repeated_error(spark, folder):
     found = detectors.stream_repeated_error(log_stream(spark, folder), "0 seconds",
                                             REPEAT_THRESHOLD, REPEAT_WINDOW)
     consume.drain(found, out, f"{out}-state")
+    return detection_summary(spark.read.parquet(out))
+
+
+@query
+def streaming_level_counters(spark, folder):
+    """Counters of a stream, as its last complete result."""
+    out = scratch_path(spark, "counters")
+    counters = counts.streaming_level_counters(log_stream(spark, folder))
+    (counters.writeStream.outputMode("complete").trigger(availableNow=True)
+     .option("checkpointLocation", f"{out}-state")
+     .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination())
     return spark.read.parquet(out)
+
+
+@query
+def search_stored(spark, folder):
+    """Search over stored tables, through the index because there is one."""
+    root = scratch_path(spark, "store")
+    docs = doc_logs_of(spark, folder)
+    rows = ingest.to_log_rows(docs.withColumnsRenamed({"log_level": "logLevel", "created_at": "timestamp"}), AS_OF)
+    consume.store_batch(rows, root, "first", with_index=True)
+    return searching.search_store(spark, root, keyword=DOC_KEYWORD, source="src1")

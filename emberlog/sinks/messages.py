@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.times import iso_text, plain_text
 from emberlog.schemas import EVENT_SCHEMA
 
-# The export's columns, and how the wire and the export write a time.
+# The export's columns.
 EXPORT_COLUMNS = {"id": "ID", "created_at": "Timestamp", "source": "Source", "log_level": "Level",
                   "content": "Content"}
-WIRE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-EXPORT_TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 def publish_events(events: DataFrame) -> DataFrame:
     """Events as messages: the source is the key, so one source keeps its order; JSON is the value."""
-    wire = events.withColumn("timestamp", F.date_format("timestamp", WIRE_TIME))
+    wire = events.withColumn("timestamp", iso_text(F.col("timestamp")))
     return wire.select(F.col("source").alias("key"),
                        F.to_json(F.struct(*EVENT_SCHEMA.names)).alias("value"))
 
@@ -32,7 +31,7 @@ def write_messages(messages: DataFrame, folder: str | None = None, servers: str
 
 
 def export_rows(logs: DataFrame) -> DataFrame:
-    shown = logs.withColumn("created_at", F.date_format("created_at", EXPORT_TIME))
+    shown = logs.withColumn("created_at", plain_text(F.col("created_at")))
     return shown.select(*[F.col(name).alias(title) for name, title in EXPORT_COLUMNS.items()])
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,15 @@ from emberlog.functions.levels import is_error, is_exact_error
 from emberlog.functions.text import normalize_message
 from emberlog.functions.times import MICROS, from_micros, instant, micros
 from emberlog.operators.ordered import row_key
+from emberlog.operators.patterns import detection_rows
 from emberlog.schemas import (BURST_COOLDOWN_SECONDS, BURST_THRESHOLD, BURST_WINDOW_SECONDS,
-                              REPEAT_PREFIX_CHARS, REPEAT_THRESHOLD, REPEAT_WINDOW_SECONDS)
+                              REPEAT_PREFIX_CHARS, REPEAT_RELATED_LOGS, REPEAT_THRESHOLD,
+                              REPEAT_WINDOW_SECONDS)
 from emberlog.session import ROCKSDB, STATE_STORE
 
+LOG_COLUMNS = ["id", "source", "content", "us"]
+BURST_COLUMNS = ["scope", "id", "source", "content", "log_level", "us"]
+
 
 def use_state_store(spark: SparkSession) -> None:
     """Stateful processors keep their state in RocksDB, checkpointed with the stream."""
@@ -59,7 +66,7 @@ class BurstProcessor(ExpiringProcessor):
         known = self.state.get() if self.state.exists() else None
         anchor, count, alerted = known if known else (None, 0, None)
         fired = []
-        for us, log_id in zip(errors["us"].tolist(), errors["id"].tolist()):
+        for index, us in enumerate(errors["us"].tolist()):
             if anchor is not None and us < anchor:
                 continue  # older than the open window
             if anchor is None or us - anchor > self.window_us:
@@ -68,85 +75,98 @@ class BurstProcessor(ExpiringProcessor):
             count += 1
             if count == self.threshold and (alerted is None or us - alerted > self.cooldown_us):
                 alerted = us
-                fired.append((key[0], log_id, us))
+                fired.append(index)
         self.state.update((anchor, count, alerted))
         self.keep_until(max(anchor, int(errors["us"].iloc[-1])))
-        yield pd.DataFrame(fired, columns=["scope", "id", "us"])
+        yield errors.iloc[fired].assign(scope=key[0])[BURST_COLUMNS]
 
 
 class RepeatProcessor(ExpiringProcessor):
-    """State of one (source, message): times of the errors in the trailing window, last report."""
+    """State of one (source, message): packed times of the errors in the trailing window, the newest
+    logs in full, and the last report."""
 
-    def __init__(self, threshold: int, window_us: int):
-        self.threshold, self.window_us = threshold, window_us
+    def __init__(self, threshold: int, window_us: int, related: int):
+        self.threshold, self.window_us, self.related = threshold, window_us, related
         self.keep_us = window_us
 
     def forget(self) -> None:
-        self.recent.clear()
-        self.last.clear()
+        self.state.clear()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us bigint")
-        self.last = handle.getValueState("last", "us bigint")
         self.handle = handle
+        self.state = handle.getValueState("repeats", "times binary, newest string, reported bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        packed, newest, reported = self.state.get() if self.state.exists() else (b"", "[]", None)
+        before = np.frombuffer(bytes(packed), dtype="<i8")
         errors = pd.concat(list(rows)).sort_values(["us", "id"])
-        recent = [row[0] for row in self.recent.get()] if self.recent.exists() else []
-        last = self.last.get()[0] if self.last.exists() else None
-        found, first = [], 0
-        for us, log_id in zip(errors["us"].tolist(), errors["id"].tolist()):
-            if recent and us < recent[-1]:
-                continue  # older than what has been counted
-            recent.append(us)
-            while recent[first] < us - self.window_us:
-                first += 1
-            repeats = len(recent) - first
-            if repeats >= self.threshold and (last is None or us - last > self.window_us // 2):
-                last = us
-                found.append((log_id, us, repeats))
-        self.recent.put([(us,) for us in recent[first:]])
-        if last is not None:
-            self.last.update((last,))
-        self.keep_until(recent[-1])
-        yield pd.DataFrame(found, columns=["id", "us", "repeat_count"])
+        if len(before):
+            errors = errors[errors["us"] >= before[-1]]  # what is older has been counted or dropped
+        if errors.empty:
+            return
+        times = np.concatenate([before, errors["us"].to_numpy(dtype="<i8")])
+        # Full logs are known for the end of the old times and for all new ones.
+        logs = json.loads(newest) + errors[LOG_COLUMNS].values.tolist()
+        offset = len(times) - len(logs)
+        repeats = np.arange(1, len(times) + 1) - np.searchsorted(times, times - self.window_us, "left")
+        found = []
+        for index in range(len(before), len(times)):
+            us, count = int(times[index]), int(repeats[index])
+            if count >= self.threshold and (reported is None or us - reported > self.window_us // 2):
+                reported = us
+                first = max(index - min(count, self.related) + 1, 0)
+                found.append((count, [tuple(log) for log in reversed(logs[first - offset:index + 1 - offset])]))
+        kept = times[np.searchsorted(times, times[-1] - self.window_us, "left"):]
+        self.state.update((kept.tobytes(), json.dumps(logs[-self.related:]), reported))
+        self.keep_until(int(times[-1]))
+        yield pd.DataFrame(found, columns=["repeat_count", "logs"])
 
 
 def stream_error_burst(logs: DataFrame, delay: str, threshold: int = BURST_THRESHOLD,
                        window_seconds: int = BURST_WINDOW_SECONDS,
                        cooldown_seconds: int = BURST_COOLDOWN_SECONDS,
                        scope: str | None = "source") -> DataFrame:
-    """``error_burst`` on a stream: (scope, id, created_at) of the errors that raise an alert.
+    """``error_burst`` on a stream: the errors that raise an alert, with their scope.
 
     Errors are taken in time order within a micro-batch; one older than the open window is ignored.
     """
     if threshold < 2:
         raise ValueError("threshold must be at least 2: a window's first error never alerts")
     use_state_store(logs.sparkSession)
-    scope_key = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("all")
     created = F.col("created_at")
+    scope_key = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("all")
     errors = (logs.filter(is_error(F.col("log_level")))
-              .select(scope_key.alias("scope"), "id", micros(created).alias("us"),
-                      instant(created).alias("at")).withWatermark("at", delay))
+              .select(scope_key.alias("scope"), "id", "source", "content", "log_level",
+                      micros(created).alias("us"), instant(created).alias("at"))
+              .withWatermark("at", delay))
     fired = errors.groupBy("scope").transformWithStateInPandas(
         BurstProcessor(threshold, window_seconds * MICROS, cooldown_seconds * MICROS),
-        outputStructType="scope string, id bigint, us bigint", outputMode="Append", timeMode="EventTime")
-    return fired.select("scope", "id", from_micros(F.col("us")).alias("created_at"))
+        outputStructType="scope string, id bigint, source string, content string, log_level string, us bigint",
+        outputMode="Append", timeMode="EventTime")
+    return fired.withColumn("created_at", from_micros(F.col("us"))).drop("us")
 
 
 def stream_repeated_error(logs: DataFrame, delay: str, threshold: int = REPEAT_THRESHOLD,
                           window_seconds: int = REPEAT_WINDOW_SECONDS,
-                          prefix_chars: int = REPEAT_PREFIX_CHARS) -> DataFrame:
-    """``repeated_error`` on a stream: (id, created_at, repeat_count) of the reported errors."""
+                          prefix_chars: int = REPEAT_PREFIX_CHARS, related: int = REPEAT_RELATED_LOGS,
+                          severity: str = "WARNING") -> DataFrame:
+    """``repeated_error`` on a stream, in the same layout."""
     use_state_store(logs.sparkSession)
     created = F.col("created_at")
+    prefix = normalize_message(F.col("content"), prefix_chars)
     errors = (logs.filter(is_exact_error(F.col("log_level")))
-              .select("id", "source", normalize_message(F.col("content"), prefix_chars).alias("prefix"),
+              .withColumn("prefix", prefix)
+              .select(row_key("source", "prefix").alias("key"), "id", "source", "content",
                       micros(created).alias("us"), instant(created).alias("at"))
-              .select(row_key("source", "prefix").alias("key"), "id", "us", "at")
               .withWatermark("at", delay))
     found = errors.groupBy("key").transformWithStateInPandas(
-        RepeatProcessor(threshold, window_seconds * MICROS),
-        outputStructType="id bigint, us bigint, repeat_count bigint",
+        RepeatProcessor(threshold, window_seconds * MICROS, related),
+        outputStructType="repeat_count bigint, "
+                         "logs array<struct<id: bigint, source: string, content: string, us: bigint>>",
         outputMode="Append", timeMode="EventTime")
-    return found.select("id", from_micros(F.col("us")).alias("created_at"), "repeat_count")
+    full = F.transform("logs", lambda log: F.struct(
+        log["id"].alias("id"), log["source"].alias("source"), log["content"].alias("content"),
+        F.lit("ERROR").alias("log_level"), from_micros(log["us"]).alias("created_at")))
+    return detection_rows(found.select("repeat_count", full.alias("related_logs"))
+                          .withColumn("trigger_log", F.col("related_logs")[0]),
+                          window_seconds, prefix_chars, severity)

@@ -10,7 +10,7 @@ from emberlog.sinks import tables
 from emberlog.sources.events import decode_events, read_event_stream
 from emberlog.sources.files import lines_to_events
 from emberlog.sources.tail import tail_log_files
-from emberlog.streaming import consume, detectors
+from emberlog.streaming import consume, detectors, service
 
 START = datetime(2024, 1, 1)
 NOW = "2024-05-01 12:00:00"
@@ -20,9 +20,9 @@ def stream_of(spark, folder, *batches):
     """A stream that delivers each batch of log rows as one micro-batch, in order."""
     for number, rows in enumerate(batches):
         target = f"{folder}/part-{number}"
-        spark.createDataFrame(rows, DETECTION_LOG).coalesce(1).write.json(target)
+        spark.createDataFrame(rows, DETECTION_LOG).coalesce(1).write.parquet(target)
     return (spark.readStream.schema(DETECTION_LOG).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", "true").json(str(folder)))
+            .option("recursiveFileLookup", "true").parquet(str(folder)))
 
 
 def drained(spark, stream, tmp_path, name="out"):
@@ -77,8 +77,33 @@ def test_streamed_bursts_equal_the_batch(spark, logs, tmp_path, scope):
 def test_streamed_repeats_equal_the_batch(spark, tmp_path):
     rows = random_logs(12)
     found = detectors.stream_repeated_error(stream_of(spark, tmp_path / "in", *in_thirds(rows)), "1 minute", 3, 40)
-    expected = {i: count for i, (count, _) in repeat_model(rows, 3, 40).items()}
-    assert {r.id: r.repeat_count for r in drained(spark, found, tmp_path).collect()} == expected
+    expected = repeat_model(rows, 3, 40)
+    assert {r.trigger_log.id: (r.additional_data.repeat_count, [x.id for x in r.related_logs])
+            for r in drained(spark, found, tmp_path).collect()} == expected
+
+
+def test_streamed_detections_have_the_batch_layout(spark, logs, tmp_path):
+    rows = [(i, "a", "same text" if i else None, "ERROR", START + timedelta(seconds=i, microseconds=5)) for i in range(5)]
+    batch = patterns.repeated_error(logs(*rows), 2, 60)
+    stream = detectors.stream_repeated_error(stream_of(spark, tmp_path / "in", rows[:2], rows[2:]), "1 minute", 2, 60)
+    assert drained(spark, stream, tmp_path).collect() == batch.collect()
+
+
+def test_service_runs_all_streams(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "root")
+    folder.mkdir()
+    body = "connection to the payment service timed out"
+    messages_in(spark, folder, 1, [message(2 * i, "ERROR", f"2024-01-01T10:00:{i:02d}", body) for i in range(12)])
+    messages_in(spark, folder, 2, [message(1, "INFO", "2024-01-01T11:00:00")])
+    started = service.start_service(read_event_stream(spark, str(folder)), root, NOW, "0 seconds", threshold=10, availableNow=True)
+    for query in started.values():
+        query.awaitTermination()
+    alerts = {r.kind: r for r in tables.read_alerts(spark, f"{root}/alerts").collect()}
+    assert set(alerts) == {"error-burst", "repeated-error"}
+    assert alerts["error-burst"].message.endswith(f"s0 - {body} 18")
+    assert alerts["repeated-error"].message.endswith(f"{body} 4")
+    assert tables.read_logs(spark, f"{root}/logs").count() == 13
+    assert [(r.processed, r.errors) for r in spark.read.parquet(f"{root}/minutes").collect()] == [(12, 12)]
 
 
 def test_state_expires_without_changing_results(spark, tmp_path):
@@ -94,7 +119,7 @@ def test_streamed_rollup_and_minutes_equal_the_batch(spark, logs, tmp_path):
     stream = stream_of(spark, tmp_path / "in", *in_thirds(rows), sentinel)
     hours = drained(spark, rollup.streaming_rollup(stream, "1 minute"), tmp_path, "hours")
     assert sorted(map(tuple, hours.collect())) == sorted(map(tuple, rollup.hourly_rollup(logs(*rows)).collect()))
-    stream = spark.readStream.schema(DETECTION_LOG).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(DETECTION_LOG).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     minutes = drained(spark, metrics.streaming_minute_metrics(stream, "0 seconds"), tmp_path, "minutes")
     assert sorted(map(tuple, minutes.collect())) == sorted(map(tuple, metrics.minute_metrics(logs(*rows)).collect()))
 
@@ -119,8 +144,8 @@ def messages_in(spark, folder, number, values):
     (folder / f"{number}.txt").write_text("\n".join(values) + "\n")
 
 
-def message(i, level="INFO", at="2024-01-01T10:00:00"):
-    return f'{{"source":"s{i % 2}","content":"body {i}","logLevel":"{level}","timestamp":"{at}"}}'
+def message(i, level="INFO", at="2024-01-01T10:00:00", body="body"):
+    return f'{{"source":"s{i % 2}","content":"{body} {i}","logLevel":"{level}","timestamp":"{at}"}}'
 
 
 def test_consumer_stores_every_message_once(spark, tmp_path):

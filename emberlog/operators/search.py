@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from emberlog.functions.times import at, parse, to_second
 from emberlog.schemas import PAGE_SIZE
 from emberlog.sources.tables import between_closed, between_dates
 
-CONTENT, NGRAM = "content", "content.ngram"
 TERM_BUCKETS = 16
 
 
@@ -49,51 +49,73 @@ def index_documents(logs: DataFrame) -> DataFrame:
     return logs.select(*columns)
 
 
-def index_terms(documents: DataFrame, with_ngrams: bool = True) -> DataFrame:
-    """Postings (field, term, id) of search documents, each once. Terms are made distinct inside
-    their document, so no shuffle is needed."""
-    words = documents.select("id", tokens(F.col("content")).alias("words"))
-    fields = [F.struct(F.lit(CONTENT).alias("field"), F.array_distinct("words").alias("terms"))]
-    if with_ngrams:
-        fields.append(F.struct(F.lit(NGRAM).alias("field"), ngrams(F.col("words")).alias("terms")))
-    spread = words.select("id", F.explode(F.array(*fields)).alias("part"))
-    return spread.select(F.col("part.field").alias("field"), F.explode("part.terms").alias("term"), "id")
+class SearchIndex(NamedTuple):
+    """Documents, postings (term, id) of their words, and the n-grams (gram, term) of the words.
+
+    N-grams belong to the vocabulary, not to the documents: the same matches from an index that
+    grows with new words instead of with all text.
+    """
+
+    documents: DataFrame
+    terms: DataFrame
+    grams: DataFrame
+
+
+def index_terms(documents: DataFrame) -> DataFrame:
+    """Postings (term, id) of search documents, each once. Terms are made distinct inside their
+    document, so no shuffle is needed."""
+    return documents.select("id", F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
+
+
+def index_grams(terms: DataFrame) -> DataFrame:
+    """The n-grams (gram, term) of all words that occur in postings."""
+    words = terms.select("term").distinct()
+    return words.select("term", F.explode(ngrams(F.array("term"))).alias("gram"))
+
+
+def build_index(logs: DataFrame) -> SearchIndex:
+    """An index that is not stored."""
+    documents = index_documents(logs)
+    terms = index_terms(documents)
+    return SearchIndex(documents, terms, index_grams(terms))
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _with_value(rows: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """Rows of the wanted terms or grams; stored ones are pruned to their buckets."""
+    found = rows.filter(F.col(column).isin(*wanted))
+    if "bucket" in rows.columns:
+        found = found.filter(F.col("bucket").isin(*[term_bucket(F.lit(value)) for value in wanted]))
+    return found
 
 
-def matching_ids(terms: DataFrame, keyword: str, mode: str = "token_any") -> DataFrame:
+def matching_ids(index: SearchIndex, keyword: str, mode: str = "token_any") -> DataFrame:
     """Ids of documents that share a term with ``keyword``.
 
     ``token_any``: a whole word. ``ngram_any``: any n-gram, as an n-gram analyzed query matches.
     """
     if mode not in ("token_any", "ngram_any"):
         raise ValueError(f"unknown search mode {mode!r}")
-    found = _postings(terms, CONTENT, query_terms(terms.sparkSession, keyword))
+    spark = index.terms.sparkSession
+    found = _with_value(index.terms, "term", query_terms(spark, keyword)).select("id")
     if mode == "ngram_any":
+        words = _with_value(index.grams, "gram", query_terms(spark, keyword, grams=True))
         found = found.unionByName(
-            _postings(terms, NGRAM, query_terms(terms.sparkSession, keyword, grams=True)))
+            index.terms.join(words.select("term").distinct(), "term", "left_semi").select("id"))
     return found
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
-def _postings(terms: DataFrame, field: str, wanted: list[str]) -> DataFrame:
-    """Ids of the postings of the wanted terms; stored postings are pruned to the terms' buckets."""
-    found = terms.filter((F.col("field") == field) & F.col("term").isin(*wanted))
-    if "term_bucket" in terms.columns:
-        found = found.filter(F.col("term_bucket").isin(*[term_bucket(F.lit(term)) for term in wanted]))
-    return found.select("id")
-
-
-def search_index(documents: DataFrame, terms: DataFrame, keyword: str | None = None,
-                 level: str | None = None, source: str | None = None, content: str | None = None,
+def search_index(index: SearchIndex, keyword: str | None = None, level: str | None = None,
+                 source: str | None = None, content: str | None = None,
                  start: datetime | str | None = None, end: datetime | str | None = None,
                  mode: str = "token_any") -> DataFrame:
     """Index search. The source is a case-sensitive substring, the range has whole seconds and
     includes both ends, blank criteria are ignored."""
     keyword, level, source, content = (given(v) for v in (keyword, level, source, content))
-    found = documents
+    found = index.documents
     if level:
         found = found.filter(F.col("log_level") == level)
     if source:
@@ -105,22 +127,21 @@ def search_index(documents: DataFrame, terms: DataFrame, keyword: str | None = N
         found = between_dates(found, low.date(), high.date())
         found = found.filter(F.col("timestamp").between(at(low), at(high)))
     if keyword:
-        found = found.join(matching_ids(terms, keyword, mode), "id", "left_semi")
+        found = found.join(matching_ids(index, keyword, mode), "id", "left_semi")
     return found
 
 
-def search(logs: DataFrame, documents: DataFrame | None = None, terms: DataFrame | None = None,
-           engine: str = "auto", **criteria) -> DataFrame:
+def search(logs: DataFrame, index: SearchIndex | None = None, engine: str = "auto",
+           **criteria) -> DataFrame:
     """Search through the index where there is one, else through the table; one result layout."""
-    indexed = documents is not None and terms is not None
-    if engine == "index" and not indexed:
+    if engine == "index" and index is None:
         raise ValueError("no index to search")
-    if engine == "index" or (engine == "auto" and indexed):
-        return search_index(documents, terms, **criteria).select(
-            "id", "source", "content", "log_level", "timestamp")
-    criteria.pop("mode", None)
-    return index_documents(search_logs(logs, **criteria)).select(
-        "id", "source", "content", "log_level", "timestamp")
+    if index is not None and engine != "table":
+        found = search_index(index, **criteria)
+    else:
+        criteria.pop("mode", None)
+        found = index_documents(search_logs(logs, **criteria))
+    return found.select("id", "source", "content", "log_level", "timestamp")
 
 
 def page(rows: DataFrame, number: int = 0, size: int = PAGE_SIZE, sort_by: str = "created_at",

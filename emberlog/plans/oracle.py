@@ -175,6 +175,12 @@ put("publish_events", f"""WITH {LOGS} SELECT source AS "key", source, content, l
 put("index_documents", f"""WITH {DOC_LOGS} SELECT CAST(id AS VARCHAR) AS id, source, content, log_level,
   CAST(date_trunc('second', created_at) AS TIMESTAMP) AS timestamp FROM doc_logs""")
 put("index_terms", f"WITH {TOKENS} SELECT term, count(DISTINCT id) AS documents FROM words GROUP BY term")
+put("index_grams", f"""WITH {TOKENS}, vocabulary AS (SELECT DISTINCT term FROM words),
+  sized AS (SELECT term, unnest(range(2, 6)) AS n FROM vocabulary),
+  cut AS (SELECT term, n, unnest(range(1, CAST(length(term) - n + 2 AS BIGINT))) AS i
+          FROM sized WHERE length(term) >= n),
+  grams AS (SELECT DISTINCT term, substr(term, i, n) AS gram FROM cut)
+  SELECT gram, count(*) AS words FROM grams GROUP BY gram""")
 put("write_archive", f"""WITH {LOGS} SELECT *, FALSE AS compressed, CAST(strlen(content) AS INTEGER) AS original_size,
   CAST(strlen(content) AS INTEGER) AS compressed_size, TIMESTAMP '{AS_OF}' AS archived_at FROM logs
   WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL {ARCHIVE_DAYS} DAY""")

@@ -176,15 +176,22 @@ def publish_events(spark, folder):
 def index_documents(spark, folder):
     path = scratch_path(spark, "index")
     sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=False)
-    return sinks.read_index(spark, path)[0].drop("log_date")
+    return sinks.read_index(spark, path).documents.drop("log_date")
 
 
 @query
 def index_terms(spark, folder):
     path = scratch_path(spark, "index")
     sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=False)
-    terms = sinks.read_index(spark, path)[1]
-    return terms.groupBy("term").agg(F.count("*").alias("documents"))
+    return sinks.read_index(spark, path).terms.groupBy("term").agg(F.count("*").alias("documents"))
+
+
+@query
+def index_grams(spark, folder):
+    """The n-grams of the vocabulary."""
+    path = scratch_path(spark, "index")
+    sinks.index_logs(doc_logs_of(spark, folder), path)
+    return sinks.read_index(spark, path).grams.groupBy("gram").agg(F.count("*").alias("words"))
 
 
 @query
@@ -451,14 +458,14 @@ def _built_index(spark, folder, with_ngrams=False):
 
 @query
 def search_index_tokens(spark, folder):
-    documents, terms = _built_index(spark, folder)
-    return search.search_index(documents, terms, keyword=DOC_KEYWORD, source="src1").drop("log_date")
+    index = _built_index(spark, folder)
+    return search.search_index(index, keyword=DOC_KEYWORD, source="src1").drop("log_date")
 
 
 @query
 def search_index_ngrams(spark, folder):
-    documents, terms = _built_index(spark, folder, with_ngrams=True)
-    return search.search_index(documents, terms, keyword="zq", level="INFO", mode="ngram_any").drop("log_date")
+    index = _built_index(spark, folder, with_ngrams=True)
+    return search.search_index(index, keyword="zq", level="INFO", mode="ngram_any").drop("log_date")
 
 
 @query
@@ -476,10 +483,10 @@ def index_finders(spark, folder):
 @query
 def search_with_fallback(spark, folder):
     """The same search through the index and through the table."""
-    documents, terms = _built_index(spark, folder)
+    index = _built_index(spark, folder)
     criteria = {"level": "ERROR", "source": "src", "start": "2024-01-01 01:00:00", "end": "2024-01-01 09:00:00"}
     logs = doc_logs_of(spark, folder)
-    by_index = search.search(logs, documents, terms, **criteria).withColumn("engine", F.lit("index"))
+    by_index = search.search(logs, index, **criteria).withColumn("engine", F.lit("index"))
     by_table = search.search(logs, **criteria).withColumn("engine", F.lit("table"))
     return by_index.unionByName(by_table).select("engine", "id", "timestamp")
 

@@ -20,7 +20,7 @@ def search_store(spark: SparkSession, root: str, engine: str = "auto", **criteri
 
     Sort and cut the result with ``page``; count it with ``page_totals``.
     """
-    documents = terms = None
+    index = None
     if engine != "table" and table_exists(spark, f"{root}/index/terms"):
-        documents, terms = read_index(spark, f"{root}/index")
-    return search(readable(read_logs(spark, f"{root}/logs")), documents, terms, engine, **criteria)
+        index = read_index(spark, f"{root}/index")
+    return search(readable(read_logs(spark, f"{root}/logs")), index, engine, **criteria)

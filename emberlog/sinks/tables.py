@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from emberlog.functions.times import at, log_date, on, parse
 from emberlog.operators.archive import with_storage_columns
-from emberlog.operators.search import index_documents, index_terms, term_bucket
+from emberlog.operators.search import (SearchIndex, index_documents, index_grams, index_terms,
+                                       term_bucket)
 from emberlog.schemas import (ALERT_SCHEMA, ARCHIVE_SCHEMA, LOGS_SCHEMA, RETENTION_DAYS,
                               STATISTICS_KEYS, STATISTICS_SCHEMA)
 
@@ -99,31 +100,44 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, ALERT_SCHEMA).drop("load_id")
 
 
-TERMS_SCHEMA = "term string, id string, field string, term_bucket int, load_id string"
+TERMS_SCHEMA = "term string, id string, bucket int, load_id string"
+GRAMS_SCHEMA = "gram string, term string, bucket int, load_id string"
 DOCUMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("content", T.StringType()), T.StructField("log_level", T.StringType()),
     T.StructField("timestamp", T.TimestampNTZType())])
 
 
+def _write_bucketed(rows: DataFrame, path: str, load: str, column: str) -> None:
+    """Write one load in buckets by ``column``, sorted within a file, so that a search reads few of
+    them. Rebalancing gives a large bucket several writers."""
+    (rows.withColumns({"bucket": term_bucket(F.col(column)), "load_id": F.lit(load)})
+     .hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", column)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", "load_id").parquet(path))
+
+
 def index_logs(logs: DataFrame, path: str, load_id: str | None = None, with_ngrams: bool = True) -> str:
-    """Add readable logs to the search index. Postings lie in buckets by term and are sorted within
-    a file, so a search reads few of them; rebalancing gives a large bucket several writers."""
+    """Add readable logs to the search index. Each step reads what the one before has stored."""
+    spark = logs.sparkSession
     documents = index_documents(logs.withColumn("log_date", log_date(F.col("created_at"))))
     load = _write(documents, f"{path}/documents", load_id, "timestamp")
-    (index_terms(documents, with_ngrams)
-     .withColumns({"term_bucket": term_bucket(F.col("term")), "load_id": F.lit(load)})
-     .hint("rebalance", F.col("field"), F.col("term_bucket"))
-     .sortWithinPartitions("field", "term_bucket", "term")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("field", "term_bucket", "load_id").parquet(f"{path}/terms"))
+    this_load = F.col("load_id") == load
+    stored = _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).filter(this_load)
+    _write_bucketed(index_terms(stored), f"{path}/terms", load, "term")
+    if with_ngrams:
+        terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms").filter(this_load)
+        _write_bucketed(index_grams(terms), f"{path}/grams", load, "gram")
     return load
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, terms) of a search index."""
-    terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms")
-    return _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).drop("load_id"), terms.drop("load_id")
+def read_index(spark: SparkSession, path: str) -> SearchIndex:
+    grams = (spark.read.schema(GRAMS_SCHEMA).parquet(f"{path}/grams")
+             if table_exists(spark, f"{path}/grams") else spark.createDataFrame([], GRAMS_SCHEMA))
+    return SearchIndex(
+        _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).drop("load_id"),
+        spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms").drop("load_id"),
+        grams.drop("load_id"))
 
 
 def _folder(spark: SparkSession, path: str):

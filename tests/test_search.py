@@ -36,12 +36,14 @@ def test_range_needs_both_ends(some):
 def test_index_search(spark, some, tmp_path):
     tables.index_logs(some, str(tmp_path), "one")
     tables.index_logs(some, str(tmp_path), "one")
-    documents, terms = tables.read_index(spark, str(tmp_path))
-    assert documents.count() == 3
-    assert terms.exceptAll(terms.distinct()).count() == 0
+    index = tables.read_index(spark, str(tmp_path))
+    assert index.documents.count() == 3
+    assert index.terms.exceptAll(index.terms.distinct()).count() == 0
 
     def found(**criteria):
-        return ids(search.search_index(documents, terms, **criteria))
+        stored = ids(search.search_index(index, **criteria))
+        assert stored == ids(search.search_index(search.build_index(some), **criteria))
+        return stored
 
     assert found() == [1, 2, 3]
     assert found(keyword="full login") == [1, 3]      # "full_" is a word of its own
@@ -59,9 +61,9 @@ def test_index_search(spark, some, tmp_path):
 
 def test_engines(spark, some, tmp_path):
     tables.index_logs(some, str(tmp_path), with_ngrams=False)
-    documents, terms = tables.read_index(spark, str(tmp_path))
-    by_index = search.search(some, documents, terms, keyword="disk")
-    by_table = search.search(some, documents, terms, engine="table", keyword="disk", mode="token_any")
+    index = tables.read_index(spark, str(tmp_path))
+    by_index = search.search(some, index, keyword="disk")
+    by_table = search.search(some, index, engine="table", keyword="disk", mode="token_any")
     assert by_index.columns == by_table.columns and ids(by_index) == ids(by_table) == ids(search.search(some, keyword="disk"))
     with pytest.raises(ValueError):
         search.search(some, engine="index", keyword="x")

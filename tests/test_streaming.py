@@ -165,8 +165,9 @@ def test_consumer_stores_every_message_once(spark, tmp_path):
     stats = tables.read_statistics(spark, f"{root}/statistics")
     assert stats.agg(F.sum("count")).first()[0] == 30 and stats.filter("log_level = 'ERROR'").agg(F.sum("count")).first()[0] == 10
     assert [r.raw for r in spark.read.parquet(f"{root}/rejects").collect()] == ["broken {"]
-    documents, terms = tables.read_index(spark, f"{root}/index")
-    assert documents.count() == 30 and terms.filter("field = 'content' and term = 'body'").count() == 30
+    index = tables.read_index(spark, f"{root}/index")
+    assert index.documents.count() == 30 and index.terms.filter("term = 'body'").count() == 30
+    assert index.grams.filter("gram = 'ody'").select("term").distinct().count() == 1
 
 
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):

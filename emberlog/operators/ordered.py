@@ -27,7 +27,8 @@ def row_key(*columns: str) -> Column:
 def range_ordered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` sorted by (key, order) over all blocks; written once so that blocks never move.
 
-    Add a unique last column to ``order``: then even one key at one instant is cut into blocks.
+    Add a unique last column to ``order``: then even one key at one instant is cut into blocks. The
+    number of blocks is ``spark.sql.shuffle.partitions``; set it so that a block fits a task.
     """
     return materialize(
         df.repartitionByRange(KEY, *order)
@@ -89,11 +90,32 @@ def _incoming_windows(ordered: DataFrame, gap_us: int) -> DataFrame:
     """For each block that continues a key: the window (anchor, rows so far) open at its start."""
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [batch for batch in batches if not batch.empty]
-        if parts:
-            rows = pd.concat(parts, ignore_index=True)
-            yield _block_summary(rows[BLOCK].iloc[0], rows[KEY].to_numpy(),
-                                 rows[TIME].to_numpy(), gap_us)
+        block, first, head, last = None, None, [], None
+        anchor, count = None, 0
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys, times = batch[KEY].to_numpy(), batch[TIME].to_numpy()
+            if first is None:
+                block, first = batch[BLOCK].iloc[0], keys[0]
+            if last is None:
+                ended = np.flatnonzero(keys != first)
+                cut = int(ended[0]) if len(ended) else len(keys)
+                head.append(times[:cut])
+                keys, times = keys[cut:], times[cut:]
+            if len(keys):
+                # Only the window open at the end matters: of the last key, from where it begins.
+                others = np.flatnonzero(keys != keys[-1])
+                start = int(others[-1]) + 1 if len(others) else 0
+                if start or keys[-1] != last:
+                    last, anchor, count = keys[-1], None, 0
+                anchor, count = _advance(times[start:], anchor, count, gap_us)
+        if first is not None:
+            own = np.concatenate(head)
+            rows = [(first, block, False, *_window_exits(own, gap_us), len(own))]
+            if last is not None:
+                rows.append((last, block, True, [], [anchor], [count], 0))
+            yield pd.DataFrame(rows, columns=[KEY, BLOCK, "opens", "upto", "exit", "exit_rows", "size"])
 
     narrow = ordered.select(BLOCK, KEY, TIME)
     summaries = narrow.mapInPandas(summarise, """_key string, _block int, opens boolean,
@@ -117,27 +139,25 @@ def _incoming_windows(ordered: DataFrame, gap_us: int) -> DataFrame:
     return summaries.groupBy(KEY).applyInPandas(chain, "_block int, anchor bigint, count bigint")
 
 
-def _block_summary(block: int, keys: np.ndarray, times: np.ndarray, gap_us: int) -> pd.DataFrame:
-    """How a block's first key maps any open window to the one open at its end, and, if the block
-    ends inside another key, the window open there."""
-    changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    first_end = int(changes[0]) if len(changes) else len(keys)
-    rows = [(keys[0], block, False, *_window_exits(times[:first_end], gap_us), first_end)]
-    if len(changes):
-        last = times[int(changes[-1]):]
-        upto, out, out_rows = _window_exits(last, gap_us, first_only=True)
-        rows.append((keys[-1], block, True, upto, out, out_rows, len(last)))
-    return pd.DataFrame(rows, columns=[KEY, BLOCK, "opens", "upto", "exit", "exit_rows", "size"])
+def _advance(times: np.ndarray, anchor: int | None, count: int, gap_us: int) -> tuple[int, int]:
+    """The window open after some more rows of a key: its first time and its rows so far."""
+    position = 0
+    while position < len(times):
+        if anchor is None or times[position] - anchor > gap_us:
+            anchor, count = int(times[position]), 0
+        end = int(np.searchsorted(times, anchor + gap_us, side="right"))
+        count, position = count + end - position, end
+    return anchor, count
 
 
-def _window_exits(times: np.ndarray, gap_us: int, first_only: bool = False):
+def _window_exits(times: np.ndarray, gap_us: int) -> tuple[list[int], list[int], list[int]]:
     """Last window of a run of rows, as a step function of the row that opens its first window.
 
     A window open before the run ends at most ``gap_us`` after the run's first row, so only the rows
     up to there can open the first one. Openers that lead to the same last window share one step.
     """
     following = np.searchsorted(times, times + gap_us, side="right")
-    openers = 1 if first_only else min(int(following[0]) + 1, len(times))
+    openers = min(int(following[0]) + 1, len(times))
     # Only the earliest of several rows at one instant can open a window.
     start = np.unique(np.searchsorted(times, times[:openers], side="left"))
     # A row more than ``gap_us`` after its predecessor opens a window in any case.

@@ -1,4 +1,8 @@
-"""The operators' registered queries over the given tables, and their SQL where SQL can express them."""
+"""The operators' registered queries over the given tables, with production parameters.
+
+None can be stated in DuckDB SQL: they rest on tokenizers, hashes, trained models, code point offsets of patterns with
+a rule for overlaps, or iterations. Their tests compare them with brute-force versions on small tables.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,17 @@ from pyspark.sql import functions as F
 from emberlog.session import scratch_path
 
 from . import bit_planes
+from .decontaminate import contaminated
+from .kd_shards import kd_shards
+from .language_id import identify_languages
+from .license_scan import scan_licenses
+from .occurrence_join import jaccard_groups
+from .prefix_counts import longest_prefix, prefix_counts
+from .secret_scan import scan_secrets
+from .segment_search import build_index, top_k
+from .soft_mixing import mix
+
+TOKEN_LIMIT = 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,8 +36,58 @@ def op1_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
     return bit_planes.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {
-    "op1_bit_planes": op1_bit_planes,
-}
+def op2_occurrence_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked by 85 % Jaccard similarity of four-word shingles."""
+    return jaccard_groups(table(spark, folder, "documents"), width=4, percent=85)
+
+
+def op3_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates and copies of documents that bring expected tokens by domain to the targets, at 0.9 of the corpus."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "labels"), scale=0.9)
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return identify_languages(table(spark, folder, "documents"))
+
+
+def op5_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, whether they pass the limit, and where a cut at the limit would be."""
+    counts = prefix_counts(table(spark, folder, "documents"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+                         longest_prefix("prefix_counts", TOKEN_LIMIT).alias("chars_within_limit"))
+
+
+def op6_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """16 shards of nearly equal bytes."""
+    return kd_shards(table(spark, folder, "documents"), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that repeat a benchmark item, with the best window."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence of every document. The table has no paths: a document lies in its source's folder of its language."""
+    return scan_licenses(table(spark, folder, "documents"), path="concat_ws('/', source, lang, doc_id)")
+
+
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    return scan_secrets(table(spark, folder, "documents")).drop("found")
+
+
+def op10_segment_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best partners of every hundredth vector among all."""
+    vectors = table(spark, folder, "embeddings")
+    return top_k(build_index(vectors), vectors.filter("vec_id % 100 = 0"), 10)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bit_planes, op2_occurrence_join, op3_soft_mixing, op4_language_id, op5_prefix_counts, op6_kd_shards,
+    op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search)}
 
 ORACLE_SQL: dict[str, str] = {}

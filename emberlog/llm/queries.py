@@ -42,8 +42,8 @@ def op2_occurrence_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Rates and copies of documents that bring expected tokens by domain to the targets, at 0.9 of the corpus."""
-    return mix(table(spark, folder, "documents"), table(spark, folder, "labels"), scale=0.9)
+    """Rates and copies of documents that bring expected tokens by domain to the targets, at 0.85 of the corpus."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "labels"), scale=0.85)
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ SOFT = "doc_id long, copy long, n_tokens long, posteriors array<double>"
 SUMS = "domain string, bin int, n long"
 #: Domains of the labels table, and what to aim for.
 LABEL_DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'good' END"
-TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
+TARGETS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
 
 
 def word_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,9 +64,10 @@ def word_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def learn_domains(bags: DataFrame, labels: DataFrame, domain: str = LABEL_DOMAIN,
                   id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(domains, log priors, weights by domain and bin) from all labelled documents.
+    """(domains, their scores for a text without words, weights by domain and bin) from all labelled documents.
 
-    Bins are counted by domain inside the tasks and summed by a shuffle, so the driver gets one number per domain and
+    Both what a text has and what it lacks count: the score of a text without words holds the priors and the lack of
+    every telling bin, and a bin's weight exchanges its lack for its presence. Bins are counted by domain inside the tasks and summed by a shuffle, so the driver gets one number per domain and
     bin. Rows without a domain are left out; an id labelled twice counts under its first domain by name.
     """
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(domain).alias("domain"))
@@ -95,16 +96,18 @@ def learn_domains(bags: DataFrame, labels: DataFrame, domain: str = LABEL_DOMAIN
     overall = (counts.sum(axis=0) + 1) / (size.sum() + 2)
     own = (counts + 1) / (size + 2)
     sure = np.abs(own - overall) / np.sqrt(overall * (1 - overall) / np.maximum(size, 1)) >= LEAST_SURE
-    weights = np.where(sure, np.log(own / overall), 0.0)
-    return domains, np.log(size[:, 0] / size.sum()) if len(domains) else np.zeros(0), weights
+    present = np.where(sure, np.log(own / overall), 0.0)
+    absent = np.where(sure, np.log((1 - own) / (1 - overall)), 0.0)
+    priors = np.log(size[:, 0] / size.sum()) if len(domains) else np.zeros(0)
+    return domains, priors + absent.sum(axis=1), present - absent
 
 
-def posteriors(bags: DataFrame, log_priors: np.ndarray, weights: np.ndarray) -> DataFrame:
+def posteriors(bags: DataFrame, bare: np.ndarray, weights: np.ndarray) -> DataFrame:
     """(doc_id, copy, n_tokens, posteriors) in the order of the learned domains."""
     def make():
         def run(batches) -> Iterator[tuple]:
             for doc_id, copy, n_tokens, bins in rows_of(batches):
-                scores = log_priors + weights[:, np.frombuffer(bins, "<u2")].sum(axis=1)
+                scores = bare + weights[:, np.frombuffer(bins, "<u2")].sum(axis=1)
                 odds = np.exp(scores - scores.max()) if len(scores) else scores
                 yield doc_id, copy, n_tokens, (odds / odds.sum()).tolist() if len(odds) else []
 
@@ -122,7 +125,7 @@ def rate_after(steps: list[np.ndarray]) -> Column:
         zip_with(posteriors, step, (p, s) -> p * s), 0.0D, (a, b) -> a + b)))""")
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 1e-4, most_steps: int = 60
+def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 5e-3, most_steps: int = 60
               ) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, expected token totals by domain): projected-gradient least squares for totals near ``targets``.
 
@@ -167,12 +170,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
     ``targets`` are the domains' weights; their sum is scaled to ``scale`` times the tokens of ``docs``. Domains that
     nobody labelled can't be aimed at and raise nothing: their weight goes to the others. ``copy`` tells rows of equal
-    id and different text apart. Null and empty texts have no tokens and the priors as posteriors. Without any label
+    id and different text apart. Null and empty texts have no tokens and the posterior of a text without words. Without any label
     all rates are 1. An empty table gives an empty one.
     """
     bags = written(word_bags(docs, id_col, text_col), "bags")
-    domains, log_priors, weights = learn_domains(bags, labels, domain, id_col)
-    soft = written(posteriors(bags, log_priors, weights), "posteriors")
+    domains, bare, weights = learn_domains(bags, labels, domain, id_col)
+    soft = written(posteriors(bags, bare, weights), "posteriors")
     aims = np.array([(targets or TARGETS).get(name, 0.0) for name in domains])
     steps: list[np.ndarray] = []
     if aims.sum() > 0:
@@ -188,9 +191,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as ``mixed`` says. Same columns; equal rows count each for itself."""
-    wanted = mixed.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("copies").alias("_n")
-                          ).groupBy("_id", "_copy").agg(F.max("_n").alias("_n"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_col)).join(
-        wanted, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_copy"))).filter("_n > 0")
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
-        *[docs[c] for c in docs.columns])
+    wanted = mixed.groupBy("doc_id", "copy").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("hash", F.xxhash64(F.col("row")[text_col]))
+    kept = rows.join(wanted, F.col("row")[id_col].eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("copy"))
+                     ).filter("copies > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -340,3 +340,15 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85,
     linked = rows.filter("class IS NOT NULL").join(named, "class").select("doc_id", "n_shingles", "component_id")
     empty = rows.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(empty)
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id. Same columns.
+
+    Rows that repeat an id with an equal text are one document. Rows without an id can't be named and stay.
+    """
+    groups = jaccard_groups(docs, width, percent, id_col, text_col)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col, text_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -30,8 +30,8 @@ WORD = f"_*+{WORD_START}{WORD_PART}*+(?:{JOINT}{WORD_PART}++)*+|[{IDEOGRAPH}]"
 
 
 def unless_blank(value: Column, default: str) -> Column:
-    """``value``, or ``default`` where it is null or blank."""
-    return F.coalesce(F.when(F.trim(value) != "", value), F.lit(default))
+    """``value``, or ``default`` where it is null or has only spaces and control characters."""
+    return F.coalesce(F.when(~value.rlike(r"\A[\x00-\x20]*\z"), value), F.lit(default))
 
 
 def normalize_message(content: Column, chars: int = REPEAT_PREFIX_CHARS) -> Column:

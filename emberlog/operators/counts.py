@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.compression import decompress
 from emberlog.functions.levels import known_level
 from emberlog.functions.measures import error_rate, percent
 from emberlog.functions.times import (at, at_midnight, day_bounds, hour_label, log_date, log_hour, on,
@@ -182,6 +183,9 @@ def distinct_sources(logs: DataFrame) -> DataFrame:
 
 
 def recent_errors(logs: DataFrame, limit: int = RECENT_ERRORS) -> DataFrame:
-    """The newest logs of level ERROR."""
-    return (logs.filter(F.col("log_level") == "ERROR")
-            .orderBy(F.desc("created_at"), F.desc("id")).limit(limit))
+    """The newest logs of level ERROR; stored bodies are made readable after the cut."""
+    newest = (logs.filter(F.col("log_level") == "ERROR")
+              .orderBy(F.desc("created_at"), F.desc("id")).limit(limit))
+    if "compressed" not in logs.columns:
+        return newest
+    return newest.withColumn("content", decompress(F.col("content"), F.col("compressed")))

@@ -78,8 +78,10 @@ def append_sources(*sources: DataFrame) -> DataFrame:
 
 
 def with_event_id(events: DataFrame) -> DataFrame:
-    """A 64-bit id from the event itself, so that a retried delivery gets the same id."""
-    return events.withColumn("id", F.xxhash64("source", "content", "logLevel", "timestamp"))
+    """A 64-bit id from the ``position`` of its message where the source tells it, so that equal events
+    stay apart; else from the event itself. A retried delivery gets the same id. Take ids before defaults."""
+    key = ["position"] if "position" in events.columns else ["source", "content", "logLevel", "timestamp"]
+    return events.withColumn("id", F.xxhash64(*key))
 
 
 def dedup_events(events: DataFrame, key: str = "id", delay: str | None = None,

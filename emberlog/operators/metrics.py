@@ -119,21 +119,37 @@ def streaming_minute_metrics(logs: DataFrame, delay: str) -> DataFrame:
 
 def counter_increase(samples: DataFrame, series: list[str], window_seconds: int,
                      per_seconds: int = 60, value: str = "value", ts: str = "ts") -> DataFrame:
-    """Increase of cumulative counters per window, scaled to ``per_seconds``.
+    """Increase of cumulative counters since the window before that has samples, scaled to ``per_seconds``.
 
-    Per series and window the last sample counts; a counter that fell was reset and adds nothing.
-    Only one row per window reaches the ordered step, however many samples a series has.
+    Per series and window the last sample counts; a counter that fell was reset and has grown from zero.
+    After a gap the increase is spread over the windows it took. Only one row per window reaches the
+    ordered step, however many samples a series has.
     """
+    change, before = F.col("closing") - F.col("closing_before"), F.col("closing_before")
+    grown = F.when(change < 0, F.col("closing")).otherwise(change)
+    seconds = (F.col("bucket") - F.col("bucket_before")) * F.lit(float(window_seconds))
+    return _closing_values(samples, series, window_seconds, value, ts).filter(before.isNotNull()).select(
+        *series, from_micros(F.col("bucket") * (window_seconds * MICROS)).alias("window_start"),
+        (grown * F.lit(float(per_seconds)) / seconds).alias("rate"))
+
+
+def gauge_delta(samples: DataFrame, series: list[str], window_seconds: int, value: str = "value",
+                ts: str = "ts") -> DataFrame:
+    """Change of a gauge since the window before that has samples; it may fall."""
+    return _closing_values(samples, series, window_seconds, value, ts).filter(
+        F.col("closing_before").isNotNull()).select(
+        *series, from_micros(F.col("bucket") * (window_seconds * MICROS)).alias("window_start"),
+        (F.col("closing") - F.col("closing_before")).alias("delta"))
+
+
+def _closing_values(samples: DataFrame, series: list[str], window_seconds: int, value: str, ts: str) -> DataFrame:
+    """Last value of every window with samples, next to that of the one before."""
     bucket = F.floor(micros(F.col(ts)) / F.lit(window_seconds * MICROS))
     closing = (samples.groupBy(*series, bucket.alias("bucket"))
                .agg(F.max_by(value, ts).alias("closing")))
     order = Window.partitionBy(*series).orderBy("bucket")
-    change = F.col("closing") - F.lag("closing").over(order)
-    grown = F.when(change.isNotNull(), F.greatest(change, F.lit(0)))
-    return (closing.withColumn("increase", grown).filter(F.col("increase").isNotNull())
-            .select(*series, from_micros(F.col("bucket") * (window_seconds * MICROS)).alias("window_start"),
-                    (F.col("increase") * F.lit(float(per_seconds)) / F.lit(float(window_seconds)))
-                    .alias("rate")))
+    return closing.withColumns({"closing_before": F.lag("closing").over(order),
+                                "bucket_before": F.lag("bucket").over(order)})
 
 
 def counter_rate(samples: DataFrame, series: list[str], by: list[str], window_seconds: int,
@@ -170,7 +186,8 @@ def latency_summary(requests: DataFrame, label: str = "label", latency: str = "l
                      for name, share in LATENCY_SHARES.items()]
         return rows.groupBy("label").agg(*measures)
     summary = rows.groupBy("label").agg(*measures)
-    return summary.join(_exact_shares(rows), "label")
+    shares = _exact_shares(rows).withColumnRenamed("label", "_label")
+    return summary.join(shares, F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def _exact_shares(rows: DataFrame) -> DataFrame:
@@ -189,4 +206,5 @@ def _exact_shares(rows: DataFrame) -> DataFrame:
         high = F.max(F.when((first <= F.ceil(rank)) & (last >= F.ceil(rank)), F.col("latency")))
         part = F.max(rank - F.floor(rank))
         shares.append((low + (high - low) * part).alias(name))
-    return ranked.join(totals, "label").groupBy("label").agg(*shares)
+    totals = totals.withColumnRenamed("label", "_label")
+    return ranked.join(totals, F.col("label").eqNullSafe(F.col("_label"))).groupBy("label").agg(*shares)

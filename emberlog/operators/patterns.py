@@ -193,14 +193,14 @@ def _warn(pattern: Pattern, error: Exception) -> None:
 
 def detect_patterns(logs: DataFrame, patterns: list[Pattern],
                     on_failure: Callable = _warn) -> DataFrame:
-    """Detections of all enabled patterns. A pattern that cannot be planned is reported to
-    ``on_failure(pattern, error)`` and does not stop the others."""
+    """Detections of all enabled patterns. Each pattern runs and is written alone: one that fails, while
+    it is planned or while it runs, is reported to ``on_failure(pattern, error)`` and does not stop the others."""
     found = []
     for pattern in patterns:
         if not pattern.enabled:
             continue
         try:
-            found.append(pattern.detect(logs))
+            found.append(materialize(pattern.detect(logs)))
         except Exception as error:  # noqa: BLE001 - a plug-in may raise anything
             on_failure(pattern, error)
     merged = logs.sparkSession.createDataFrame([], PATTERN_RESULT_SCHEMA)

@@ -163,11 +163,17 @@ def page(rows: DataFrame, number: int = 0, size: int = PAGE_SIZE, sort_by: str =
 
 
 def _beyond(sort_by: str, tie: str, after: tuple, descending: bool, rows: DataFrame) -> Column:
-    value = F.lit(str(after[0])).cast(rows.schema[sort_by].dataType)
-    last = F.lit(str(after[1])).cast(rows.schema[tie].dataType)
-    later = F.col(sort_by) < value if descending else F.col(sort_by) > value
-    same = (F.col(tie) < last if descending else F.col(tie) > last)
-    return later | ((F.col(sort_by) == value) & same)
+    """Rows after ``after`` in the order of ``page``: nulls come last descending, and first ascending."""
+    def place(name: str, seen) -> tuple[Column, Column]:
+        column = F.col(name)
+        if seen is None:
+            return (F.lit(False) if descending else column.isNotNull()), column.isNull()
+        value = F.lit(str(seen)).cast(rows.schema[name].dataType)
+        beyond = column.isNull() | (column < value) if descending else column > value
+        return F.coalesce(beyond, F.lit(False)), column.eqNullSafe(value)
+
+    later, same = place(sort_by, after[0])
+    return later if tie == sort_by else later | (same & place(tie, after[1])[0])
 
 
 def page_totals(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The daily jobs over stored tables: archive, rebuild statistics, expire."""
+"""The daily jobs over stored tables: archive, rebuild statistics, compact, expire."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import parse
 from emberlog.operators.archive import archive_logs
-from emberlog.schemas import ARCHIVE_DAYS, RETENTION_DAYS
-from emberlog.sinks.tables import (counted_write, expire_table, read_archive, read_logs,
-                                   rebuild_statistics_day, table_exists, write_archive)
+from emberlog.schemas import ALERT_SCHEMA, ARCHIVE_DAYS, LOGS_SCHEMA, RETENTION_DAYS
+from emberlog.sinks.tables import (compact_day, counted_write, day_loads, expire_table, read_archive, read_load_logs,
+                                   read_logs, rebuild_statistics_day, table_exists, write_archive)
 from emberlog.sources.tables import scan_old_logs
 
 
@@ -51,6 +51,12 @@ def run_nightly(spark: SparkSession, root: str, as_of: datetime | str,
     """All daily jobs in their order, for the day before ``as_of``."""
     archived = run_archive(spark, root, as_of, archive_days)
     yesterday = (parse(as_of) - timedelta(days=1)).date()
-    rebuild_statistics_day(read_logs(spark, f"{root}/logs"), f"{root}/statistics", yesterday)
+    # Loads are listed before the logs are read: one that comes later is counted when it comes.
+    loads = day_loads(spark, f"{root}/logs", yesterday)
+    logs = read_load_logs(spark, f"{root}/logs").filter(F.col("load_id").isin(loads)).drop("load_id")
+    rebuild_statistics_day(logs, f"{root}/statistics", yesterday, loads)
+    for table, schema in (("logs", LOGS_SCHEMA), ("alerts", ALERT_SCHEMA)):
+        if table_exists(spark, f"{root}/{table}") and len(day_loads(spark, f"{root}/{table}", yesterday)) > 1:
+            compact_day(spark, f"{root}/{table}", yesterday, schema)
     removed = expire_table(spark, f"{root}/logs", as_of, retention_days)
     return {"archived": archived, "expired": removed}

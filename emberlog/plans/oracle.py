@@ -24,14 +24,15 @@ DOC_LOGS = """doc_logs AS (
   FROM documents)"""
 
 GAPPY = LOGS + """, gappy AS (
-  SELECT id, CASE WHEN source = 'svc-3' THEN '  ' WHEN source <> 'svc-7' THEN source END AS source, content,
+  SELECT id, CASE WHEN source = 'svc-3' THEN CASE WHEN id % 2 = 0 THEN '  ' ELSE concat(' ', chr(9), chr(10)) END
+              WHEN source <> 'svc-7' THEN source END AS source, content,
          CASE WHEN log_level = 'trace' THEN '' WHEN log_level <> 'DEBUG' THEN log_level END AS "logLevel",
          CASE WHEN log_level <> 'WARN' THEN created_at END AS timestamp
   FROM logs)"""
 
 NORMAL = GAPPY + f""", normal AS (
-  SELECT id, CASE WHEN source IS NULL OR trim(source) = '' THEN 'unknown' ELSE source END AS source, content,
-         CASE WHEN "logLevel" IS NULL OR trim("logLevel") = '' THEN 'INFO' ELSE "logLevel" END AS "logLevel",
+  SELECT id, CASE WHEN source IS NULL OR regexp_full_match(source, '[\\x00-\\x20]*') THEN 'unknown' ELSE source END AS source, content,
+         CASE WHEN "logLevel" IS NULL OR regexp_full_match("logLevel", '[\\x00-\\x20]*') THEN 'INFO' ELSE "logLevel" END AS "logLevel",
          coalesce(timestamp, TIMESTAMP '{AS_OF}') AS timestamp
   FROM gappy)"""
 
@@ -209,6 +210,15 @@ put("detect_compressed", f"""WITH {DOC_LOGS}, bodies AS (
   UNION ALL SELECT id, 'gzip', base64(from_hex('1F8B') || encode(content)) FROM doc_logs
   UNION ALL SELECT id, 'broken', base64(from_hex('1F8B') || encode(content)) || '!' FROM doc_logs)
   SELECT id, kind, {BASE64_GZIP.format(c='body')} AS compressed FROM bodies""")
+put("compress_logs", f"""WITH {DOC_LOGS} SELECT id, {UTF16.format(c='content')} > 1024
+  AND NOT {BASE64_GZIP.format(c='content')} AS compressed, CAST(octet_length(encode(content)) AS INTEGER) AS original_size,
+  true AS comes_back, true AS fits FROM doc_logs""")
+put("compression_ratio", f"""WITH {DOC_LOGS} SELECT id, CAST(octet_length(encode(content)) AS INTEGER) AS original_size,
+  true AS in_range FROM doc_logs""")
+put("compression_report", f"""WITH {DOC_LOGS} SELECT source, log_level, count(*) AS total_logs,
+  count(*) FILTER ({UTF16.format(c='content')} > 1024 AND NOT {BASE64_GZIP.format(c='content')}) AS compressed_logs,
+  CAST(sum(octet_length(encode(content))) AS BIGINT) AS original_bytes, true AS never_larger
+  FROM doc_logs GROUP BY ROLLUP (source, log_level)""")
 put("decompress_logs", f"""WITH {DOC_LOGS} SELECT id, {UTF16.format(c='content')} > 1024
   AND NOT {BASE64_GZIP.format(c='content')} AS compressed, content FROM doc_logs""")
 put("normalize_message", f"WITH {DOC_LOGS} SELECT id, coalesce(substr(content, 1, 30), '') AS message_pattern FROM doc_logs")
@@ -431,6 +441,13 @@ put("latency_summary", f"""SELECT event_type AS label, count(*) AS samples, roun
   round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
   FROM events GROUP BY event_type""")
+put("latency_summary_nulls", """WITH rows AS (SELECT CASE WHEN event_type <> 'view' THEN event_type END AS label,
+    CASE WHEN event_type <> 'signup' THEN value END AS latency, ts FROM events)
+  SELECT label, count(*) AS samples, min(latency) AS minimum, max(latency) AS maximum,
+  round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.99), 6) AS p99
+  FROM rows GROUP BY label""")
+put("latency_summary_sketch", """SELECT event_type AS label, count(*) AS samples, min(value) AS minimum,
+  max(value) AS maximum, true AS p50_close, true AS p99_close FROM events GROUP BY event_type""")
 put("rows_affected", "SELECT count(*) AS stored, count(*) AS reported FROM events")
 
 # --- windows ------------------------------------------------------------------------------------
@@ -445,16 +462,22 @@ samples AS (SELECT log_level, source, ts, CAST(sum(n) OVER (PARTITION BY log_lev
 def increase(seconds: int) -> str:
     return f"""closing AS (SELECT log_level, source, epoch_us(ts) // {seconds * 1_000_000} AS bucket,
         max_by(value, ts) AS closing FROM samples GROUP BY 1, 2, 3),
-      grown AS (SELECT *, closing - lag(closing) OVER (PARTITION BY log_level, source ORDER BY bucket) AS increase
-                FROM closing),
+      grown AS (SELECT *, lag(closing) OVER series AS closing_before, lag(bucket) OVER series AS bucket_before
+                FROM closing WINDOW series AS (PARTITION BY log_level, source ORDER BY bucket)),
       rated AS (SELECT log_level, source, make_timestamp(CAST(bucket * {seconds * 1_000_000} AS BIGINT)) AS window_start,
-                greatest(increase, 0) * 60.0::DOUBLE / {seconds}.0::DOUBLE AS rate FROM grown WHERE increase IS NOT NULL)"""
+                CASE WHEN closing < closing_before THEN closing ELSE closing - closing_before END * 60.0::DOUBLE
+                  / ((bucket - bucket_before) * {seconds}.0::DOUBLE) AS rate,
+                closing - closing_before AS delta
+                FROM grown WHERE closing_before IS NOT NULL)"""
 
 
 put("counter_rate", f"""WITH {SAMPLES}, {increase(3600)} SELECT log_level, window_start, round(sum(rate), 9) AS rate
   FROM rated GROUP BY 1, 2""")
 put("counter_delta", f"""WITH {SAMPLES}, {increase(300)} SELECT log_level, source, window_start,
   round(sum(rate), 9) AS rate FROM rated GROUP BY 1, 2, 3""")
+put("gauge_delta", f"""WITH {LOGS}, minutes AS (SELECT log_level, source, date_trunc('minute', created_at) AS ts,
+  count(*) AS value FROM logs GROUP BY 1, 2, 3), samples AS (SELECT * FROM minutes), {increase(3600)}
+  SELECT log_level, source, window_start, CAST(delta AS BIGINT) AS delta FROM rated""")
 put("consumer_lag", f"""WITH {SAMPLES}, latest AS (SELECT log_level, source, max_by(value, ts) AS latest
   FROM samples GROUP BY 1, 2) SELECT log_level, CAST(sum(latest) AS BIGINT) AS lag FROM latest GROUP BY 1""")
 put("running_count", f"""WITH {LOGS} SELECT id, source, log_level,
@@ -466,6 +489,17 @@ put("recent_errors", f"""WITH {LOGS} SELECT * FROM logs WHERE log_level = 'ERROR
 put("page_logs", f"WITH {LOGS} SELECT * FROM logs ORDER BY created_at, id LIMIT 20 OFFSET 60")
 put("page_after", f"""WITH {LOGS} SELECT * FROM logs WHERE source < 'svc-5' OR (source = 'svc-5' AND id < 5000)
   ORDER BY source DESC, id DESC LIMIT 20""")
+put("replay_after_compaction", f"""WITH {LOGS} SELECT CAST(created_at AS DATE) AS log_date, log_level,
+  count(*) AS logs, count(*) AS ids FROM logs GROUP BY 1, 2""")
+put("two_streams_one_store", f"""WITH {LOGS} SELECT source, log_level, count(*) AS logs,
+  CAST(count(*) AS BIGINT) AS counted FROM logs GROUP BY 1, 2""")
+put("equal_events_kept", f"""WITH {LOGS} SELECT source, 3 * count(*) AS rows, 2 * count(*) AS ids FROM logs GROUP BY 1""")
+put("page_after_nulls", f"""WITH {GAPPY}, pages AS (
+    (SELECT 'desc' AS direction, id, source FROM gappy WHERE source IS NULL AND id < 5000 ORDER BY id DESC LIMIT 20)
+    UNION ALL (SELECT 'desc edge', id, source FROM gappy WHERE source < 'svc-0' OR source IS NULL
+      OR (source = 'svc-0' AND id < 0) ORDER BY source DESC NULLS LAST, id DESC LIMIT 20)
+    UNION ALL (SELECT 'asc', id, source FROM gappy WHERE source IS NOT NULL OR id > 5000
+      ORDER BY source NULLS FIRST, id LIMIT 20)) SELECT * FROM pages""")
 put("top_sources", f"""WITH {STATS} SELECT source, CAST(sum("count") AS BIGINT) AS "count" FROM stats
   WHERE {IN_DAYS} GROUP BY source ORDER BY 2 DESC, 1 LIMIT 10""")
 put("related_logs", f"""{REPEATS} SELECT d.id AS trigger_id, CAST(d.position - n.position AS INTEGER) AS position, n.id

@@ -14,7 +14,12 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def build_session(app: str = "emberlog", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators are written for."""
+    """A session with the settings the operators are written for. The package goes to the executors,
+    and to Python processes that Spark starts on its own, so the caller's folder doesn't matter."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -27,7 +32,9 @@ def build_session(app: str = "emberlog", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def checkpoint_root(spark: SparkSession) -> str:

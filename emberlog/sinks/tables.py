@@ -21,8 +21,11 @@ from emberlog.operators.search import (SearchIndex, index_documents, index_grams
 from emberlog.schemas import (ALERT_SCHEMA, ARCHIVE_SCHEMA, LOGS_SCHEMA, RETENTION_DAYS,
                               STATISTICS_KEYS, STATISTICS_SCHEMA)
 
-BASE_LOAD = "base"
+#: Loads that replace others of a day are named by this and count once their row is in the manifest.
+BASE_LOAD = "base-"
 PARTITIONS = ("log_date", "load_id")
+MANIFEST = "_loads"
+MANIFEST_SCHEMA = "log_date date, load_id string, absorbed boolean"
 
 
 def _partitioned(schema: T.StructType) -> T.StructType:
@@ -34,6 +37,10 @@ def _partitioned(schema: T.StructType) -> T.StructType:
 def _write(rows: DataFrame, path: str, load_id: str | None, *sort: str) -> str:
     """Write one load. Rebalancing gives a day one writer, and more where the day is large."""
     load = load_id or uuid.uuid4().hex
+    known = _manifest(rows.sparkSession, path)
+    if known is not None:  # a load whose day was rewritten since is in there already
+        done = known.filter((F.col("load_id") == load) & F.col("absorbed")).select("log_date")
+        rows = rows.join(done, "log_date", "left_anti")
     spread = rows.withColumn("load_id", F.lit(load)).hint("rebalance", F.col("log_date"))
     (spread.sortWithinPartitions("log_date", *sort)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -41,8 +48,22 @@ def _write(rows: DataFrame, path: str, load_id: str | None, *sort: str) -> str:
     return load
 
 
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """What rewrites of days have put in (absorbed: false) and taken out (true), if there were any."""
+    folder = f"{path}/{MANIFEST}"
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(folder) if table_exists(spark, folder) else None
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(_partitioned(schema)).parquet(path)
+    """All rows that count: of loads that no rewrite has taken out, and of finished rewrites."""
+    rows = spark.read.schema(_partitioned(schema)).parquet(path)
+    known = _manifest(spark, path)
+    base = F.col("load_id").startswith(BASE_LOAD)
+    if known is None:
+        return rows.filter(~base)
+    states = known.groupBy("log_date", "load_id").agg(F.max("absorbed").alias("_absorbed"))
+    counts = F.coalesce(~F.col("_absorbed"), ~base)
+    return rows.join(states, list(PARTITIONS), "left").filter(counts).select(*rows.columns)
 
 
 def write_logs(rows: DataFrame, path: str, load_id: str | None = None) -> str:
@@ -56,6 +77,11 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, LOGS_SCHEMA).drop("load_id")
 
 
+def read_load_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Stored logs with the load that brought them."""
+    return _read(spark, path, LOGS_SCHEMA)
+
+
 def counted_write(rows: DataFrame, writer, *args) -> int:
     """Run ``writer(rows, *args)`` and return how many rows went through, without a second pass."""
     seen = Observation()
@@ -63,8 +89,9 @@ def counted_write(rows: DataFrame, writer, *args) -> int:
     try:
         return seen.get["rows"]
     except Py4JJavaError:
-        # The write is done; Spark drops the counter together with a plan it finds to be empty.
-        return 0
+        if rows.isEmpty():  # Spark drops the counter together with a plan it finds to be empty
+            return 0
+        raise
 
 
 def write_archive(rows: DataFrame, path: str, load_id: str | None = None) -> str:
@@ -132,12 +159,20 @@ def index_logs(logs: DataFrame, path: str, load_id: str | None = None, with_ngra
 
 
 def read_index(spark: SparkSession, path: str) -> SearchIndex:
-    grams = (spark.read.schema(GRAMS_SCHEMA).parquet(f"{path}/grams")
-             if table_exists(spark, f"{path}/grams") else spark.createDataFrame([], GRAMS_SCHEMA))
-    return SearchIndex(
-        _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).drop("load_id"),
-        spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms").drop("load_id"),
-        grams.drop("load_id"))
+    """The stored index. Loads whose n-grams were not stored get them from their terms, when asked for."""
+    terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms")
+    if table_exists(spark, f"{path}/grams"):
+        grams = spark.read.schema(GRAMS_SCHEMA).parquet(f"{path}/grams")
+        bare = terms.join(grams.select("load_id").distinct(), "load_id", "left_anti")
+        grams = grams.select("gram", "term", "bucket").unionByName(_bucketed_grams(bare))
+    else:
+        grams = _bucketed_grams(terms)
+    return SearchIndex(_read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).drop("load_id"),
+                       terms.drop("load_id"), grams)
+
+
+def _bucketed_grams(terms: DataFrame) -> DataFrame:
+    return index_grams(terms).select("gram", "term", term_bucket(F.col("gram")).alias("bucket"))
 
 
 def _folder(spark: SparkSession, path: str):
@@ -158,31 +193,55 @@ def table_days(spark: SparkSession, path: str) -> list[date]:
                   for name in names if name.startswith("log_date="))
 
 
-def replace_day(rows: DataFrame, path: str, day: date | str) -> None:
-    """Put ``rows`` in place of everything stored for one day. They are written aside first and moved
-    in at the end, so they may come from the table itself."""
+def day_loads(spark: SparkSession, path: str, day: date | str) -> list[str]:
+    """Loads that a day's folder holds now; read from folder names only."""
+    filesystem, folder = _folder(spark, f"{path}/log_date={day}")
+    if not filesystem.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in filesystem.listStatus(folder)]
+    return sorted(name.split("=", 1)[1] for name in names if name.startswith("load_id="))
+
+
+def replace_day(rows: DataFrame, path: str, day: date | str, loads: list[str]) -> None:
+    """Put ``rows`` in place of ``loads`` of one day; other loads stay, whenever they come.
+
+    The rows are written aside and moved in, and one manifest file makes them count and the old loads not:
+    before it readers see the old state, after it the new one, and a crash leaves either. Writers of an
+    old load's replay find it in the manifest. The old folders go last.
+    """
     spark = rows.sparkSession
-    staging = f"{path}/_staging-{uuid.uuid4().hex}"
-    _write(rows.filter(F.col("log_date") == on(day)), staging, BASE_LOAD)
-    filesystem, old = _folder(spark, f"{path}/log_date={day}")
-    _, new = _folder(spark, f"{staging}/log_date={day}")
-    filesystem.delete(old, True)
+    staging, base = f"{path}/_staging-{uuid.uuid4().hex}", f"{BASE_LOAD}{uuid.uuid4().hex}"
+    _write(rows.filter(F.col("log_date") == on(day)), staging, base)
+    filesystem, home = _folder(spark, f"{path}/log_date={day}")
+    _, new = _folder(spark, f"{staging}/log_date={day}/load_id={base}")
     if filesystem.exists(new):
-        filesystem.rename(new, old)
+        filesystem.mkdirs(home)
+        filesystem.rename(new, _folder(spark, f"{path}/log_date={day}/load_id={base}")[1])
+    states = [(load, True) for load in loads] + [(base, False)]
+    (spark.createDataFrame(states, "load_id string, absorbed boolean")
+     .select(on(day).alias("log_date"), "load_id", "absorbed").coalesce(1)
+     .write.mode("append").parquet(f"{path}/{MANIFEST}"))
+    for load in loads:
+        filesystem.delete(_folder(spark, f"{path}/log_date={day}/load_id={load}")[1], True)
     filesystem.delete(_folder(spark, staging)[1], True)
     spark.catalog.refreshByPath(path)
 
 
 def compact_day(spark: SparkSession, path: str, day: date | str, schema: T.StructType) -> None:
-    """Merge the small loads of one day into one."""
-    stored = _read(spark, path, schema).filter(F.col("log_date") == on(day)).drop("load_id")
-    replace_day(stored, path, day)
+    """Merge the small loads of one day into one. Replaying a merged load changes nothing."""
+    loads = day_loads(spark, path, day)
+    stored = _read(spark, path, schema).filter(
+        (F.col("log_date") == on(day)) & F.col("load_id").isin(loads)).drop("load_id")
+    replace_day(stored, path, day, loads)
 
 
-def rebuild_statistics_day(logs: DataFrame, path: str, day: date | str) -> None:
-    """Replace one day of the rollup by counts of its raw logs."""
+def rebuild_statistics_day(logs: DataFrame, path: str, day: date | str, log_loads: list[str] | None = None) -> None:
+    """Replace one day of the rollup by counts of its raw logs. ``log_loads`` names the loads of these logs:
+    what such a load adds to the rollup later is counted already."""
     from emberlog.operators.rollup import rebuild_daily_statistics
-    replace_day(rebuild_daily_statistics(logs, day), path, day)
+    spark = logs.sparkSession
+    loads = sorted({*day_loads(spark, path, day), *(log_loads or [])})
+    replace_day(rebuild_daily_statistics(logs, day), path, day, loads)
 
 
 def expire_table(spark: SparkSession, path: str, as_of: datetime | str,
@@ -199,8 +258,10 @@ def expire_table(spark: SparkSession, path: str, as_of: datetime | str,
     old = (F.col("log_date") <= on(cutoff.date())) & (F.col("created_at") < at(cutoff))
     removed = stored.filter(old).count()
     if cutoff.date() in old_days:
-        kept = stored.filter((F.col("log_date") == on(cutoff.date())) & (F.col("created_at") >= at(cutoff)))
-        replace_day(kept.drop("load_id"), path, cutoff.date())
+        loads = day_loads(spark, path, cutoff.date())
+        kept = stored.filter((F.col("log_date") == on(cutoff.date())) & F.col("load_id").isin(loads)
+                             & (F.col("created_at") >= at(cutoff)))
+        replace_day(kept.drop("load_id"), path, cutoff.date(), loads)
     for day in old_days:
         if day < cutoff.date():
             filesystem, folder = _folder(spark, f"{path}/log_date={day}")

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from emberlog.schemas import EVENT_SCHEMA
 
 CORRUPT = "_corrupt_record"
+#: What a source may tell about a message: where it lies, unlike any other, and when it came.
+DELIVERY = ("position", "received")
 DECODED = T.StructType(EVENT_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
 
 
@@ -16,12 +18,16 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """All messages as events; ``rejected`` holds the text of a malformed one and is null otherwise."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     raw = F.col(value).cast("string")
+    carried = [F.col(name) for name in DELIVERY if name in messages.columns]
     event = F.from_json(raw, DECODED, options)
     # Filters do not move below a generator: without it each of them would parse the text again.
-    parsed = messages.select(raw.alias("raw"), F.inline(F.array(F.struct(event.alias("event")))))
+    parsed = messages.select(raw.alias("raw"), *carried, F.inline(F.array(F.struct(event.alias("event")))))
     bad = F.col("event").isNull() | F.col(f"event.{CORRUPT}").isNotNull()
+    times = F.coalesce("event.timestamp", F.col("received")) if "received" in messages.columns else F.col("event.timestamp")
+    names = [name for name in EVENT_SCHEMA.names if name != "timestamp"]
     return parsed.select(
-        *[F.col(f"event.{name}").alias(name) for name in EVENT_SCHEMA.names],
+        *[F.col(f"event.{name}").alias(name) for name in names], times.alias("timestamp"),
+        *[name for name in ("position",) if name in messages.columns],
         F.when(bad, F.coalesce("raw", F.lit(""))).alias("rejected"))
 
 
@@ -49,7 +55,10 @@ def read_event_stream(spark: SparkSession, folder: str | None = None,
                   .option("subscribe", topic).option("startingOffsets", "earliest"))
         if max_per_trigger:
             stream = stream.option("maxOffsetsPerTrigger", max_per_trigger)
-        return stream.load().select(F.col("value").cast("string").alias("value"))
+        return stream.load().select(
+            F.col("value").cast("string").alias("value"),
+            F.concat_ws(":", "topic", "partition", "offset").alias("position"),
+            F.col("timestamp").cast("timestamp_ntz").alias("received"))
     stream = spark.readStream.format("text")
     if max_per_trigger:
         stream = stream.option("maxFilesPerTrigger", max_per_trigger)

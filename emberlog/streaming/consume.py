@@ -17,6 +17,13 @@ from emberlog.sinks.tables import index_logs, write_logs, write_statistics
 from emberlog.sources.events import parse_messages, rejects
 
 
+def load_name(batch: DataFrame, batch_id: int) -> str:
+    """Load id of a micro-batch: equal when the batch is retried, unlike that of any other stream. Spark
+    keeps a query's id in its checkpoint, so a new checkpoint is a new stream."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query or 'stream'}-{batch_id:012d}"
+
+
 def store_batch(logs: DataFrame, root: str, load_id: str, with_index: bool = False) -> None:
     """One load into all tables below ``root``. Repeating it replaces the same partitions."""
     write_logs(logs, f"{root}/logs", load_id)
@@ -41,13 +48,17 @@ def consume_batch(messages: DataFrame, root: str, load_id: str, as_of: datetime
         kept.unpersist()
 
 
-def consume_events(messages: DataFrame, root: str, checkpoint: str, as_of: datetime | str,
-                   with_index: bool = False, **trigger) -> StreamingQuery:
+def consume_events(messages: DataFrame, root: str, checkpoint: str,
+                   as_of: datetime | str | Callable[[int], datetime], with_index: bool = False, **trigger) -> StreamingQuery:
     """Store a stream of messages. A failed micro-batch fails the query and is retried from its
-    checkpoint under the same load id, so no message is lost and none counts twice."""
+    checkpoint under the same load id, so no message is lost and none counts twice.
+
+    Events without a time get the time their message was received, where the source tells it, else
+    ``as_of``: a moment, or a function of the batch number that answers alike on a retry."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        consume_batch(batch, root, f"batch-{batch_id:012d}", as_of, with_index)
+        now = as_of(batch_id) if callable(as_of) else as_of
+        consume_batch(batch, root, load_name(batch, batch_id), now, with_index)
 
     return (messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
@@ -66,7 +77,7 @@ def emit_alerts(alerts: DataFrame, sink: Callable[[DataFrame, str], object],
     """Hand every micro-batch of alerts, with its load id, to ``sink``."""
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        sink(batch, f"batch-{batch_id:012d}")
+        sink(batch, load_name(batch, batch_id))
 
     return (alerts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())

@@ -20,7 +20,7 @@ from emberlog.streaming.detectors import stream_error_burst, stream_repeated_err
 
 def event_logs(messages: DataFrame, as_of: datetime | str) -> DataFrame:
     """Messages as readable logs with stable ids, for detectors and metrics."""
-    events = with_event_id(normalize_events(decode_events(messages), as_of))
+    events = normalize_events(with_event_id(decode_events(messages)), as_of)
     return events.select("id", "source", "content", F.col("logLevel").alias("log_level"),
                          F.col("timestamp").alias("created_at"))
 

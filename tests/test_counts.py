@@ -92,11 +92,11 @@ def test_rolling_means_use_empty_minutes(spark):
     assert (found[3].avg_response_time, found[5].processed_rate, found[5].avg_response_time) == (40, 1, 0)
 
 
-def test_counter_reset_adds_nothing(spark):
+def test_counter_reset_starts_from_zero(spark):
     rows = spark.createDataFrame([("t", datetime(2024, 1, 1, 0, m), v) for m, v in ((0, 10), (1, 25), (2, 5), (3, 8))],
                                  "topic string, ts timestamp_ntz, value long")
     rates = [r.rate for r in metrics.counter_rate(rows, ["topic"], ["topic"], 60).orderBy("window_start").collect()]
-    assert rates == [15.0, 0.0, 3.0]
+    assert rates == [15.0, 5.0, 3.0]
 
 
 def test_exact_latency_shares_on_a_hot_label(spark):

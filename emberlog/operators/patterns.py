@@ -13,7 +13,7 @@ from emberlog.functions.levels import is_error, is_exact_error, severity_rank
 from emberlog.functions.text import (burst_message, normalize_message, pattern_subject,
                                      repeat_message)
 from emberlog.functions.times import MICROS, instant, micros, wall_time
-from emberlog.operators.ordered import (KEY, TIME, anchored_nth, range_ordered, row_key,
+from emberlog.operators.ordered import (BLOCK, KEY, TIME, anchored_nth, range_ordered, row_key,
                                         running_total)
 from emberlog.schemas import (ALERT_SCHEMA, BURST_COOLDOWN_SECONDS, BURST_THRESHOLD,
                               BURST_WINDOW_SECONDS, PATTERN_RESULT_SCHEMA, REPEAT_PREFIX_CHARS,
@@ -37,13 +37,11 @@ def error_burst(logs: DataFrame, threshold: int = BURST_THRESHOLD,
         raise ValueError("threshold must be at least 2: a window's first error never alerts")
     scope_key = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("all")
     errors = (logs.filter(is_error(F.col("log_level")))
-              .select("id", scope_key.alias(KEY), micros(F.col("created_at")).alias(TIME)))
+              .select(*LOG_COLUMNS, scope_key.alias(KEY), micros(F.col("created_at")).alias(TIME)))
+    # Rows carry their logs along: no id has to be unique to find them again.
     full = anchored_nth(range_ordered(errors, TIME, "id"), window_seconds * MICROS, threshold)
-    alerts = anchored_nth(range_ordered(full.select("id", KEY, TIME), TIME, "id"),
-                          cooldown_seconds * MICROS, 1)
-    triggers = alerts.select("id", F.col(KEY).alias("scope"))
-    return (logs.filter(is_error(F.col("log_level"))).join(triggers, "id")
-            .select("scope", *LOG_COLUMNS))
+    alerts = anchored_nth(range_ordered(full.drop(BLOCK), TIME, "id"), cooldown_seconds * MICROS, 1)
+    return alerts.select(F.col(KEY).alias("scope"), *LOG_COLUMNS)
 
 
 def burst_alerts(bursts: DataFrame, threshold: int = BURST_THRESHOLD,
@@ -72,34 +70,33 @@ def windowed_burst(logs: DataFrame, window: str, threshold: int, slide: str | No
 
 def _repeat_rows(logs: DataFrame, prefix_chars: int) -> DataFrame:
     return (logs.filter(is_exact_error(F.col("log_level")))
-            .select("id", "source",
-                    normalize_message(F.col("content"), prefix_chars).alias("message_pattern"),
+            .select(*LOG_COLUMNS, normalize_message(F.col("content"), prefix_chars).alias("message_pattern"),
                     micros(F.col("created_at")).alias(TIME))
             .withColumn(KEY, row_key("source", "message_pattern")))
 
 
 def repeated_error_counts(logs: DataFrame, window_seconds: int = REPEAT_WINDOW_SECONDS,
                           prefix_chars: int = REPEAT_PREFIX_CHARS) -> DataFrame:
-    """Every error with its position among the similar errors of the trailing window.
+    """Every error with its position among the similar errors of the trailing window, and in all.
 
-    Each error also asks how many similar errors came before its window. Questions and errors are
+    Rows are numbered in the order of the written sort, so errors with equal ids count each. Each error also asks how many similar errors came before its window. Questions and errors are
     sorted together, so the answer is a difference of two running totals and no window frame has to
     hold a key's rows.
     """
-    errors = _repeat_rows(logs, prefix_chars).select("id", KEY, TIME)
+    errors = (range_ordered(_repeat_rows(logs, prefix_chars), TIME, "id").drop(BLOCK)
+              .withColumn("line", F.monotonically_increasing_id()))
     steps = errors.select(
-        "id", KEY, F.explode(F.array(
+        "line", KEY, F.explode(F.array(
             F.struct((F.col(TIME) - window_seconds * MICROS).alias(TIME), F.lit(0).alias("step")),
             F.struct(F.col(TIME).alias(TIME), F.lit(1).alias("step")))).alias("at"))
-    steps = steps.select("id", KEY, F.col(f"at.{TIME}").alias(TIME), F.col("at.step").alias("step"))
-    order = (TIME, "step", "id")
+    steps = steps.select("line", KEY, F.col(f"at.{TIME}").alias(TIME), F.col("at.step").alias("step"))
+    order = (TIME, "step", "line")
     counted = running_total(range_ordered(steps, *order), "step", "seen", *order)
     asked = F.col("step") == 0
-    return counted.groupBy("id").agg(
-        F.max(F.when(~asked, F.col(KEY))).alias(KEY),
-        F.max(F.when(~asked, F.col(TIME))).alias(TIME),
+    answers = counted.groupBy("line").agg(
         (F.max(F.when(~asked, F.col("seen"))) - F.max(F.when(asked, F.col("seen")))).alias("repeat_count"),
         F.max(F.when(~asked, F.col("seen"))).alias("position"))
+    return errors.join(answers, "line")
 
 
 def repeated_error_candidates(logs: DataFrame, threshold: int = REPEAT_THRESHOLD,
@@ -107,11 +104,8 @@ def repeated_error_candidates(logs: DataFrame, threshold: int = REPEAT_THRESHOLD
                               prefix_chars: int = REPEAT_PREFIX_CHARS) -> DataFrame:
     """Errors that are at least the ``threshold``-th similar one within the trailing window."""
     counts = repeated_error_counts(logs, window_seconds, prefix_chars)
-    hits = counts.filter(F.col("repeat_count") >= threshold).select("id", "repeat_count")
-    errors = logs.filter(is_exact_error(F.col("log_level")))
-    return errors.join(hits, "id").select(
-        "id", "source", normalize_message(F.col("content"), prefix_chars).alias("message_pattern"),
-        "created_at", "repeat_count")
+    return counts.filter(F.col("repeat_count") >= threshold).select(
+        "id", "source", "message_pattern", "created_at", "repeat_count")
 
 
 def repeated_error(logs: DataFrame, threshold: int = REPEAT_THRESHOLD,
@@ -123,19 +117,18 @@ def repeated_error(logs: DataFrame, threshold: int = REPEAT_THRESHOLD,
     # Every error with its position in its key; the positions also address the related logs.
     counts = materialize(repeated_error_counts(logs, window_seconds, prefix_chars))
     spaced = anchored_nth(
-        range_ordered(counts.filter(F.col("repeat_count") >= threshold), TIME, "id"),
+        range_ordered(counts.filter(F.col("repeat_count") >= threshold).select(
+            KEY, TIME, "line", "position", "repeat_count"), TIME, "line"),
         window_seconds * MICROS // 2, 1)
-    detections = spaced.select(F.col("id").alias("trigger_id"), KEY, "position", "repeat_count")
+    detections = spaced.select(F.col("line").alias("trigger"), KEY, "position", "repeat_count")
     # At most ``related`` positions a detection, so the join keys are unique and evenly spread.
     newest = detections.select(
-        "trigger_id", "repeat_count", KEY,
+        "trigger", "repeat_count", KEY,
         F.explode(F.sequence(F.col("position") - F.least(F.lit(related), F.col("repeat_count")) + 1,
                              F.col("position"))).alias("position"))
-    members = newest.join(counts.select("id", KEY, "position"), [KEY, "position"])
+    members = newest.join(counts.select(KEY, "position", *LOG_COLUMNS), [KEY, "position"])
     log = F.struct(*LOG_COLUMNS)
-    errors = logs.filter(is_exact_error(F.col("log_level")))
-    detected = (members.join(errors, "id")
-                .groupBy("trigger_id", "repeat_count")
+    detected = (members.groupBy("trigger", "repeat_count")
                 .agg(F.max_by(log, "position").alias("trigger_log"),
                      F.reverse(F.array_sort(F.collect_list(F.struct("position", log.alias("log")))))
                      .alias("found")))

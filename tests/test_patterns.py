@@ -101,3 +101,14 @@ def test_fixed_windows(logs):
 def test_running_count(logs):
     found = {r.id: r.running_count for r in patterns.running_count(logs(*after(3, 1, 2))).collect()}
     assert found == {1: 1, 2: 2, 0: 3}
+
+
+def test_equal_rows_count_each(logs):
+    rows = [(7, "a", "same text", "ERROR", "2024-01-01 00:00:00")] * 5
+    frame = logs(*rows)
+    counts = patterns.repeated_error_counts(frame, 60)
+    assert sorted((r.repeat_count, r.position) for r in counts.collect()) == [(k, k) for k in range(1, 6)]
+    assert patterns.repeated_error_candidates(frame, 3, 60).count() == 3
+    found = patterns.repeated_error(frame, 3, 60).collect()
+    assert len(found) == 1 and found[0].additional_data.repeat_count == 3 and len(found[0].related_logs) == 3
+    assert patterns.error_burst(frame, 3, 60, 300, scope=None).count() == 1

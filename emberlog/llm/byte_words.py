@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import regex
 
-#: Words a worker keeps; above it the table starts anew, so memory is bounded. Results don't depend on it.
-KEPT_WORDS = 400_000
+#: Words a worker keeps at most, so memory is bounded. Results don't depend on it.
+KEPT_WORDS = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -96,7 +97,7 @@ class ByteWords:
 
 
 class Kept(dict):
-    """A table filled on demand by ``make``, emptied by ``trim`` once it is large."""
+    """A table filled on demand by ``make``. ``trim`` drops the newer half once it is large: frequent keys come early."""
 
     def __init__(self, make):
         super().__init__()
@@ -108,7 +109,8 @@ class Kept(dict):
 
     def trim(self) -> None:
         if len(self) > KEPT_WORDS:
-            self.clear()
+            for key in list(islice(reversed(self), len(self) // 2)):
+                del self[key]
 
 
 _loaded: dict[tuple, object] = {}

@@ -12,7 +12,10 @@ are answered from them without encoding again.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import zstandard
@@ -35,7 +38,7 @@ class PrefixCounts:
         self.tails = {token[k:] for token in self.bpe.vocabulary for k in range(len(token))}
         self.itself = Kept(lambda token: self._values(token) == [token])
         self.fits = Kept(lambda pair: self._values(pair[0] + pair[1]) == [*pair])
-        self.steps = Kept(lambda word: np.diff(self.of_word(word), prepend=0).astype(np.int16).tobytes())
+        self.steps = Kept(self.steps_of)
         self.totals = Kept(lambda word: self.of_word(word)[-1])
 
     def _values(self, shown: str) -> list[str]:
@@ -44,25 +47,33 @@ class PrefixCounts:
     def of_word(self, word: str) -> list[int]:
         """Token counts of the word's prefixes by code point."""
         shown = self.bpe.shown(word)
-        last, count = [""] * (len(shown) + 1), [0] * (len(shown) + 1)
+        vocabulary, itself, fits, tails = self.bpe.vocabulary, self.itself, self.fits, self.tails
+        last, begin, count = [""], [0], [0]
         for end in range(1, len(shown) + 1):
-            for start in range(end - 1, -1, -1):
-                token = shown[start:end]
-                if token not in self.tails:
-                    raise ValueError(f"no token ends at byte {end} of {word!r}")
-                if token in self.bpe.vocabulary and self.itself[token] and (
-                        not start or self.fits[last[start], token]):
-                    last[end], count[end] = token, count[start] + 1
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end} of {word!r}")
+            start = begin[-1]  # most often the last token grows; only one token can end here, so order is free
+            token = shown[start:end]
+            if not (token in vocabulary and itself[token] and (not start or fits[last[start], token])):
+                for start in range(end - 1, -1, -1):
+                    token = shown[start:end]
+                    if token in vocabulary:
+                        if itself[token] and (not start or fits[last[start], token]):
+                            break
+                    elif token not in tails:
+                        raise ValueError(f"no token ends at byte {end} of {word!r}")
+            last.append(token)
+            begin.append(start)
+            count.append(count[start] + 1)
         if word in LONG_CONTRACTIONS:
             count[2] = 2  # the quote and one letter are two words until the contraction is whole
         if len(shown) == len(word):
             return count[1:]
-        ends = np.cumsum([len(c.encode("utf-8")) for c in word])
+        ends = accumulate(len(c.encode("utf-8")) for c in word)
         return [count[end] for end in ends]
 
+    def steps_of(self, word: str) -> bytes:
+        counts = self.of_word(word)
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
+
     def of_segment(self, text: str) -> np.ndarray:
         """Steps of the counts of a text without special strings."""
         steps = np.frombuffer(b"".join(map(self.steps.__getitem__, self.bpe.words(text))), np.int16).astype(np.int32)
@@ -76,12 +87,13 @@ class PrefixCounts:
     def of_text(self, text: str) -> np.ndarray:
         """Steps (differences) of the counts, one per code point."""
         parts = []
-        for place, segment in enumerate(self.bpe.segments(text)):
+        segments = self.bpe.segments(text)
+        for place, segment in enumerate(segments):
             if place % 2 == 0:
                 parts.append(self.of_segment(segment) if segment else np.zeros(0, np.int32))
                 continue
             before = int(parts[-1].sum())
-            plain = self.bpe.segments(text)[place - 1]
+            plain = segments[place - 1]
             inside = [int(self.of_segment(plain + segment[:k]).sum()) - before for k in range(1, len(segment))]
             parts.append(np.diff([*inside, 1], prepend=0).astype(np.int32))
         for kept in (self.itself, self.fits, self.steps, self.totals):

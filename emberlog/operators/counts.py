@@ -100,6 +100,30 @@ def hourly_stats_rollup(stats: DataFrame, day: date | str) -> DataFrame:
     return filled.withColumn("hour", hour_label(F.col("hour")))
 
 
+def counted_levels(counts: DataFrame) -> DataFrame:
+    """``log_counts`` of rows (log_level, count)."""
+    summed = counts.agg(*_level_sums(F.col("log_level")), F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    return summed.withColumn("error_rate", error_rate(F.col("error"), F.col("total")))
+
+
+def counted_hours(counts: DataFrame, day: date | str) -> DataFrame:
+    """``hourly_stats`` of rows (log_date, hour, log_level, count)."""
+    summed = counts.filter(F.col("log_date") == on(day)).groupBy("hour").agg(*_level_sums(F.col("log_level")))
+    filled = _zero_filled(hour_spine(counts), summed, "hour")
+    total = sum((F.col(c) for c in LEVEL_COLUMNS.values()), F.lit(0))
+    return filled.select(hour_label(F.col("hour")).alias("hour"), *LEVEL_COLUMNS.values(),
+                         total.cast("long").alias("total"))
+
+
+def counted_trends(counts: DataFrame, first: date, last: date) -> DataFrame:
+    """``error_trends`` of rows (log_date, log_level, count)."""
+    errors = F.sum(F.when(F.col("log_level") == "ERROR", F.col("count")))
+    summed = counts.groupBy("log_date").agg(
+        F.sum("count").alias("total_logs"), F.coalesce(errors, F.lit(0)).alias("error_logs"))
+    filled = _zero_filled(day_spine(counts, first, last), summed, "log_date")
+    return filled.withColumn("error_rate", error_rate(F.col("error_logs"), F.col("total_logs")))
+
+
 def source_stats(logs: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:
     """Logs per source, most first."""
     return (between_closed(logs, start, end).groupBy("source").agg(F.count("*").alias("count"))

@@ -377,11 +377,20 @@ put("dashboard_stats", f"""WITH {LOGS}, {HOURS},
              f" AND created_at < {DAY_START} + INTERVAL 1 HOUR * (h + 1)")}),
   by_source AS (SELECT source, count(*) AS "count" FROM logs WHERE {IN_RANGE} GROUP BY source),
   {trends("logs", "2024-01-03 00:00:00", HALF_OPEN_DAY)},
-  trend AS (SELECT *, {rate("error_logs", "total_logs")} AS error_rate FROM daily)
+  trend AS (SELECT *, {rate("error_logs", "total_logs")} AS error_rate FROM daily),
+  span AS (SELECT count(*) AS processed, count(*) FILTER (log_level = 'ERROR') AS errors FROM logs
+    WHERE created_at >= date_trunc('minute', TIMESTAMP '{STATUS_AS_OF}') - INTERVAL 60 MINUTE
+      AND created_at < date_trunc('minute', TIMESTAMP '{STATUS_AS_OF}')),
+  state AS (SELECT CAST(floor(processed / 60) AS BIGINT) AS processed_rate, {rate("errors", "processed")} AS error_rate,
+    CAST(0 AS BIGINT) AS avg_response_time FROM span),
+  newest AS (SELECT row_number() OVER (ORDER BY created_at DESC, id DESC) AS place, id FROM logs
+    WHERE log_level = 'ERROR' ORDER BY 1 LIMIT 5)
   {unpivot("log_counts", "'all'", "totals", "error", "warn", "info", "debug", "total", "error_rate")}
   UNION ALL {unpivot("hourly_stats", "hour", "hourly", "error", "warn", "info", "debug", "total")}
   UNION ALL {unpivot("source_stats", "source", "by_source", "count")}
-  UNION ALL {unpivot("error_trends", "CAST(log_date AS VARCHAR)", "trend", "total_logs", "error_logs", "error_rate")}""")
+  UNION ALL {unpivot("error_trends", "CAST(log_date AS VARCHAR)", "trend", "total_logs", "error_logs", "error_rate")}
+  UNION ALL {unpivot("system_status", "'all'", "state", "processed_rate", "error_rate", "avg_response_time")}
+  UNION ALL {unpivot("recent_errors", "CAST(place AS VARCHAR)", "newest", "id")}""")
 put("dashboard_status", f"""WITH {LOGS}, span AS (SELECT count(*) AS processed,
   count(*) FILTER (log_level = 'ERROR') AS errors FROM logs
   WHERE created_at >= date_trunc('minute', TIMESTAMP '{STATUS_AS_OF}') - INTERVAL 60 MINUTE

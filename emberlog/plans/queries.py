@@ -673,7 +673,8 @@ def reconcile_statistics(spark, folder):
 
 @query
 def dashboard_stats(spark, folder):
-    panels = dashboard.dashboard_stats(logs_of(spark, folder), COUNT_START, COUNT_END, as_of=AS_OF, day=DAY)
+    panels = dashboard.dashboard_stats(logs_of(spark, folder), COUNT_START, COUNT_END, as_of=STATUS_AS_OF, day=DAY,
+                                       span=60)
     return dashboard.dashboard_flat(panels)
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from emberlog.session import materialize
 
@@ -37,19 +38,63 @@ def range_ordered(df: DataFrame, *order: str) -> DataFrame:
 
 
 def running_total(ordered: DataFrame, value: str, result: str, *order: str) -> DataFrame:
-    """Inclusive running sum of ``value`` per key over a ``range_ordered`` frame."""
-    within = (Window.partitionBy(BLOCK, KEY).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # One row per block and key: a key has at most as many rows here as there are blocks.
+    """Inclusive running sum of ``value`` per key over a ``range_ordered`` frame, in place: no row moves.
+
+    Only the first key of a block can continue from the block before, so what a block needs from the others is
+    one number, added up over at most two rows a block.
+    """
+    kind = "_block int, _key string, opens boolean, total bigint"
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, totals = None, {}
+        first = last = None
+        for batch in batches:
+            for start, end in _runs(batch[KEY].to_numpy()):
+                block, key = int(batch[BLOCK].iloc[0]), batch[KEY].iloc[start]
+                first = key if first is None else first
+                if key != last and last is not None and last != first:
+                    del totals[last]
+                last = key
+                totals[key] = totals.get(key, 0) + int(batch[value].iloc[start:end].sum())
+        rows = [(block, key, key == first, total) for key, total in totals.items()]
+        yield pd.DataFrame(rows, columns=[BLOCK, KEY, "opens", "total"])
+
     before = (Window.partitionBy(KEY).orderBy(BLOCK)
               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = (ordered.groupBy(BLOCK, KEY).agg(F.sum(value).alias("_in_block"))
-               .withColumn("_carried", F.coalesce(F.sum("_in_block").over(before), F.lit(0)))
-               .drop("_in_block"))
-    return (ordered.withColumn("_local", F.sum(value).over(within))
-            .join(carried, [BLOCK, KEY])
-            .withColumn(result, F.col("_local") + F.col("_carried"))
-            .drop("_local", "_carried"))
+    carried = (ordered.select(BLOCK, KEY, value).mapInPandas(ends, kind)
+               .withColumn("_carried", F.coalesce(F.sum("total").over(before), F.lit(0)))
+               .filter("opens").select(BLOCK, "_carried"))
+    # At most one row per block: the size is bound by the number of partitions.
+    seeded = ordered.join(F.broadcast(carried), BLOCK, "left")
+    columns = [*ordered.columns, result]
+    schema = StructType([*ordered.schema.fields, StructField(result, LongType())])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, carry = None, 0
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys = batch[KEY].to_numpy()
+            sums = batch[value].to_numpy().astype(np.int64).cumsum()
+            if last is None:
+                last, carry = keys[0], int(batch["_carried"].iloc[0])
+            spans = _runs(keys)
+            offsets = [0 if start == 0 else int(sums[start - 1]) for start, _ in spans]
+            sums -= np.repeat(offsets, [end - start for start, end in spans])
+            if keys[0] == last:
+                sums[:spans[0][1]] += carry
+            last, carry = keys[-1], int(sums[-1])
+            yield batch.assign(**{result: sums})[columns]
+
+    return seeded.mapInPandas(add, schema)
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every run of equal keys."""
+    if not len(keys):
+        return []
+    edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
 
 
 def anchored_nth(ordered: DataFrame, gap_us: int, nth: int) -> DataFrame:
@@ -74,13 +119,17 @@ def anchored_nth(ordered: DataFrame, gap_us: int, nth: int) -> DataFrame:
                 key = batch[KEY].iloc[0]
                 anchor, count = int(batch["anchor"].iloc[0]), int(batch["count"].iloc[0])
             chosen = []
-            for index, (row_key_, us) in enumerate(zip(batch[KEY], batch[TIME].tolist())):
-                if row_key_ != key or us - anchor > gap_us:
-                    key, anchor, count = row_key_, us, 1
-                else:
-                    count += 1
-                if count == nth:
-                    chosen.append(index)
+            keys, times = batch[KEY].to_numpy(), batch[TIME].to_numpy()
+            for position, end in _runs(keys):
+                if keys[position] != key:
+                    key, anchor, count = keys[position], None, 0
+                while position < end:  # from window to window, not from row to row
+                    if anchor is None or times[position] - anchor > gap_us:
+                        anchor, count = int(times[position]), 0
+                    upto = position + int(np.searchsorted(times[position:end], anchor + gap_us, side="right"))
+                    if count < nth <= count + upto - position:
+                        chosen.append(position + nth - count - 1)
+                    count, position = count + upto - position, upto
             yield batch[columns].iloc[chosen]
 
     return seeded.mapInPandas(pick, schema)

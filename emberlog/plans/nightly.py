@@ -11,7 +11,7 @@ from emberlog.functions.times import parse
 from emberlog.operators.archive import archive_logs
 from emberlog.schemas import ALERT_SCHEMA, ARCHIVE_DAYS, LOGS_SCHEMA, RETENTION_DAYS
 from emberlog.sinks.tables import (compact_day, counted_write, day_loads, expire_table, read_archive, read_load_logs,
-                                   read_logs, rebuild_statistics_day, table_exists, write_archive)
+                                   read_logs, rebuild_statistics_day, table_days, table_exists, write_archive)
 from emberlog.sources.tables import scan_old_logs
 
 
@@ -26,6 +26,8 @@ def run_archive(spark: SparkSession, root: str, as_of: datetime | str,
     logs = read_logs(spark, f"{root}/logs")
     known = read_archive(spark, archive) if table_exists(spark, archive) else None
     if known is not None:
+        # Only days that the logs still have: the archive of years is not read.
+        known = known.filter(F.col("log_date").isin(table_days(spark, f"{root}/logs")))
         open_days = unarchived_days(scan_old_logs(logs, as_of, days), known)
         if not open_days:
             return 0
@@ -39,7 +41,7 @@ def unarchived_days(old: DataFrame, archived: DataFrame) -> list[date]:
     """Days of ``old`` logs whose ids differ from the archived ones: at most one row a day."""
     def ids_of(rows: DataFrame, side: str) -> DataFrame:
         return rows.groupBy("log_date").agg(
-            F.count("*").alias(f"{side}_rows"), F.bit_xor(F.xxhash64("id")).alias(f"{side}_ids"))
+            F.count("*").alias(f"{side}_rows"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias(f"{side}_ids"))
 
     same = (F.col("old_rows") == F.col("archived_rows")) & (F.col("old_ids") == F.col("archived_ids"))
     both = ids_of(old, "old").join(ids_of(archived, "archived"), "log_date", "left")

@@ -495,6 +495,8 @@ put("running_count", f"""WITH {LOGS} SELECT id, source, log_level,
 # --- sort, limit, paging ------------------------------------------------------------------------
 put("recent_errors", f"""WITH {LOGS} SELECT * FROM logs WHERE log_level = 'ERROR'
   ORDER BY created_at DESC, id DESC LIMIT 5""")
+put("recent_store_errors", f"""WITH {DOC_LOGS} SELECT id, source, content, created_at FROM doc_logs
+  WHERE log_level = 'ERROR' ORDER BY created_at DESC, id DESC LIMIT 5""")
 put("page_logs", f"WITH {LOGS} SELECT * FROM logs ORDER BY created_at, id LIMIT 20 OFFSET 60")
 put("page_after", f"""WITH {LOGS} SELECT * FROM logs WHERE source < 'svc-5' OR (source = 'svc-5' AND id < 5000)
   ORDER BY source DESC, id DESC LIMIT 20""")

@@ -844,6 +844,15 @@ def recent_errors(spark, folder):
     return counts.recent_errors(logs_of(spark, folder))
 
 
+@query
+def recent_store_errors(spark, folder):
+    """The newest errors of a store, with readable bodies, read from the newest days."""
+    root = scratch_path(spark, "store")
+    docs = doc_logs_of(spark, folder).withColumnsRenamed({"log_level": "logLevel", "created_at": "timestamp"})
+    sinks.write_logs(ingest.to_log_rows(docs, AS_OF), f"{root}/logs", "one")
+    return searching.recent_store_errors(spark, root).select("id", "source", "content", "created_at")
+
+
 @query
 def page_logs(spark, folder):
     return search.page(logs_of(spark, folder), 3, 20, "created_at", "asc")

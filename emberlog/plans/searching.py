@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.compression import decompress
+from emberlog.operators.counts import recent_errors
 from emberlog.operators.search import search
-from emberlog.sinks.tables import read_index, read_logs, table_exists
+from emberlog.schemas import RECENT_ERRORS
+from emberlog.sinks.tables import read_index, read_logs, table_days, table_exists
 
 
 def readable(logs: DataFrame) -> DataFrame:
@@ -15,6 +17,18 @@ def readable(logs: DataFrame) -> DataFrame:
     return logs.withColumn("content", decompress(F.col("content"), F.col("compressed")))
 
 
+def recent_store_errors(spark: SparkSession, root: str, limit: int = RECENT_ERRORS) -> DataFrame:
+    """The newest stored errors. Days are read from the newest on, twice as many each time, until there are enough."""
+    path, many = f"{root}/logs", 1
+    days = table_days(spark, path)[::-1]
+    logs = read_logs(spark, path)
+    while True:
+        found = logs.filter(F.col("log_date").isin(days[:many]) & (F.col("log_level") == "ERROR"))
+        if many >= len(days) or len(found.select("id").take(limit)) >= limit:
+            return recent_errors(found, limit)
+        many *= 2
+
+
 def search_store(spark: SparkSession, root: str, engine: str = "auto", **criteria) -> DataFrame:
     """Search the tables below ``root``: through the index where one is stored, else through the logs.
 

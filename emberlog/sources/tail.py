@@ -8,6 +8,7 @@ import io
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SOURCE_NAME = "growing_logs"
@@ -32,7 +33,7 @@ class GrowingLogs(DataSource):
         return SOURCE_NAME
 
     def schema(self) -> str:
-        return "source string, content string"
+        return "source string, content string, position string"
 
     def streamReader(self, schema):
         return GrowingLogsReader(self.options)
@@ -45,6 +46,7 @@ class GrowingLogsReader(DataSourceStreamReader):
         self.uri = options["path"]
         self.glob = options.get("glob", "*.log")
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.probed: dict[str, tuple] = {}
 
     def _filesystem(self):
         if "://" in self.uri or self.uri.startswith("file:"):
@@ -57,9 +59,15 @@ class GrowingLogsReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         filesystem, folder = self._filesystem()
         listing = filesystem.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True))
-        return {info.path: _finished_bytes(filesystem, info.path, info.size)
-                for info in sorted(listing, key=lambda found: found.path)
-                if info.type == arrow_fs.FileType.File and fnmatch.fnmatch(info.base_name, self.glob)}
+        probed = {}
+        for info in sorted(listing, key=lambda found: found.path):
+            if info.type == arrow_fs.FileType.File and fnmatch.fnmatch(info.base_name, self.glob):
+                state = (info.size, info.mtime_ns)
+                known = self.probed.get(info.path)  # only files that changed are opened again
+                probed[info.path] = known if known and known[0] == state else (
+                    state, _finished_bytes(filesystem, info.path, info.size))
+        self.probed = probed
+        return {path: finished for path, (_, finished) in probed.items()}
 
     def partitions(self, start: dict, end: dict) -> list[FileRange]:
         ranges = []
@@ -82,27 +90,28 @@ class GrowingLogsReader(DataSourceStreamReader):
                 handle.seek(position - 1)
                 position += len(handle.readline()) - 1
             handle.seek(position)
-            lines = []
+            lines, places = [], []
             while position < partition.end:
                 line = handle.readline()
                 if not line:
                     break
+                places.append(f"{partition.path}:{position}")
                 position += len(line)
                 lines.append(line.rstrip(b"\r\n").decode("utf-8", errors="replace"))
                 if len(lines) == BATCH_LINES:
-                    yield _batch(name, lines)
-                    lines = []
+                    yield _batch(name, lines, places)
+                    lines, places = [], []
             if lines:
-                yield _batch(name, lines)
+                yield _batch(name, lines, places)
 
     def commit(self, end: dict) -> None:
         pass
 
 
-def _batch(name: str, lines: list[str]) -> pa.RecordBatch:
+def _batch(name: str, lines: list[str], places: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())],
-        names=["source", "content"])
+        [pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string()), pa.array(places, pa.string())],
+        names=["source", "content", "position"])
 
 
 def _finished_bytes(filesystem, path: str, size: int) -> int:
@@ -120,10 +129,15 @@ def _finished_bytes(filesystem, path: str, size: int) -> int:
 
 
 def tail_log_files(spark: SparkSession, folder: str, glob: str = "*.log",
-                   split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Stream of (``source``, ``content``) from the files of a folder that keep growing."""
+                   split_bytes: int = SPLIT_BYTES, stamp: bool = False) -> DataFrame:
+    """Stream of (``source``, ``content``, ``position``) from the files of a folder that keep growing.
+
+    ``position`` is the file and the byte a line begins at, unlike any other line's. ``stamp`` adds the time of
+    collection as ``received``: that of the micro-batch, which Spark records, so that a retry agrees.
+    """
     spark.dataSource.register(GrowingLogs)
-    return (spark.readStream.format(SOURCE_NAME).option("path", folder).option("glob", glob)
-            .option("splitBytes", str(split_bytes)).load())
+    lines = (spark.readStream.format(SOURCE_NAME).option("path", folder).option("glob", glob)
+             .option("splitBytes", str(split_bytes)).load())
+    return lines.withColumn("received", F.current_timestamp().cast("timestamp_ntz")) if stamp else lines
 
 

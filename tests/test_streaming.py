@@ -56,6 +56,18 @@ def test_tail_sees_appended_finished_lines_once(spark, tmp_path):
                      ("app.log", "unfinished WARN"), ("late.log", ""), ("late.log", "first"), ("late.log", "x" * 40)]
 
 
+def test_equal_lines_have_positions_and_times(spark, tmp_path):
+    from emberlog.operators.ingest import with_event_id
+    from emberlog.sources.files import lines_to_events
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "app.log").write_text("same ERROR\n" * 5)
+    events = with_event_id(lines_to_events(tail_log_files(spark, str(folder), split_bytes=20, stamp=True)))
+    rows = drained(spark, events, tmp_path).collect()
+    assert len({r.id for r in rows}) == 5 and len({r.position for r in rows}) == 5
+    assert len({r.timestamp for r in rows}) == 1 and rows[0].timestamp is not None
+
+
 def test_tail_rereads_a_file_that_was_cut(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ CLUSTER_BLOCK = 400
 #: Shingles of a counting block and of a bucket, about.
 BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 20, 1 << 21
 BLOCK_SETS, MOST_BUCKETS = 60_000, 1 << 20
+#: Ids of dropped documents up to which they go to every task; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: A shingle in so many sets of one counting block leaves the sets' numbers at home and sends its count only.
 COMMON = 64
 
@@ -132,6 +135,27 @@ def count_requests(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return arrow_map(docs, make, MESSAGES)
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes; small ones leave their upper planes empty."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_numbers(packed: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_shingles(shingles: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """Ascending shingles of one bucket as the steps between them: the bucket needs no bits of its own."""
+    return pack_numbers(np.diff((shingles - np.uint64(bucket)) // np.uint64(buckets), prepend=np.uint64(0)))
+
+
+def unpack_shingles(packed: bytes, bucket: int, buckets: int) -> np.ndarray:
+    return np.cumsum(unpack_numbers(packed, np.uint64), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+
+
 def block_messages(sets: dict[bytes, np.ndarray], block: int, buckets: int) -> Iterator[tuple]:
     names, found = list(sets), list(sets.values())
     lengths = np.array([len(x) for x in found], np.uint32)
@@ -152,8 +176,10 @@ def block_messages(sets: dict[bytes, np.ndarray], block: int, buckets: int) -> I
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         rows = by_bucket[a:b]
         light = rows[~common[rows]]
-        yield (int(place[rows[0]]), block, ASKED, distinct[rows].tobytes(), counts[rows].astype(np.uint32).tobytes(),
-               owner[_ranges(first[light], counts[light])].tobytes(), None)
+        bucket = int(place[rows[0]])
+        yield (bucket, block, ASKED, pack_shingles(distinct[rows], bucket, buckets),
+               pack_numbers(counts[rows].astype(np.uint16)),
+               pack_numbers(owner[_ranges(first[light], counts[light])]), None)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -163,14 +189,14 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def answer_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+def answer_bucket(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Each block's shingles of this bucket that more than one set has, with their totals. The rest passes through."""
     asked = rows["kind"] == ASKED
     out = [rows[~asked]]
     if asked.any():
         rows = rows[asked]
-        shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        counts = [np.frombuffer(x, np.uint32) for x in rows["counts"]]
+        shingles = [unpack_shingles(x, b, buckets) for x, b in zip(rows["shingles"], rows["bucket"], strict=True)]
+        counts = [unpack_numbers(x, np.uint16) for x in rows["counts"]]
         distinct, inverse = np.unique(np.concatenate(shingles), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.int64)[inverse]
         ends = np.cumsum([len(x) for x in shingles])
@@ -180,25 +206,28 @@ def answer_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             total = totals[end - len(mine):end]
             shared = total > 1
             light = own < COMMON
-            sets = np.frombuffer(row.sets, np.uint16)[np.repeat(shared[light], own[light])]
-            told.append((row.bucket, row.block, TOLD, mine[shared].tobytes(), own[shared].tobytes(), sets.tobytes(),
-                         np.minimum(total[shared], 2**32 - 1).astype(np.uint32).tobytes()))
+            sets = unpack_numbers(row.sets, np.uint16)[np.repeat(shared[light], own[light])]
+            told.append((row.bucket, row.block, TOLD, pack_shingles(mine[shared], row.bucket, buckets),
+                         pack_numbers(own[shared]), pack_numbers(sets),
+                         pack_numbers(np.minimum(total[shared], 2**32 - 1).astype(np.uint32))))
         out.append(pd.DataFrame(told, columns=list(rows.columns)))
     return pd.concat(out)
 
 
-def surviving_classes(percent: int):
+def surviving_classes(percent: int, buckets: int):
     """For a block: its sets with enough shared shingles, rare ones first, and the prefix that finds partners."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["kind"] == OWN].iloc[0]
         sizes = np.frombuffer(own["counts"], np.uint32).astype(np.int64)
         names = [own["shingles"][k:k + 16] for k in range(0, len(own["shingles"]), 16)]
         told = rows[rows["kind"] == TOLD]
-        join = lambda column, kind: np.frombuffer(b"".join(told[column]), kind)
-        shingles, counts, totals = join("shingles", np.uint64), join("counts", np.uint32), join("totals", np.uint32)
+        join = lambda column, kind: np.concatenate(
+            [np.zeros(0, kind), *(unpack_numbers(x, kind) for x in told[column])])
+        shingles = np.concatenate([np.zeros(0, np.uint64), *(
+            unpack_shingles(x, b, buckets) for x, b in zip(told["shingles"], told["bucket"], strict=True))])
+        counts, totals, sets = join("counts", np.uint16), join("totals", np.uint32), join("sets", np.uint16)
         light = counts < COMMON
-        parts = [(np.repeat(shingles[light], counts[light]), join("sets", np.uint16),
-                  np.repeat(totals[light], counts[light]))]
+        parts = [(np.repeat(shingles[light], counts[light]), sets, np.repeat(totals[light], counts[light]))]
         for row in rows[rows["kind"] == COMMONS].itertuples():
             common, times = np.frombuffer(row.shingles, np.uint64), np.frombuffer(row.counts, np.uint32)
             heavy = np.argsort(shingles[~light])
@@ -284,8 +313,8 @@ def linked_classes(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     partitions = shuffle_partitions(spark)
     buckets = min(MOST_BUCKETS, max(2 * partitions, total // BUCKET_SHINGLES))
     requests = count_requests(docs, width, buckets)
-    answers = requests.groupBy("bucket").applyInPandas(answer_bucket, MESSAGES)
-    found = answers.groupBy("block").applyInPandas(surviving_classes(percent), CLASSES)
+    answers = requests.groupBy("bucket").applyInPandas(lambda rows: answer_bucket(rows, buckets), MESSAGES)
+    found = answers.groupBy("block").applyInPandas(surviving_classes(percent, buckets), CLASSES)
     classes = written(found.groupBy("class").agg(
         *[F.first(c).alias(c) for c in ("n", "shingles", "prefix")]), "classes")
 
@@ -348,7 +377,13 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80,
 
     Rows that repeat an id with an equal text are one document. Rows without an id can't be named and stay.
     """
-    groups = jaccard_groups(docs, width, percent, id_col, text_col)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col, text_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = written(jaccard_groups(docs, width, percent, id_col, text_col).select("doc_id", "component_id"), "groups")
+    named = groups.filter("doc_id IS NOT NULL")
+    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(
+        kept.filter(F.col(id_col).isNull()))

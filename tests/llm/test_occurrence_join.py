@@ -79,3 +79,24 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({found[k] for k in range(41)}) == 1 and len({found[k] for k in (100, 101, 102)}) == 1
     assert found[0] != found[100]
+
+
+def test_one_of_each_stays(spark):
+    rows = corpus(13)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(4, rows[1][1], 1), (None, "a", 1), (None, "a", 1)],
+                                 "doc_id long, text string, component_id int").union(
+        spark.createDataFrame([(rows[0][0], rows[0][1], 2)], "doc_id long, text string, component_id int"))
+    kept = occurrence_join.keep_one_of_each(docs, 4, 85)
+    assert kept.columns == docs.columns
+    expected = sorted(i for i, _, c in brute([(i, t) for i, t in rows] + [(4, rows[1][1])], 4, 85) if i == c)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(expected))
+    assert kept.filter("doc_id IS NULL").count() == 2
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        shingles = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64) // np.uint64(7) * np.uint64(7) + np.uint64(3))
+        packed = occurrence_join.pack_shingles(shingles, 3, 7)
+        assert (occurrence_join.unpack_shingles(packed, 3, 7) == shingles).all()

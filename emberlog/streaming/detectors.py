@@ -31,16 +31,54 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class ExpiringProcessor(StatefulProcessor):
-    """Forgets a key once the watermark is past everything its state can still decide."""
+    """Forgets a key once the watermark is past everything its state can still decide.
+
+    With ``hold`` set, errors wait in the key's state until the watermark has passed them, and are then taken in
+    time order: whatever order they came in, the result is that of the batch.
+    """
+
+    hold = False
+    waiting_columns: list[str] = []
 
     def keep_until(self, us: int) -> None:
+        self.wake_at((us + self.keep_us) // 1000 + 1)
+
+    def wake_at(self, ms: int) -> None:
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((us + self.keep_us) // 1000 + 1)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        errors = pd.concat(list(rows)).sort_values(["us", "id"])
+        if not self.hold:
+            yield from self.take(key, errors)
+            return
+        waiting = self.held()
+        new = json.loads(errors[self.waiting_columns].to_json(orient="values", force_ascii=False))
+        self.put_back(waiting + new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.forget()
-        return iter([])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = self.held()
+        us = self.waiting_columns.index("us") if self.waiting_columns else 0
+        ready = [row for row in waiting if row[us] < passed]
+        if ready:
+            errors = pd.DataFrame(ready, columns=self.waiting_columns).sort_values(["us", "id"])
+            yield from self.take(key, errors.reset_index(drop=True))
+        elif not waiting:
+            self.forget()
+        if len(ready) < len(waiting):
+            self.put_back([row for row in waiting if row[us] >= passed])
+        elif ready:
+            self.waiting.clear()
+
+    def held(self) -> list:
+        return json.loads(self.waiting.get()[0]) if self.hold and self.waiting.exists() else []
+
+    def put_back(self, rows: list) -> None:
+        self.waiting.update((json.dumps(rows),))
+        us = self.waiting_columns.index("us")
+        self.wake_at(min(row[us] for row in rows) // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -50,7 +88,10 @@ class BurstProcessor(ExpiringProcessor):
     """State of one scope: (start of the open window, errors in it, last alert). Three numbers,
     however many errors a scope has."""
 
-    def __init__(self, threshold: int, window_us: int, cooldown_us: int):
+    waiting_columns = ["scope", "id", "source", "content", "log_level", "us"]
+
+    def __init__(self, threshold: int, window_us: int, cooldown_us: int, hold: bool = False):
+        self.hold = hold
         self.threshold, self.window_us, self.cooldown_us = threshold, window_us, cooldown_us
         self.keep_us = max(window_us, cooldown_us)
 
@@ -60,9 +101,9 @@ class BurstProcessor(ExpiringProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("burst", "anchor bigint, errors bigint, alerted bigint")
+        self.waiting = handle.getValueState("waiting", "rows string") if self.hold else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        errors = pd.concat(list(rows)).sort_values(["us", "id"])
+    def take(self, key, errors: pd.DataFrame) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else None
         anchor, count, alerted = known if known else (None, 0, None)
         fired = []
@@ -85,7 +126,10 @@ class RepeatProcessor(ExpiringProcessor):
     """State of one (source, message): packed times of the errors in the trailing window, the newest
     logs in full, and the last report."""
 
-    def __init__(self, threshold: int, window_us: int, related: int):
+    waiting_columns = ["id", "source", "content", "us"]
+
+    def __init__(self, threshold: int, window_us: int, related: int, hold: bool = False):
+        self.hold = hold
         self.threshold, self.window_us, self.related = threshold, window_us, related
         self.keep_us = window_us
 
@@ -95,11 +139,11 @@ class RepeatProcessor(ExpiringProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("repeats", "times binary, newest string, reported bigint")
+        self.waiting = handle.getValueState("waiting", "rows string") if self.hold else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, key, errors: pd.DataFrame) -> Iterator[pd.DataFrame]:
         packed, newest, reported = self.state.get() if self.state.exists() else (b"", "[]", None)
         before = np.frombuffer(bytes(packed), dtype="<i8")
-        errors = pd.concat(list(rows)).sort_values(["us", "id"])
         if len(before):
             errors = errors[errors["us"] >= before[-1]]  # what is older has been counted or dropped
         if errors.empty:
@@ -125,10 +169,12 @@ class RepeatProcessor(ExpiringProcessor):
 def stream_error_burst(logs: DataFrame, delay: str, threshold: int = BURST_THRESHOLD,
                        window_seconds: int = BURST_WINDOW_SECONDS,
                        cooldown_seconds: int = BURST_COOLDOWN_SECONDS,
-                       scope: str | None = "source") -> DataFrame:
+                       scope: str | None = "source", hold: bool = False) -> DataFrame:
     """``error_burst`` on a stream: the errors that raise an alert, with their scope.
 
-    Errors are taken in time order within a micro-batch; one older than the open window is ignored.
+    At once, errors are taken in time order within a micro-batch, and one older than the open window is ignored.
+    With ``hold`` they wait until the watermark has passed them: alerts come ``delay`` later, and none is missed
+    or doubled when errors come out of order within the delay.
     """
     if threshold < 2:
         raise ValueError("threshold must be at least 2: a window's first error never alerts")
@@ -140,7 +186,7 @@ def stream_error_burst(logs: DataFrame, delay: str, threshold: int = BURST_THRES
                       micros(created).alias("us"), instant(created).alias("at"))
               .withWatermark("at", delay))
     fired = errors.groupBy("scope").transformWithStateInPandas(
-        BurstProcessor(threshold, window_seconds * MICROS, cooldown_seconds * MICROS),
+        BurstProcessor(threshold, window_seconds * MICROS, cooldown_seconds * MICROS, hold),
         outputStructType="scope string, id bigint, source string, content string, log_level string, us bigint",
         outputMode="Append", timeMode="EventTime")
     return fired.withColumn("created_at", from_micros(F.col("us"))).drop("us")
@@ -149,8 +195,8 @@ def stream_error_burst(logs: DataFrame, delay: str, threshold: int = BURST_THRES
 def stream_repeated_error(logs: DataFrame, delay: str, threshold: int = REPEAT_THRESHOLD,
                           window_seconds: int = REPEAT_WINDOW_SECONDS,
                           prefix_chars: int = REPEAT_PREFIX_CHARS, related: int = REPEAT_RELATED_LOGS,
-                          severity: str = "WARNING") -> DataFrame:
-    """``repeated_error`` on a stream, in the same layout."""
+                          severity: str = "WARNING", hold: bool = False) -> DataFrame:
+    """``repeated_error`` on a stream, in the same layout. ``hold``: see :func:`stream_error_burst`."""
     use_state_store(logs.sparkSession)
     created = F.col("created_at")
     prefix = normalize_message(F.col("content"), prefix_chars)
@@ -160,7 +206,7 @@ def stream_repeated_error(logs: DataFrame, delay: str, threshold: int = REPEAT_T
                       micros(created).alias("us"), instant(created).alias("at"))
               .withWatermark("at", delay))
     found = errors.groupBy("key").transformWithStateInPandas(
-        RepeatProcessor(threshold, window_seconds * MICROS, related),
+        RepeatProcessor(threshold, window_seconds * MICROS, related, hold),
         outputStructType="repeat_count bigint, "
                          "logs array<struct<id: bigint, source: string, content: string, us: bigint>>",
         outputMode="Append", timeMode="EventTime")

@@ -27,15 +27,18 @@ def event_logs(messages: DataFrame, as_of: datetime | str) -> DataFrame:
 
 def start_service(messages: DataFrame, root: str, as_of: datetime | str, delay: str = "1 minute",
                   with_index: bool = False, threshold: int = BURST_THRESHOLD,
-                  window_seconds: int = BURST_WINDOW_SECONDS, **trigger) -> dict[str, StreamingQuery]:
-    """Start storage, burst alerts, repeated-error alerts and minute metrics on one message stream."""
+                  window_seconds: int = BURST_WINDOW_SECONDS, hold: bool = False,
+                  **trigger) -> dict[str, StreamingQuery]:
+    """Start storage, burst alerts, repeated-error alerts and minute metrics on one message stream.
+
+    ``hold`` makes detectors wait for late errors: set it where partitions interleave."""
     logs = event_logs(messages, as_of)
 
     def alert_table(name: str):
         return lambda batch, load: write_alerts(batch, f"{root}/alerts", f"{name}-{load}")
 
-    bursts = burst_alerts(stream_error_burst(logs, delay, threshold, window_seconds), threshold, window_seconds)
-    repeats = pattern_alerts(stream_repeated_error(logs, delay))
+    bursts = burst_alerts(stream_error_burst(logs, delay, threshold, window_seconds, hold=hold), threshold, window_seconds)
+    repeats = pattern_alerts(stream_repeated_error(logs, delay, hold=hold))
     minutes = streaming_minute_metrics(logs, delay)
     return {
         "store": consume_events(messages, root, f"{root}/state/store", as_of, with_index, **trigger),

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -218,3 +219,23 @@ def test_lines_of_files_enter_the_same_steps(spark, tmp_path):
     events = ingest.ingest_events(lines_to_events(tail_log_files(spark, str(folder))), NOW)
     found = sorted((r.content, r.route, str(r.timestamp)) for r in drained(spark, events, tmp_path).collect())
     assert found == [("plain", "INFO", "2024-05-01 12:00:00"), ("x ERROR y", "ERROR", "2024-05-01 12:00:00")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_detectors_equal_the_batch_in_any_order(spark, logs, tmp_path, seed):
+    rows = random_logs(seed + 40)
+    rng = random.Random(seed)
+    files = [[], [], []]
+    times = sorted(r[4] for r in rows)
+    cuts = [times[len(times) // 3], times[2 * len(times) // 3]]
+    for row in rows:  # a row may come a file early or late, by up to a minute
+        moved = row[4] + timedelta(seconds=rng.randint(-60, 60))
+        files[sum(moved >= cut for cut in cuts)].append(row)
+    stream = stream_of(spark, tmp_path / "in", *files, [(10**6, "zz", "end", "ERROR", times[-1] + timedelta(days=1))])
+    fired = detectors.stream_error_burst(stream, "10 minutes", 5, 20, 60, hold=True)
+    found = sorted(r.id for r in drained(spark, fired, tmp_path / "a").collect())
+    assert found == burst_model(rows, 5, 20, 60, "source") and found
+    repeats = detectors.stream_repeated_error(stream, "10 minutes", 3, 20, hold=True)
+    mine = sorted((r.trigger_log.id, r.additional_data.repeat_count) for r in drained(spark, repeats, tmp_path / "b").collect())
+    batch = patterns.repeated_error(logs(*rows), 3, 20).collect()
+    assert mine == sorted((r.trigger_log.id, r.additional_data.repeat_count) for r in batch) and mine

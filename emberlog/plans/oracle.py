@@ -568,6 +568,8 @@ put("streaming_minute_metrics", f"""WITH {LOGS}, minutes AS (SELECT CAST(date_tr
   SELECT * FROM minutes WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(created_at) FROM logs)""")
 put("streaming_error_burst", ORACLE_SQL["error_burst"])
 put("streaming_repeated_error", ORACLE_SQL["repeated_error"])
+put("streaming_error_burst_out_of_order", ORACLE_SQL["error_burst"])
+put("streaming_repeated_error_out_of_order", ORACLE_SQL["repeated_error"])
 put("streaming_level_counters", f"""WITH {LOGS} SELECT {KNOWN.format(c='log_level')} AS level, count(*) AS processed
   FROM logs GROUP BY 1""")
 put("search_stored", ORACLE_SQL["search_index_tokens"])

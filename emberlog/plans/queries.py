@@ -1067,6 +1067,36 @@ def streaming_repeated_error(spark, folder):
     return detection_summary(spark.read.parquet(out))
 
 
+def scattered_stream(spark, folder):
+    """Logs in three micro-batches, each of them over the whole time, and a last log long after."""
+    path = scratch_path(spark, "scattered")
+    logs = logs_of(spark, folder)
+    late = logs.filter("log_level = 'ERROR'").orderBy("id").limit(1).withColumns({
+        "id": F.lit(-1).cast("long"), "source": F.lit("the end"),
+        "created_at": F.col("created_at") + F.expr("INTERVAL 2000 DAYS")})
+    for number, part in enumerate([*(logs.filter(F.col("id") % 3 == rest) for rest in (2, 0, 1)), late]):
+        part.coalesce(1).write.parquet(f"{path}/part-{number}")
+    return (spark.readStream.schema(logs.schema).option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", 1).parquet(path))
+
+
+@query
+def streaming_error_burst_out_of_order(spark, folder):
+    out = scratch_path(spark, "bursts")
+    fired = detectors.stream_error_burst(scattered_stream(spark, folder), "1000 days", scope=None, hold=True, **BURST)
+    consume.drain(fired, out, f"{out}-state")
+    return spark.read.parquet(out)
+
+
+@query
+def streaming_repeated_error_out_of_order(spark, folder):
+    out = scratch_path(spark, "repeats")
+    found = detectors.stream_repeated_error(scattered_stream(spark, folder), "1000 days",
+                                            REPEAT_THRESHOLD, REPEAT_WINDOW, hold=True)
+    consume.drain(found, out, f"{out}-state")
+    return detection_summary(spark.read.parquet(out))
+
+
 @query
 def streaming_level_counters(spark, folder):
     """Counters of a stream, as its last complete result."""

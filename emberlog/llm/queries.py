@@ -1,7 +1,7 @@
-"""The operators' registered queries over the given tables, with production parameters.
+"""The operators' registered queries over the given tables, with production parameters, and their SQL.
 
-None can be stated in DuckDB SQL: they rest on tokenizers, hashes, trained models, code point offsets of patterns with
-a rule for overlaps, or iterations. Their tests compare them with brute-force versions on small tables.
+Only two can be stated in DuckDB SQL; the others rest on tokenizers, hashes, trained models, code point offsets of
+patterns with a rule for overlaps, or iterations. Tests compare all with brute-force versions on small tables.
 """
 
 from __future__ import annotations
@@ -90,4 +90,27 @@ QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_occurrence_join, op3_soft_mixing, op4_language_id, op5_prefix_counts, op6_kd_shards,
     op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Groups by brute force: all pairs that share a shingle, and the transitive closure of their links.
+JACCARD_SQL = r"""WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingles FROM words),
+  listed AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+  links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+  least AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
+  SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id
+  FROM sets LEFT JOIN least ON doc_id = x"""
+
+#: Every query against every other vector.
+TOP_K_SQL = """WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLE_SQL = {"op2_occurrence_join": JACCARD_SQL, "op10_segment_search": TOP_K_SQL}

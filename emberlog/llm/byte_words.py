@@ -107,8 +107,8 @@ class Kept(dict):
         value = self[key] = self.make(key)
         return value
 
-    def trim(self) -> None:
-        if len(self) > KEPT_WORDS:
+    def trim(self, most: int = KEPT_WORDS) -> None:
+        if len(self) > most:
             for key in list(islice(reversed(self), len(self) // 2)):
                 del self[key]
 

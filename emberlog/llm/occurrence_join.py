@@ -28,14 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_words import Kept
 from .common import arrow_map, keyed_text, rows_of, ship_package, shuffle_partitions, written
 from .graph import components
 
 #: Classes of a cluster that are searched at once. Larger clusters are searched by pairs of blocks of this size.
 CLUSTER_BLOCK = 400
 #: Shingles of a counting block and of a bucket, about.
-BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 20, 1 << 21
+BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 19, 1 << 20
 BLOCK_SETS, MOST_BUCKETS = 60_000, 1 << 20
 #: Ids of dropped documents up to which they go to every task; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -56,14 +55,12 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.table = Kept(xxhash.xxh64_intdigest)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        hashes = np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
-        self.table.trim()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         if len(words) < self.width:  # the whole sequence as one, apart from all full shingles
             mixed = np.array([len(words)], np.uint64)
             for h in hashes:
@@ -311,7 +308,7 @@ def linked_classes(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     """(node, root) of all classes that have a link."""
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
-    buckets = min(MOST_BUCKETS, max(2 * partitions, total // BUCKET_SHINGLES))
+    buckets = min(MOST_BUCKETS, max(4 * partitions, total // BUCKET_SHINGLES))
     requests = count_requests(docs, width, buckets)
     answers = requests.groupBy("bucket").applyInPandas(lambda rows: answer_bucket(rows, buckets), MESSAGES)
     found = answers.groupBy("block").applyInPandas(surviving_classes(percent, buckets), CLASSES)

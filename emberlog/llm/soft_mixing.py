@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, rows_of, written
 
 BITS = 13
+#: Words whose bins a worker keeps.
+MOST_WORDS = 200_000
 #: Standard errors by which a domain must use a word bin more or less than all do for the bin to count.
 LEAST_SURE = 4.0
 BAGS = "doc_id long, copy long, n_tokens long, bins binary"
@@ -52,7 +54,7 @@ def word_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 words = (text or "").lower().encode("utf-8", "surrogatepass").split()
                 pairs = np.fromiter(map(table.__getitem__, words), np.uint32, len(words))
                 bins = np.unique(pairs.view(np.uint16))
-                table.trim()
+                table.trim(MOST_WORDS)
                 yield doc_id, copy, len(words), bins.astype("<u2").tobytes()
 
         return run

@@ -46,6 +46,8 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 LEAST_COSINE = 0.75
+#: Folders with a licence above them up to which they go to every task; more are joined by a shuffle.
+BROADCAST_FOLDERS = 200_000
 WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 FOUND = "doc_id long, path string, license string, score double, line int, is_file boolean"
 
@@ -181,8 +183,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
                          F.col("given.score").alias("given_score"))
     folders = own.select("folder").filter("folder IS NOT NULL").distinct()
     above = folders.select("folder", F.explode(ancestors("concat(folder, '/')")).alias("a")).select("folder", "a.*")
-    nearest = (above.join(files, "directory").groupBy("folder").agg(
-        F.max_by(F.struct("directory", "given_license", "given_score"), "depth").alias("n")).select("folder", "n.*"))
+    nearest = written(above.join(files, "directory").groupBy("folder").agg(
+        F.max_by(F.struct("directory", "given_license", "given_score"), "depth").alias("n")).select("folder", "n.*"),
+        "nearest")
+    if nearest.count() <= BROADCAST_FOLDERS:  # then a folder with a third of all files needn't meet in one task
+        nearest = F.broadcast(nearest)
     joined = own.join(nearest, "folder", "left")
     mine = F.col("license").isNotNull()
     return joined.select(

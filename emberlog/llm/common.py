@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,10 +47,21 @@ def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
                 rows = []
         if rows:
             yield pack(rows, arrow)
+        rows = []
+        release_memory()
 
     return df.mapInArrow(run, kinds)
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the machine; Spark reuses workers, and idle ones would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(

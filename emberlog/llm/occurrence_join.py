@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keyed_text, rows_of, ship_package, shuffle_partitions, written
+from .common import arrow_map, keyed_text, release_memory, rows_of, ship_package, shuffle_partitions, written
 from .graph import components
 
 #: Classes of a cluster that are searched at once. Larger clusters are searched by pairs of blocks of this size.
@@ -208,6 +208,7 @@ def answer_bucket(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
                          pack_numbers(own[shared]), pack_numbers(sets),
                          pack_numbers(np.minimum(total[shared], 2**32 - 1).astype(np.uint32))))
         out.append(pd.DataFrame(told, columns=list(rows.columns)))
+        release_memory()
     return pd.concat(out)
 
 
@@ -244,6 +245,7 @@ def surviving_classes(percent: int, buckets: int):
             those = shingles[starts[k]:starts[k] + shared[k]]
             lead = int(sizes[k] - least[k] + 1 - (sizes[k] - shared[k]))
             out.append((names[k], int(sizes[k]), those.tobytes(), those[:lead].astype(np.int64)))
+        release_memory()
         return pd.DataFrame(out, columns=["class", "n", "shingles", "prefix"])
 
     return run
@@ -338,7 +340,9 @@ def linked_classes(docs: DataFrame, width: int, percent: int, total: int) -> Dat
         sides = rows["side"].to_numpy()
         links = search_links(list(rows["class"]), rows["n"].to_numpy(), sets, sides, percent,
                              len(np.unique(sides)) > 1)
-        return pd.DataFrame(list(links), columns=["a", "b"])
+        found = pd.DataFrame(list(links), columns=["a", "b"])
+        release_memory()
+        return found
 
     jobs = alone.select(*columns).union(paired.select(*columns))
     return components(jobs.groupBy("job").applyInPandas(search, "a binary, b binary"))

@@ -1,8 +1,9 @@
 import math
 import random
+import textwrap
 from collections import Counter
 
-from emberlog.llm.license_scan import TEMPLATES, Matcher, scan_licenses, term_weights, terms
+from emberlog.llm.license_scan import OPENINGS, TEMPLATES, TEXTS, Matcher, scan_licenses, term_weights, terms
 
 SCHEMA = "doc_id long, path string, text string, license string, directory int"
 
@@ -71,3 +72,27 @@ def test_weights_cover_all_documents(spark):
     holding = sum("license" in terms(t or "") for _, _, t in data)
     assert abs(idf["license"] - math.log((len(data) + 1) / (holding + 1)) - 1) < 1e-12
     assert Matcher(TEMPLATES, idf, unseen).best(terms(TEMPLATES[3][1]))[1] == "Apache-2.0"
+
+
+def test_wrapped_headers_and_whole_licences(spark):
+    wrap = lambda text, mark="", width=60: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    code = "\n".join(f"value{k} = call{k % 7}(value{k + 1})" for k in range(300))
+    mit, bsd3, bsd2 = (text for _, text in TEXTS)
+    holder = "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    later = ", or (at your option) any later version."
+    data = [("a/gpl.py", wrap(TEMPLATES[6][1] + later, "# ") + "\n" + code, "GPL-3.0", "own"),
+            ("a/gpl.bat", code + "\n" + wrap(TEMPLATES[6][1] + later, "REM "), "GPL-3.0", "own"),
+            ("a/gpl2.c", "/*\n" + wrap(TEMPLATES[20][1] + later, " * ") + "\n */\n" + code, "GPL-2.0", "own"),
+            ("a/bsd.c", wrap(holder + TEMPLATES[10][1], "// ", 40) + "\n" + code, "BSD-3-Clause", "own"),
+            ("a/other.py", code, None, None),  # headers give nothing to others
+            ("mit/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrap(mit), "MIT", "own"),
+            ("bsd3/LICENSE", holder + wrap(bsd3), "BSD-3-Clause", "own"),
+            ("bsd2/LICENSE", holder + wrap(bsd2), "BSD-2-Clause", "own"),
+            ("apache/LICENSE", wrap(OPENINGS[0][1]) + "\n" + "legal terms of it " * 900, "Apache-2.0", "own"),
+            ("lgpl/COPYING", wrap(OPENINGS[3][1]) + "\n" + "legal terms of it " * 900, "LGPL-3.0", "own"),
+            ("a/talk.txt", code + "\n" + OPENINGS[0][1], None, None)]
+    data += [(f"{folder}/x.py", code, name, "inherited") for folder, name in (
+        ("mit", "MIT"), ("bsd3", "BSD-3-Clause"), ("bsd2", "BSD-2-Clause"), ("apache", "Apache-2.0"), ("lgpl", "LGPL-3.0"))]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t, _, _) in enumerate(data)], "doc_id long, path string, text string")
+    found = {r.path: (r.license, r.origin) for r in scan_licenses(docs).collect()}
+    assert found == {p: (name, origin) for p, _, name, origin in data}

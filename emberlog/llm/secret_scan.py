@@ -4,7 +4,7 @@ Three base patterns always count. Besides, a text may hold a credential in parts
 an endpoint, each harmless or doubtful alone. Parts are spans; the scope of a part is its span widened by a fixed
 number of code points. An interval join of the parts decides: a weak secret (a long mixed token without any keyword) is
 reported only if its scope meets an access identifier or an endpoint, and an endpoint only if its scope meets a
-secret. Each part needs one partner within its scope, found by two probes of sorted spans; pairs are not listed.
+secret. A token may be the value of an assignment, but not its name; inside an endpoint it is a part of that. Each part needs one partner within its scope, found by two probes of sorted spans; pairs are not listed.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 #: Parts of multipart credentials.
-WEAK = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+WEAK = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:https?|wss?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x00-\x20\"'<>]+"
 KINDS = ("assign", "access", "hex", "weak", "endpoint")
 

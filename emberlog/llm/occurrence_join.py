@@ -156,7 +156,7 @@ def unpack_shingles(packed: bytes, bucket: int, buckets: int) -> np.ndarray:
 def block_messages(sets: dict[bytes, np.ndarray], block: int, buckets: int) -> Iterator[tuple]:
     names, found = list(sets), list(sets.values())
     lengths = np.array([len(x) for x in found], np.uint32)
-    home = block % buckets
+    home = xxhash.xxh64_intdigest(block.to_bytes(8, "little")) % buckets
     yield home, block, OWN, b"".join(names), lengths.tobytes(), None, None
     shingles = np.concatenate(found)
     owner = np.repeat(np.arange(len(found), dtype=np.uint16), lengths)
@@ -321,31 +321,41 @@ def linked_classes(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     heads = lists.groupBy("shingle").agg(F.min("class").alias("a"), F.count("*").alias("n")).filter("n > 1")
     clusters = components(lists.join(heads, "shingle").select("a", F.col("class").alias("b")))
 
-    members = classes.withColumn("key", F.xxhash64(F.element_at("prefix", -1))).drop("prefix").join(
-        clusters.withColumnRenamed("node", "class"), "class")
+    members = classes.drop("prefix").join(clusters.withColumnRenamed("node", "class"), "class")
     sizes = written(clusters.groupBy("root").agg(F.count("*").alias("members")), "sizes")
-    small = sizes.filter(F.col("members") <= CLUSTER_BLOCK).agg(F.sum("members")).first()[0] or 0
-    bins = max(1, small // CLUSTER_BLOCK)
-    placed = members.join(sizes, "root").withColumn(
-        "blocks", F.ceil(F.col("members") / CLUSTER_BLOCK).cast("int")).withColumn("side", F.pmod("key", "blocks").cast("int"))
-    alone = placed.filter("blocks = 1").withColumn(
-        "job", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.filter("blocks > 1").withColumn("other", other).withColumn(
-        "job", F.concat_ws(" ", F.hex("root"), F.least("side", "other"), F.greatest("side", "other")))
-    columns = ["job", "class", "n", "shingles", "side"]
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
+        sides, crossed = rows["side"].to_numpy(), bool(rows["crossed"].iloc[0])
+        if crossed and len(np.unique(sides)) == 1:  # the other block has no rows; this one has a job of its own
+            return pd.DataFrame([], columns=["a", "b"])
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        sides = rows["side"].to_numpy()
-        links = search_links(list(rows["class"]), rows["n"].to_numpy(), sets, sides, percent,
-                             len(np.unique(sides)) > 1)
+        links = search_links(list(rows["class"]), rows["n"].to_numpy(), sets, sides, percent, crossed)
         found = pd.DataFrame(list(links), columns=["a", "b"])
         release_memory()
         return found
 
-    jobs = alone.select(*columns).union(paired.select(*columns))
-    return components(jobs.groupBy("job").applyInPandas(search, "a binary, b binary"))
+    return components(search_jobs(members, sizes).groupBy("job").applyInPandas(search, "a binary, b binary"))
+
+
+def search_jobs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(job, class, n, shingles, side, crossed): what is searched together.
+
+    Small clusters share a job. A large one is cut by a hash of the class, which is even whatever the texts share: each
+    block has a job of its own, and each pair of blocks one for the links across.
+    """
+    small = sizes.filter(F.col("members") <= CLUSTER_BLOCK).agg(F.sum("members")).first()[0] or 0
+    bins = max(1, small // CLUSTER_BLOCK)
+    placed = members.join(sizes, "root").withColumn(
+        "blocks", F.ceil(F.col("members") / CLUSTER_BLOCK).cast("int")).withColumn(
+        "side", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    alone = placed.filter("blocks = 1").withColumn("crossed", F.lit(False)).withColumn(
+        "job", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins))))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = placed.filter("blocks > 1").withColumn("other", other).withColumn(
+        "crossed", F.col("side") != F.col("other")).withColumn(
+        "job", F.concat_ws(" ", F.hex("root"), F.least("side", "other"), F.greatest("side", "other")))
+    columns = ["job", "class", "n", "shingles", "side", "crossed"]
+    return alone.select(*columns).union(paired.select(*columns))
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85,

@@ -100,3 +100,29 @@ def test_packed_numbers_come_back():
         shingles = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64) // np.uint64(7) * np.uint64(7) + np.uint64(3))
         packed = occurrence_join.pack_shingles(shingles, 3, 7)
         assert (occurrence_join.unpack_shingles(packed, 3, 7) == shingles).all()
+
+
+def test_form_letters_spread_over_jobs(spark, monkeypatch):
+    """Different texts with equal shared shingles, and so with the same prefix: one cluster."""
+    monkeypatch.setattr(occurrence_join, "CLUSTER_BLOCK", 200)
+    seen = []
+    search_jobs = occurrence_join.search_jobs
+
+    def watched(members, sizes):
+        jobs = search_jobs(members, sizes)
+        seen.extend(jobs.groupBy("job").count().collect())
+        return jobs
+
+    monkeypatch.setattr(occurrence_join, "search_jobs", watched)
+    words = [f"w{k}" for k in range(120)]
+    docs = spark.createDataFrame([(k, " ".join([*words[:60], f"name{k}", *words[60:]])) for k in range(3000)],
+                                 "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in jaccard_groups(docs).collect()} == {0}
+    assert len(seen) == 15 * 16 // 2 and max(r["count"] for r in seen) < 2.5 * 200
+
+
+def test_sets_of_blocks_spread_over_buckets():
+    import numpy as np
+    sets = {b"0" * 16: np.arange(3, dtype=np.uint64)}
+    homes = {next(occurrence_join.block_messages(sets, part << 32, 64))[0] for part in range(64)}
+    assert len(homes) > 20

@@ -573,3 +573,4 @@ put("streaming_repeated_error_out_of_order", ORACLE_SQL["repeated_error"])
 put("streaming_level_counters", f"""WITH {LOGS} SELECT {KNOWN.format(c='log_level')} AS level, count(*) AS processed
   FROM logs GROUP BY 1""")
 put("search_stored", ORACLE_SQL["search_index_tokens"])
+put("search_partly_indexed", ORACLE_SQL["search_index_tokens"])

@@ -1116,3 +1116,14 @@ def search_stored(spark, folder):
     rows = ingest.to_log_rows(docs.withColumnsRenamed({"log_level": "logLevel", "created_at": "timestamp"}), AS_OF)
     consume.store_batch(rows, root, "first", with_index=True)
     return searching.search_store(spark, root, keyword=DOC_KEYWORD, source="src1")
+
+
+@query
+def search_partly_indexed(spark, folder):
+    """Two loads of a store, the second without an index."""
+    root = scratch_path(spark, "store")
+    docs = doc_logs_of(spark, folder)
+    rows = ingest.to_log_rows(docs.withColumnsRenamed({"log_level": "logLevel", "created_at": "timestamp"}), AS_OF)
+    consume.store_batch(rows.filter("id % 2 = 0"), root, "first", with_index=True)
+    consume.store_batch(rows.filter("id % 2 <> 0"), root, "second")
+    return searching.search_store(spark, root, keyword=DOC_KEYWORD, source="src1")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from emberlog.functions.compression import decompress
 from emberlog.operators.counts import recent_errors
-from emberlog.operators.search import search
+from emberlog.operators.search import build_index, search
 from emberlog.schemas import RECENT_ERRORS
-from emberlog.sinks.tables import read_index, read_logs, table_days, table_exists
+from emberlog.sinks.tables import (BASE_LOAD, indexed_loads, read_index, read_load_logs, read_logs, table_days,
+                                   table_exists)
 
 
 def readable(logs: DataFrame) -> DataFrame:
@@ -32,9 +34,32 @@ def recent_store_errors(spark: SparkSession, root: str, limit: int = RECENT_ERRO
 def search_store(spark: SparkSession, root: str, engine: str = "auto", **criteria) -> DataFrame:
     """Search the tables below ``root``: through the index where one is stored, else through the logs.
 
-    Sort and cut the result with ``page``; count it with ``page_totals``.
+    "auto" searches loads that are wholly indexed through the index and the logs of all others by the same rules, so
+    that the result is that of a full index; where no load is, or the index can't be opened, it searches the logs.
+    "index" searches what is in the index only. Sort and cut the result with ``page``; count it with ``page_totals``.
     """
-    index = None
-    if engine != "table" and table_exists(spark, f"{root}/index/terms"):
-        index = read_index(spark, f"{root}/index")
-    return search(readable(read_logs(spark, f"{root}/logs")), index, engine, **criteria)
+    path, logs = f"{root}/index", read_load_logs(spark, f"{root}/logs")
+    index, rest = None, None
+    if engine == "index" and table_exists(spark, f"{path}/terms"):
+        index = read_index(spark, path)
+    elif engine == "auto":
+        try:
+            loads = indexed_loads(spark, path)
+            if loads is not None:
+                index = read_index(spark, path, loads)
+                rest = _not_indexed(logs, loads, index.documents)
+        except AnalysisException:
+            index = None
+    found = search(readable(logs.drop("load_id")), index, engine, **criteria)
+    if index is None or rest is None:
+        return found
+    return found.unionByName(search(logs, build_index(readable(rest.drop("load_id"))), **criteria))
+
+
+def _not_indexed(logs: DataFrame, loads: DataFrame, documents: DataFrame) -> DataFrame:
+    """Logs of loads that are not indexed. Rewritten days mix rows of several loads, so there the ids tell."""
+    logs = logs.join(loads, "load_id", "left_anti")
+    base = F.col("load_id").startswith(BASE_LOAD)
+    known = documents.select(F.col("id").alias("_id"))
+    mixed = logs.filter(base).join(known, F.col("id").cast("string") == F.col("_id"), "left_anti")
+    return logs.filter(~base).unionByName(mixed)

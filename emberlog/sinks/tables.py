@@ -129,6 +129,7 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
 
 TERMS_SCHEMA = "term string, id string, bucket int, load_id string"
 GRAMS_SCHEMA = "gram string, term string, bucket int, load_id string"
+INDEXED_SCHEMA = "done boolean, load_id string"
 DOCUMENTS_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("content", T.StringType()), T.StructField("log_level", T.StringType()),
@@ -155,11 +156,20 @@ def index_logs(logs: DataFrame, path: str, load_id: str | None = None, with_ngra
     if with_ngrams:
         terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms").filter(this_load)
         _write_bucketed(index_grams(terms), f"{path}/grams", load, "gram")
+    (spark.createDataFrame([(True, load)], INDEXED_SCHEMA).write.mode("overwrite")  # last: the load is whole
+     .option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(f"{path}/loads"))
     return load
 
 
-def read_index(spark: SparkSession, path: str) -> SearchIndex:
-    """The stored index. Loads whose n-grams were not stored get them from their terms, when asked for."""
+def indexed_loads(spark: SparkSession, path: str) -> DataFrame | None:
+    """Ids of the loads that are wholly in the index, if there are any."""
+    folder = f"{path}/loads"
+    return spark.read.schema(INDEXED_SCHEMA).parquet(folder).select("load_id") if table_exists(spark, folder) else None
+
+
+def read_index(spark: SparkSession, path: str, loads: DataFrame | None = None) -> SearchIndex:
+    """The stored index, or of it the documents of ``loads``. Loads whose n-grams were not stored get them from their
+    terms, when asked for."""
     terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms")
     if table_exists(spark, f"{path}/grams"):
         grams = spark.read.schema(GRAMS_SCHEMA).parquet(f"{path}/grams")
@@ -167,8 +177,10 @@ def read_index(spark: SparkSession, path: str) -> SearchIndex:
         grams = grams.select("gram", "term", "bucket").unionByName(_bucketed_grams(bare))
     else:
         grams = _bucketed_grams(terms)
-    return SearchIndex(_read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).drop("load_id"),
-                       terms.drop("load_id"), grams)
+    documents = _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA)
+    if loads is not None:
+        documents = documents.join(loads, "load_id", "left_semi")
+    return SearchIndex(documents.drop("load_id"), terms.drop("load_id"), grams)
 
 
 def _bucketed_grams(terms: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import search
+from emberlog.plans.searching import search_store
+from emberlog.schemas import LOGS_SCHEMA
 from emberlog.sinks import tables
 from emberlog.sources.tables import count_all, find_by_id
 
@@ -101,3 +103,23 @@ def test_lookups(some):
     assert ids(search.find_by_source(documents, "api")) == [3]
     assert ids(search.find_by_time(documents, "2024-01-01 12:00:00", "2024-01-01 12:00:00")) == [3]
     assert documents.filter(F.col("id") == "3").first().timestamp.microsecond == 0
+
+
+def test_loads_without_index_are_found(spark, logs, tmp_path):
+    root = str(tmp_path)
+    parts = {load: logs((k, "a", f"disk {load}", "INFO", "2024-01-01 10:00:00"), (k + 10, "a", "disks", "INFO", "2024-01-02 10:00:00"))
+             for k, load in enumerate(("one", "two", "three"))}
+    for load, rows in parts.items():
+        tables.write_logs(rows, f"{root}/logs", load)
+    assert ids(search_store(spark, root, keyword="disk")) == [0, 1, 2, 10, 11, 12]  # no index: a text in the logs
+    tables.index_logs(parts["one"], f"{root}/index", "one")
+    tables.index_logs(parts["two"], f"{root}/index", "two")
+    assert ids(search_store(spark, root, keyword="disk")) == [0, 1, 2]
+    assert ids(search_store(spark, root, engine="index", keyword="disk")) == [0, 1]
+    assert ids(search_store(spark, root, keyword="three two")) == [1, 2]
+    tables.compact_day(spark, f"{root}/logs", "2024-01-01", LOGS_SCHEMA)  # rows of indexed and other loads in one
+    assert ids(search_store(spark, root, keyword="disk")) == [0, 1, 2]
+    documents = spark.read.parquet(f"{root}/index/documents").filter("load_id = 'two'")
+    half = documents.withColumn("load_id", F.lit("half"))  # a load that stopped before its terms were written
+    half.write.mode("append").partitionBy("log_date", "load_id").parquet(f"{root}/index/documents")
+    assert ids(search_store(spark, root)) == [0, 1, 2, 10, 11, 12]

@@ -1,6 +1,6 @@
 """The operators' registered queries over the given tables, with production parameters, and their SQL.
 
-Only two can be stated in DuckDB SQL; the others rest on tokenizers, hashes, trained models, code point offsets of
+Three can be stated in DuckDB SQL; the others rest on tokenizers, hashes, trained models, code point offsets of
 patterns with a rule for overlaps, or iterations. Tests compare all with brute-force versions on small tables.
 """
 
@@ -17,6 +17,7 @@ from .kd_shards import kd_shards
 from .language_id import identify_languages
 from .license_scan import scan_licenses
 from .occurrence_join import jaccard_groups
+from .phrase_mining import collocations
 from .prefix_counts import longest_prefix, prefix_counts
 from .secret_scan import scan_secrets
 from .segment_search import build_index, top_k
@@ -86,9 +87,14 @@ def op10_segment_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(build_index(vectors), vectors.filter("vec_id % 100 = 0"), 10)
 
 
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language."""
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_occurrence_join, op3_soft_mixing, op4_language_id, op5_prefix_counts, op6_kd_shards,
-    op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search)}
+    op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search, op13_phrase_mining)}
 
 #: Groups by brute force: all pairs that share a shingle, and the transitive closure of their links.
 JACCARD_SQL = r"""WITH RECURSIVE words AS (
@@ -113,4 +119,29 @@ TOP_K_SQL = """WITH vectors AS (
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
   SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
-ORACLE_SQL = {"op2_occurrence_join": JACCARD_SQL, "op10_segment_search": TOP_K_SQL}
+#: Every phrase of every piece, counted by brute force.
+PHRASES_SQL = r"""WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+  totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+  sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM worded),
+  placed AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM sized),
+  counted AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM placed
+    GROUP BY ALL HAVING count(*) >= 30),
+  candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1),
+  cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+  scored AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, cut,
+      CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score FROM cuts c
+    JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  sizes AS (SELECT *, unnest(range(2, k)) AS size FROM candidates),
+  inner_places AS (SELECT *, unnest(range(1, k - size + 2)) AS i FROM sizes),
+  covering AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS most FROM inner_places GROUP BY ALL),
+  kept AS (SELECT b.* FROM best b LEFT JOIN covering c ON b.lang = c.lang AND b.phrase = c.phrase
+    WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op13_phrase_mining": PHRASES_SQL, "op2_occurrence_join": JACCARD_SQL, "op10_segment_search": TOP_K_SQL}

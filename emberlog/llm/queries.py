@@ -22,6 +22,7 @@ from .prefix_counts import longest_prefix, prefix_counts
 from .secret_scan import scan_secrets
 from .segment_search import build_index, top_k
 from .soft_mixing import mix
+from .vector_packing import place_pieces, token_pieces
 
 TOKEN_LIMIT = 1024
 
@@ -87,6 +88,13 @@ def op10_segment_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(build_index(vectors), vectors.filter("vec_id % 100 = 0"), 10)
 
 
+def op11_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece's sequence of 1,024 tokens and its place there, with the checksum of its ids as read back."""
+    pieces = token_pieces(table(spark, folder, "documents"), scratch_path(spark, "pieces"))
+    return place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 strongest phrases of each language."""
     return collocations(table(spark, folder, "documents"))
@@ -94,7 +102,8 @@ def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_occurrence_join, op3_soft_mixing, op4_language_id, op5_prefix_counts, op6_kd_shards,
-    op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search, op13_phrase_mining)}
+    op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search, op11_vector_packing,
+    op13_phrase_mining)}
 
 #: Groups by brute force: all pairs that share a shingle, and the transitive closure of their links.
 JACCARD_SQL = r"""WITH RECURSIVE words AS (

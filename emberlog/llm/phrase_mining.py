@@ -2,8 +2,9 @@
 
 A sample of the documents proposes phrases. A full pass counts the proposed ones and their negative border: every
 phrase that was not proposed though both of its parts one word shorter were. A border phrase that turns out frequent
-breaks the proposal; it joins, and another full pass counts the border that it opens, until none is frequent. As each
-part of a frequent phrase is frequent, all frequent phrases are then known.
+breaks the proposal; it joins, and an expansion pass counts the border that it opens, and the border of that border, as
+far as phrases go. As each part of a frequent phrase is frequent, either is proposed or lies on a border counted so
+far, or failed and joined: one expansion closes the set, and all frequent phrases are known.
 
 Passes count 64-bit hashes of phrases: a collision can only add a false candidate, never lose one. The proposal goes to
 the tasks as a bitmap of bounded size; with more phrases than it can tell apart, tasks count more than the border, never
@@ -30,11 +31,11 @@ from .common import release_memory, written
 #: Words of the longest phrase.
 LONGEST = 4
 #: Share of the documents in the sample, and of the threshold that makes a phrase frequent in it.
-SAMPLE, LOWERED = 0.25, 0.4
+SAMPLE, LOWERED = 0.1, 0.67
 #: Bits of a proposal's bitmap: 16 a phrase, between these powers of two (128 KB to 32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of text that a task handles at once, and distinct phrases that it holds before it hands them on.
-BLOCK_BYTES, HELD = 3_000_000, 3_000_000
+BLOCK_BYTES, HELD = 1_500_000, 2_000_000
 COUNTED, NAMED = "key long, n long", "lang string, words int, phrase string, n long"
 #: Piece ends become line feeds, tabs become blanks, A-Z become a-z.
 FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -92,16 +93,16 @@ class Block:
             return np.zeros(0, np.uint64)
         lengths = self.ends - self.starts
         firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+        place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(firsts.astype(np.int32), lengths)
         terms = weights.first(int(lengths.max()))[place]
         terms *= self.bytes[self.inside].astype(np.uint64) + np.uint64(1)
         return np.add.reduceat(terms, firsts)
 
-    def hashes(self) -> list[np.ndarray]:
+    def hashes(self, weights: Weights | None = None) -> list[np.ndarray]:
         """By words of a phrase from 1 on: the hash of the phrase of the word's language that begins at each word."""
         tongue = np.array([int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
                            for lang in self.langs], np.uint64)
-        word = _mixed(self.spelled(self.weights) + _mixed(tongue)[self.lang])
+        word = _mixed(self.spelled(weights or self.weights) + _mixed(tongue)[self.lang])
         found = [word]
         for size in range(2, LONGEST + 1):
             found.append(_mixed(found[-1][:len(word) - size + 1] * np.uint64(0x9FB21C651E98DF25)
@@ -135,11 +136,25 @@ def on_border(hashes: list[np.ndarray], whole: Callable[[int], np.ndarray], prop
         here = whole(size)
         if proposal is not None:
             parts = proposal.holds(hashes[size - 2]) if size - 1 <= known else may[-1]
-            here = here & parts[:len(here)] & parts[1:len(here) + 1]
+            here &= parts[:len(here)] & parts[1:len(here) + 1]
         may.append(here)
     return may
 
 
+def opened(hashes: list[np.ndarray], whole: Callable[[int], np.ndarray], proposal: Proposal,
+           counted: Proposal) -> list[np.ndarray]:
+    """By words of a phrase: whether it was not on the border of ``counted``, and each of its parts is proposed or in
+    turn is such a phrase."""
+    fresh = [np.zeros(len(hashes[0]), bool)]
+    for size, before in zip(range(2, LONGEST + 1), on_border(hashes, whole, counted, LONGEST)[1:], strict=True):
+        parts = proposal.holds(hashes[size - 2])
+        parts |= fresh[-1]
+        here = whole(size)
+        here &= parts[:len(here)] & parts[1:len(here) + 1] & ~before
+        fresh.append(here)
+    return fresh
+
+
 def bitmap(keys: DataFrame, power: int) -> bytes:
     """One bit for each hash of ``keys``, at most 2 ** ``power`` bits: built in the cluster, put together here."""
     at = F.expr(f"(key & {(1 << power) - 1}) + 1")
@@ -189,7 +204,7 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def count_hashes(texts: DataFrame, sizes: tuple[int, ...], proposal=None, counted=None,
                  known: int = LONGEST) -> DataFrame:
     """(key, n) of the phrases of ``sizes`` words that are proposed or on the border of ``proposal`` (a broadcast
-    bitmap; none: all phrases), but for those that a pass with ``counted`` took in."""
+    bitmap; none: all phrases); with ``counted``, of those that the proposal opens beyond that border."""
     ship_package(texts.sparkSession)
 
     def run(batches):
@@ -206,10 +221,8 @@ def count_hashes(texts: DataFrame, sizes: tuple[int, ...], proposal=None, counte
         for block, langs in _blocks(batches):
             words = Block(block, langs)
             hashes = words.hashes()
-            chosen = on_border(hashes, words.whole, new, known)
-            if old is not None:
-                before = on_border(hashes, words.whole, old, known)
-                chosen = [a & ~b for a, b in zip(chosen, before, strict=True)]
+            chosen = (on_border(hashes, words.whole, new, known) if old is None
+                      else opened(hashes, words.whole, new, old))
             for k in sizes:
                 keys, counts = np.unique(hashes[k - 1][chosen[k - 1]], return_counts=True)
                 held.append((keys, counts.astype(np.int64)))
@@ -225,47 +238,93 @@ def count_hashes(texts: DataFrame, sizes: tuple[int, ...], proposal=None, counte
         held = []
         release_memory()
 
-    return texts.mapInArrow(run, COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
+    # A task hands on each key about once, so the engine's own partial sums would only cost.
+    return texts.mapInArrow(run, COUNTED).repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+class Spelled:
+    """Phrases that a task has met: sorted hashes, a second hash of each, and its language, size and bytes."""
+
+    def __init__(self):
+        self.keys = self.marks = np.zeros(0, np.uint64)
+        self.rows = np.zeros(0, np.int64)
+        self.langs: list[str] = []
+        self.sizes: list[int] = []
+        self.phrases: list[bytes] = []
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is or would be, and whether it is there."""
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        there[inside] = self.keys[at[inside]] == keys[inside]
+        return at, there
+
+    def meet(self, words: Block, size: int, keys: np.ndarray, marks: np.ndarray, begins: np.ndarray) -> None:
+        at, there = self.find(keys)
+        if (self.marks[at[there]] != marks[there]).any():
+            raise ValueError("two phrases share a hash: choose other weights")
+        begins = begins[~there]
+        spans = [words.starts[begins], words.ends[begins]]
+        parts = [words.data[a:b] for a, b in zip(*(x.tolist() for x in spans), strict=True)]
+        for step in range(1, size):
+            more = zip(words.starts[begins + step].tolist(), words.ends[begins + step].tolist(), strict=True)
+            parts = [part + b" " + words.data[a:b] for part, (a, b) in zip(parts, more, strict=True)]
+        self.langs += [words.langs[k] for k in words.lang[begins].tolist()]
+        self.sizes += [size] * len(parts)
+        rows = np.arange(len(self.phrases), len(self.phrases) + len(parts))
+        self.phrases += parts
+        keys = np.concatenate([self.keys, keys[~there]])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.marks = np.concatenate([self.marks, marks[~there]])[order]
+        self.rows = np.concatenate([self.rows, rows])[order]
 
 
 def count_words(texts: DataFrame, frequent) -> DataFrame:
     """(lang, words, phrase, n) of the phrases whose hash is in the bitmap ``frequent``, by the words themselves, and
-    of each language the number of its words, with a null phrase."""
+    of each language the number of its words, with a null phrase. Phrases of a task that share one hash but not a
+    second one end it."""
     ship_package(texts.sparkSession)
 
     def run(batches):
         chosen = Proposal(np.frombuffer(frequent.value, np.uint8))
-        for block, langs in _blocks(batches):
-            words = Block(block, langs)
-            rows: list[tuple[str, int, str | None, int]] = []
-            for lang, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
-                rows.append((langs[lang], 0, None, int(n)))
-            hashes = words.hashes()
-            _, first, number = np.unique(hashes[0], return_index=True, return_inverse=True)
-            check = words.spelled(words.checks)
-            if (check[first][number] != check).any() or (words.lang[first][number] != words.lang).any():
-                raise ValueError("two words of a block share a hash: choose other weights")
-            spelled = {}
-
-            def spell(i, words=words, spelled=spelled):
-                if i not in spelled:
-                    spelled[i] = words.data[words.starts[i]:words.ends[i]].decode("utf-8", "replace")
-                return spelled[i]
+        met, totals, held = Spelled(), {}, []
 
-            for size in range(1, LONGEST + 1):
-                at = np.flatnonzero(words.whole(size) & chosen.holds(hashes[size - 1]))
-                code = number[at].astype(np.int64)
-                for step in range(1, size):  # numbers of the phrases so far, so codes stay below 2 ** 63
-                    code = np.unique(code, return_inverse=True)[1] * len(first) + number[at + step]
-                _, where, n = np.unique(code, return_index=True, return_counts=True)
-                for i, times in zip(at[where].tolist(), n.tolist(), strict=True):
-                    phrase = " ".join(spell(int(first[number[i + step]])) for step in range(size))
-                    rows.append((langs[words.lang[i]], size, phrase, times))
+        def out():
+            rows = [(lang, 0, None, n) for lang, n in totals.items()]
+            if held:
+                keys, counts = _merged(held)
+                for row, n in zip(met.rows[met.find(keys)[0]].tolist(), counts.tolist(), strict=True):
+                    rows.append((met.langs[row], met.sizes[row], met.phrases[row].decode("utf-8", "replace"), n))
             for at in range(0, len(rows), 16_384):
                 columns = zip(*rows[at:at + 16_384], strict=True)
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                                  names=["lang", "words", "phrase", "n"])
+
+        for block, langs in _blocks(batches):
+            words = Block(block, langs)
+            for lang, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
+                totals[langs[lang]] = totals.get(langs[lang], 0) + int(n)
+            hashes, checks = words.hashes(), words.hashes(words.checks)
+            for size in range(1, LONGEST + 1):
+                at = np.flatnonzero(words.whole(size) & chosen.holds(hashes[size - 1]))
+                order = at[np.argsort(hashes[size - 1][at], kind="stable")]
+                keys, marks = hashes[size - 1][order], checks[size - 1][order]
+                new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+                if (marks[1:] != marks[:-1])[~new[1:]].any():
+                    raise ValueError("two phrases share a hash: choose other weights")
+                firsts = np.flatnonzero(new)
+                met.meet(words, size, keys[firsts], marks[firsts], order[firsts])
+                held.append((keys[firsts], np.diff(np.append(firsts, len(keys)))))
+            if sum(len(keys) for keys, _ in held) > HELD:
+                held = [_merged(held)]
+            if len(met.phrases) > HELD // 5:
+                yield from out()
+                met, totals, held = Spelled(), {}, []
+        yield from out()
+        met, held = None, []
         release_memory()
 
     return texts.mapInArrow(run, NAMED).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
@@ -299,13 +358,11 @@ def frequent_phrases(docs: DataFrame, least: int = 30, sample: float = SAMPLE, l
     border = share_bitmap(bitmap(proposed, power))
     counts = often(count_hashes(texts, (1, 2, 3, 4), border), least)
     frequent = counts.select("key")
-    failed, before = written(frequent.join(proposed, "key", "left_anti"), "failures"), border
-    while failed.take(1):
-        proposed = proposed.union(failed)
-        after = share_bitmap(_either(before.value, bitmap(failed, power)))
-        more = often(count_hashes(texts, (2, 3, 4), after, before), least).select("key")
-        frequent = frequent.union(more)
-        failed, before = written(more.join(proposed, "key", "left_anti"), "failures"), after
+    failed = written(frequent.join(proposed, "key", "left_anti"), "failures")
+    if failed.take(1):
+        both = np.frombuffer(border.value, np.uint8) | np.frombuffer(bitmap(failed, power), np.uint8)
+        frequent = frequent.union(often(count_hashes(texts, (2, 3, 4), share_bitmap(both.tobytes()), border), least)
+                                  .select("key"))
     power = _power(frequent.count())
     return count_words(texts, share_bitmap(bitmap(frequent, power))).filter(
         (F.col("n") >= least) | F.col("phrase").isNull())
@@ -315,10 +372,6 @@ def _power(phrases: int) -> int:
     return min(max(math.ceil(math.log2(16 * max(phrases, 1))), LEAST_BITS), MOST_BITS)
 
 
-def _either(a: bytes, b: bytes) -> bytes:
-    return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
-
-
 def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int = 2000, sample: float = SAMPLE,
                  lowered: float = LOWERED, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two to four words of each language.

@@ -34,8 +34,9 @@ LONGEST = 4
 SAMPLE, LOWERED = 0.1, 0.67
 #: Bits of a proposal's bitmap: 16 a phrase, between these powers of two (128 KB to 32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
-#: Bytes of text that a task handles at once, and distinct phrases that it holds before it hands them on.
-BLOCK_BYTES, HELD = 1_500_000, 2_000_000
+#: Bytes of text that a task handles at once, and distinct phrases that it holds, as hashes and spelled, before it
+#: hands them on.
+BLOCK_BYTES, HELD, SPELLED = 1_500_000, 2_000_000, 1_500_000
 COUNTED, NAMED = "key long, n long", "lang string, words int, phrase string, n long"
 #: Piece ends become line feeds, tabs become blanks, A-Z become a-z.
 FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -320,7 +321,7 @@ def count_words(texts: DataFrame, frequent) -> DataFrame:
                 held.append((keys[firsts], np.diff(np.append(firsts, len(keys)))))
             if sum(len(keys) for keys, _ in held) > HELD:
                 held = [_merged(held)]
-            if len(met.phrases) > HELD // 5:
+            if len(met.phrases) > SPELLED:
                 yield from out()
                 met, totals, held = Spelled(), {}, []
         yield from out()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.session import scratch_path
 
 from . import bit_planes
+from .conversation_repair import damage, repair_conversations
 from .decontaminate import contaminated
 from .kd_shards import kd_shards
 from .language_id import identify_languages
@@ -95,6 +96,12 @@ def op11_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after the stated damage."""
+    conversations = table(spark, folder, "conversations")
+    return repair_conversations(conversations, damage(conversations))
+
+
 def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 strongest phrases of each language."""
     return collocations(table(spark, folder, "documents"))
@@ -103,7 +110,7 @@ def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_occurrence_join, op3_soft_mixing, op4_language_id, op5_prefix_counts, op6_kd_shards,
     op7_decontaminate, op8_license_scan, op9_secret_scan, op10_segment_search, op11_vector_packing,
-    op13_phrase_mining)}
+    op12_conversation_repair, op13_phrase_mining)}
 
 #: Groups by brute force: all pairs that share a shingle, and the transitive closure of their links.
 JACCARD_SQL = r"""WITH RECURSIVE words AS (

@@ -36,7 +36,7 @@ SAMPLE, LOWERED = 0.1, 0.67
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of text that a task handles at once, and distinct phrases that it holds, as hashes and spelled, before it
 #: hands them on.
-BLOCK_BYTES, HELD, SPELLED = 1_500_000, 2_000_000, 1_500_000
+BLOCK_BYTES, HELD, SPELLED = 1_500_000, 2_000_000, 1_000_000
 COUNTED, NAMED = "key long, n long", "lang string, words int, phrase string, n long"
 #: Piece ends become line feeds, tabs become blanks, A-Z become a-z.
 FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -248,38 +248,46 @@ class Spelled:
 
     def __init__(self):
         self.keys = self.marks = np.zeros(0, np.uint64)
-        self.rows = np.zeros(0, np.int64)
-        self.langs: list[str] = []
-        self.sizes: list[int] = []
-        self.phrases: list[bytes] = []
+        self.rows = self.ends = np.zeros(0, np.int64)
+        self.langs, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.data = bytearray()
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash is or would be, and whether it is there."""
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def meet(self, words: Block, size: int, keys: np.ndarray, marks: np.ndarray, begins: np.ndarray) -> None:
+        """Take in the phrases of ``size`` words with these sorted hashes that begin at these words."""
         at = np.searchsorted(self.keys, keys)
         there = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         there[inside] = self.keys[at[inside]] == keys[inside]
-        return at, there
-
-    def meet(self, words: Block, size: int, keys: np.ndarray, marks: np.ndarray, begins: np.ndarray) -> None:
-        at, there = self.find(keys)
         if (self.marks[at[there]] != marks[there]).any():
             raise ValueError("two phrases share a hash: choose other weights")
-        begins = begins[~there]
-        spans = [words.starts[begins], words.ends[begins]]
-        parts = [words.data[a:b] for a, b in zip(*(x.tolist() for x in spans), strict=True)]
-        for step in range(1, size):
-            more = zip(words.starts[begins + step].tolist(), words.ends[begins + step].tolist(), strict=True)
-            parts = [part + b" " + words.data[a:b] for part, (a, b) in zip(parts, more, strict=True)]
-        self.langs += [words.langs[k] for k in words.lang[begins].tolist()]
-        self.sizes += [size] * len(parts)
-        rows = np.arange(len(self.phrases), len(self.phrases) + len(parts))
-        self.phrases += parts
-        keys = np.concatenate([self.keys, keys[~there]])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.marks = np.concatenate([self.marks, marks[~there]])[order]
-        self.rows = np.concatenate([self.rows, rows])[order]
+        at, keys, marks, begins = at[~there], keys[~there], marks[~there], begins[~there]
+        text, spans = words.data, [(words.starts[begins + k].tolist(), words.ends[begins + k].tolist()) for k in range(size)]
+        parts = [text[a:b] for a, b in zip(*spans[0], strict=True)]
+        for span in spans[1:]:
+            parts = [part + b" " + text[a:b] for part, a, b in zip(parts, *span, strict=True)]
+        ends = len(self.data) + np.cumsum([len(part) for part in parts], dtype=np.int64)
+        self.data += b"".join(parts)
+        self.rows = np.insert(self.rows, at, len(self.ends) + np.arange(len(parts)))
+        self.keys, self.marks = np.insert(self.keys, at, keys), np.insert(self.marks, at, marks)
+        self.ends = np.concatenate([self.ends, ends])
+        self.langs = np.concatenate([self.langs, words.lang[begins]])
+        self.sizes = np.concatenate([self.sizes, np.full(len(parts), size, np.int32)])
+
+    def counted(self, keys: np.ndarray, counts: np.ndarray, langs: list[str]) -> Iterator[pa.RecordBatch]:
+        """Rows of phrases that were met, by their sorted hashes."""
+        offsets = np.concatenate([[0], self.ends])
+        tongues, data = pa.array(langs, pa.string()), pa.py_buffer(bytes(self.data))
+        phrases = pa.Array.from_buffers(pa.large_binary(), len(self.ends), [None, pa.py_buffer(offsets), data])
+        rows = self.rows[np.searchsorted(self.keys, keys)]
+        for a in range(0, len(rows), 65_536):
+            part = rows[a:a + 65_536]
+            yield pa.RecordBatch.from_arrays(
+                [tongues.take(pa.array(self.langs[part])), pa.array(self.sizes[part]),
+                 phrases.take(pa.array(part)).cast(pa.binary()).cast(pa.string()), pa.array(counts[a:a + 65_536])],
+                names=["lang", "words", "phrase", "n"])
 
 
 def count_words(texts: DataFrame, frequent) -> DataFrame:
@@ -290,24 +298,20 @@ def count_words(texts: DataFrame, frequent) -> DataFrame:
 
     def run(batches):
         chosen = Proposal(np.frombuffer(frequent.value, np.uint8))
-        met, totals, held = Spelled(), {}, []
+        met, totals, held, langs = Spelled(), {}, [], []
 
         def out():
-            rows = [(lang, 0, None, n) for lang, n in totals.items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([langs[lang] for lang in totals], pa.string()), pa.array([0] * len(totals), pa.int32()),
+                 pa.nulls(len(totals), pa.string()), pa.array(totals.values(), pa.int64())],
+                names=["lang", "words", "phrase", "n"])
             if held:
-                keys, counts = _merged(held)
-                for row, n in zip(met.rows[met.find(keys)[0]].tolist(), counts.tolist(), strict=True):
-                    rows.append((met.langs[row], met.sizes[row], met.phrases[row].decode("utf-8", "replace"), n))
-            for at in range(0, len(rows), 16_384):
-                columns = zip(*rows[at:at + 16_384], strict=True)
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                                 names=["lang", "words", "phrase", "n"])
+                yield from met.counted(*_merged(held), langs)
 
         for block, langs in _blocks(batches):
             words = Block(block, langs)
             for lang, n in zip(*np.unique(words.lang, return_counts=True), strict=True):
-                totals[langs[lang]] = totals.get(langs[lang], 0) + int(n)
+                totals[int(lang)] = totals.get(int(lang), 0) + int(n)
             hashes, checks = words.hashes(), words.hashes(words.checks)
             for size in range(1, LONGEST + 1):
                 at = np.flatnonzero(words.whole(size) & chosen.holds(hashes[size - 1]))
@@ -321,7 +325,7 @@ def count_words(texts: DataFrame, frequent) -> DataFrame:
                 held.append((keys[firsts], np.diff(np.append(firsts, len(keys)))))
             if sum(len(keys) for keys, _ in held) > HELD:
                 held = [_merged(held)]
-            if len(met.phrases) > SPELLED:
+            if len(met) > SPELLED:
                 yield from out()
                 met, totals, held = Spelled(), {}, []
         yield from out()

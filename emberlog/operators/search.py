@@ -14,6 +14,8 @@ from emberlog.schemas import PAGE_SIZE
 from emberlog.sources.tables import between_closed, between_dates
 
 TERM_BUCKETS = 16
+#: Partitions with hits that a search names in its plan; with more, their days prune at run time.
+LISTED_PARTITIONS = 500
 
 
 def given(value: str | None) -> str | None:
@@ -53,12 +55,15 @@ class SearchIndex(NamedTuple):
     """Documents, postings (term, id) of their words, and the n-grams (gram, term) of the words.
 
     N-grams belong to the vocabulary, not to the documents: the same matches from an index that
-    grows with new words instead of with all text.
+    grows with new words instead of with all text. A stored index knows the day and load of each posting,
+    and ``places`` (load, log_date, load_id) in which partition these documents lie now.
     """
 
     documents: DataFrame
     terms: DataFrame
     grams: DataFrame
+    places: DataFrame | None = None
+    buckets: int = TERM_BUCKETS
 
 
 def index_terms(documents: DataFrame) -> DataFrame:
@@ -80,34 +85,52 @@ def build_index(logs: DataFrame) -> SearchIndex:
     return SearchIndex(documents, terms, index_grams(terms))
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _with_value(rows: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+def _with_value(rows: DataFrame, column: str, wanted: list[str], buckets: int) -> DataFrame:
     """Rows of the wanted terms or grams; stored ones are pruned to their buckets."""
     found = rows.filter(F.col(column).isin(*wanted))
     if "bucket" in rows.columns:
-        found = found.filter(F.col("bucket").isin(*[term_bucket(F.lit(value)) for value in wanted]))
+        found = found.filter(F.col("bucket").isin(*[term_bucket(F.lit(value), buckets) for value in wanted]))
     return found
 
 
 def matching_ids(index: SearchIndex, keyword: str, mode: str = "token_any") -> DataFrame:
-    """Ids of documents that share a term with ``keyword``.
+    """Ids of documents that share a term with ``keyword``, and their day and load where the index is stored.
 
     ``token_any``: a whole word. ``ngram_any``: any n-gram, as an n-gram analyzed query matches.
     """
     if mode not in ("token_any", "ngram_any"):
         raise ValueError(f"unknown search mode {mode!r}")
     spark = index.terms.sparkSession
-    found = _with_value(index.terms, "term", query_terms(spark, keyword)).select("id")
+    columns = ["id"] if index.places is None else ["id", "log_date", "load"]
+    found = _with_value(index.terms, "term", query_terms(spark, keyword), index.buckets).select(*columns)
     if mode == "ngram_any":
-        words = _with_value(index.grams, "gram", query_terms(spark, keyword, grams=True))
+        words = _with_value(index.grams, "gram", query_terms(spark, keyword, grams=True), index.buckets)
         found = found.unionByName(
-            index.terms.join(words.select("term").distinct(), "term", "left_semi").select("id"))
+            index.terms.join(words.select("term").distinct(), "term", "left_semi").select(*columns))
     return found
 
 
+def _matching_documents(documents: DataFrame, index: SearchIndex, hits: DataFrame) -> DataFrame:
+    """Documents of the hits. In a stored index only days and loads that have hits are read: where there are few, by
+    name, else by the days, which prune while the search runs; these are at most as many as the folders that the
+    driver lists, so they may be broadcast."""
+    if index.places is None:
+        return documents.join(hits, "id", "left_semi")
+    partitions = hits.select("log_date", "load").distinct().join(index.places, ["log_date", "load"]).select(
+        "log_date", "load_id").distinct()
+    named = partitions.limit(LISTED_PARTITIONS + 1).collect()
+    if len(named) <= LISTED_PARTITIONS:
+        for column in ("log_date", "load_id"):
+            documents = documents.filter(F.col(column).isin(*{row[column] for row in named}))
+    else:
+        documents = documents.join(F.broadcast(partitions.select("log_date").distinct()), "log_date", "left_semi")
+    return documents.join(hits.select("id", "log_date"), ["id", "log_date"], "left_semi")
+
+
 def search_index(index: SearchIndex, keyword: str | None = None, level: str | None = None,
                  source: str | None = None, content: str | None = None,
                  start: datetime | str | None = None, end: datetime | str | None = None,
@@ -115,7 +138,9 @@ def search_index(index: SearchIndex, keyword: str | None = None, level: str | No
     """Index search. The source is a case-sensitive substring, the range has whole seconds and
     includes both ends, blank criteria are ignored."""
     keyword, level, source, content = (given(v) for v in (keyword, level, source, content))
-    found = index.documents
+    found, hits = index.documents, None
+    if keyword:
+        hits = matching_ids(index, keyword, mode)
     if level:
         found = found.filter(F.col("log_level") == level)
     if source:
@@ -126,9 +151,10 @@ def search_index(index: SearchIndex, keyword: str | None = None, level: str | No
         low, high = parse(start).replace(microsecond=0), parse(end).replace(microsecond=0)
         found = between_dates(found, low.date(), high.date())
         found = found.filter(F.col("timestamp").between(at(low), at(high)))
-    if keyword:
-        found = found.join(matching_ids(index, keyword, mode), "id", "left_semi")
-    return found
+        hits = hits and between_dates(hits, low.date(), high.date())
+    if hits is not None:
+        found = _matching_documents(found, index, hits)
+    return found.drop("load_id")
 
 
 def search(logs: DataFrame, index: SearchIndex | None = None, engine: str = "auto",

@@ -1,4 +1,4 @@
-"""The daily jobs over stored tables: archive, rebuild statistics, compact, expire."""
+"""The daily jobs over stored tables and their index: archive, rebuild statistics, compact, expire."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.times import parse
 from emberlog.operators.archive import archive_logs
 from emberlog.schemas import ALERT_SCHEMA, ARCHIVE_DAYS, LOGS_SCHEMA, RETENTION_DAYS
+from emberlog.sinks.index import COMMITS, expire_index, index_days, rewrite_day
 from emberlog.sinks.tables import (compact_day, counted_write, day_loads, expire_table, read_archive, read_load_logs,
                                    read_logs, rebuild_statistics_day, table_days, table_exists, write_archive)
 from emberlog.sources.tables import scan_old_logs
@@ -60,5 +61,11 @@ def run_nightly(spark: SparkSession, root: str, as_of: datetime | str,
     for table, schema in (("logs", LOGS_SCHEMA), ("alerts", ALERT_SCHEMA)):
         if table_exists(spark, f"{root}/{table}") and len(day_loads(spark, f"{root}/{table}", yesterday)) > 1:
             compact_day(spark, f"{root}/{table}", yesterday, schema)
+    index = f"{root}/index"
+    if table_exists(spark, f"{index}/{COMMITS}"):
+        if index_days(spark, index).get(yesterday, 0) > 1:
+            rewrite_day(spark, index, yesterday)
+        # The index first: what it lacks and the logs still have is not searched for a moment, never the reverse.
+        expire_index(spark, index, as_of, retention_days, read_logs(spark, f"{root}/logs"))
     removed = expire_table(spark, f"{root}/logs", as_of, retention_days)
     return {"archived": archived, "expired": removed}

@@ -574,3 +574,8 @@ put("streaming_level_counters", f"""WITH {LOGS} SELECT {KNOWN.format(c='log_leve
   FROM logs GROUP BY 1""")
 put("search_stored", ORACLE_SQL["search_index_tokens"])
 put("search_partly_indexed", ORACLE_SQL["search_index_tokens"])
+FOUND = f"""WITH {TOKENS} SELECT {SEARCH_COLUMNS} FROM doc_logs
+  WHERE id IN (SELECT id FROM words WHERE term IN ('license', 'token'))"""
+put("search_one_day", f"""{FOUND} AND created_at BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 02:59:59'""")
+put("search_damaged_index", FOUND)
+put("expired_not_found", f"{FOUND} AND created_at >= TIMESTAMP '2024-01-01 01:30:00'")

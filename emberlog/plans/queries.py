@@ -18,6 +18,7 @@ from emberlog.plans.params import (ARCHIVE_DAYS, AS_OF, BURST, COUNT_END, COUNT_
                                    REPEAT_WINDOW, RETENTION_DAYS, STATUS_AS_OF)
 from emberlog.schemas import LOGS_SCHEMA
 from emberlog.session import scratch_path, ship_package
+from emberlog.sinks import index as index_sinks
 from emberlog.sinks import messages, tables as sinks
 from emberlog.sources import events as event_sources
 from emberlog.sources import files, tail
@@ -176,23 +177,23 @@ def publish_events(spark, folder):
 @query
 def index_documents(spark, folder):
     path = scratch_path(spark, "index")
-    sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=False)
-    return sinks.read_index(spark, path).documents.drop("log_date")
+    index_sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=False)
+    return index_sinks.read_index(spark, path).documents.drop("log_date", "load_id")
 
 
 @query
 def index_terms(spark, folder):
     path = scratch_path(spark, "index")
-    sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=False)
-    return sinks.read_index(spark, path).terms.groupBy("term").agg(F.count("*").alias("documents"))
+    index_sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=False)
+    return index_sinks.read_index(spark, path).terms.groupBy("term").agg(F.count("*").alias("documents"))
 
 
 @query
 def index_grams(spark, folder):
     """The n-grams of the vocabulary."""
     path = scratch_path(spark, "index")
-    sinks.index_logs(doc_logs_of(spark, folder), path)
-    return sinks.read_index(spark, path).grams.groupBy("gram").agg(F.count("*").alias("words"))
+    index_sinks.index_logs(doc_logs_of(spark, folder), path)
+    return index_sinks.read_index(spark, path).grams.groupBy("gram").agg(F.count("*").alias("words"))
 
 
 @query
@@ -465,8 +466,8 @@ def search_documents(spark, folder):
 
 def _built_index(spark, folder, with_ngrams=False):
     path = scratch_path(spark, "index")
-    sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=with_ngrams)
-    return sinks.read_index(spark, path)
+    index_sinks.index_logs(doc_logs_of(spark, folder), path, with_ngrams=with_ngrams)
+    return index_sinks.read_index(spark, path)
 
 
 @query
@@ -1127,3 +1128,41 @@ def search_partly_indexed(spark, folder):
     consume.store_batch(rows.filter("id % 2 = 0"), root, "first", with_index=True)
     consume.store_batch(rows.filter("id % 2 <> 0"), root, "second")
     return searching.search_store(spark, root, keyword=DOC_KEYWORD, source="src1")
+
+
+def indexed_store(spark, folder, loads=2):
+    """A store of document logs in some loads, all indexed."""
+    root = scratch_path(spark, "store")
+    docs = doc_logs_of(spark, folder)
+    rows = ingest.to_log_rows(docs.withColumnsRenamed({"log_level": "logLevel", "created_at": "timestamp"}), AS_OF)
+    for load in range(loads):
+        consume.store_batch(rows.filter(F.col("id") % loads == load), root, f"load-{load}", with_index=True)
+    return root
+
+
+@query
+def search_one_day(spark, folder):
+    """A search of two hours in an index of two loads, merged on the way; it reads the partitions that have hits."""
+    root = indexed_store(spark, folder)
+    index_sinks.merge_segments(spark, f"{root}/index", fanout=2)
+    return searching.search_store(spark, root, keyword=DOC_KEYWORD, start="2024-01-01 01:00:00", end="2024-01-01 02:59:59")
+
+
+@query
+def search_damaged_index(spark, folder):
+    """One load's postings are lost: its logs are searched instead, with the same result."""
+    root = indexed_store(spark, folder)
+    for bucket in range(8):
+        index_sinks._delete(spark, f"{root}/index/terms/bucket={bucket}/segment=load-1")
+    return searching.search_store(spark, root, keyword=DOC_KEYWORD)
+
+
+@query
+def expired_not_found(spark, folder):
+    """Logs expired in the nightly run are not found any more, though their old load comes once again."""
+    root = indexed_store(spark, folder)
+    nightly.run_nightly(spark, root, "2024-01-31 01:30:00", 40, 30)
+    docs = doc_logs_of(spark, folder)
+    rows = ingest.to_log_rows(docs.withColumnsRenamed({"log_level": "logLevel", "created_at": "timestamp"}), AS_OF)
+    consume.store_batch(rows.filter("id % 2 = 1"), root, "load-1", with_index=True)
+    return searching.search_store(spark, root, keyword=DOC_KEYWORD)

@@ -10,8 +10,8 @@ from emberlog.functions.compression import decompress
 from emberlog.operators.counts import recent_errors
 from emberlog.operators.search import build_index, search
 from emberlog.schemas import RECENT_ERRORS
-from emberlog.sinks.tables import (BASE_LOAD, indexed_loads, read_index, read_load_logs, read_logs, table_days,
-                                   table_exists)
+from emberlog.sinks.index import indexed_loads, read_index
+from emberlog.sinks.tables import BASE_LOAD, read_load_logs, read_logs, table_days, table_exists
 
 
 def readable(logs: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def search_store(spark: SparkSession, root: str, engine: str = "auto", **criteri
     """Search the tables below ``root``: through the index where one is stored, else through the logs.
 
     "auto" searches loads that are wholly indexed through the index and the logs of all others by the same rules, so
-    that the result is that of a full index; where no load is, or the index can't be opened, it searches the logs.
+    that the result is that of a full index. A load whose index files are fewer or shorter than when they were written
+    counts as not indexed; that is checked before they are read. Where no load is indexed, or the index can't be
+    opened, it searches the logs.
     "index" searches what is in the index only. Sort and cut the result with ``page``; count it with ``page_totals``.
     """
     path, logs = f"{root}/index", read_load_logs(spark, f"{root}/logs")

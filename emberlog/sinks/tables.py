@@ -1,4 +1,4 @@
-"""Partitioned Parquet tables for logs, statistics, archives, alerts and the search index.
+"""Partitioned Parquet tables for logs, statistics, archives and alerts.
 
 Every table is cut by ``log_date`` and, below it, by ``load_id``. A load replaces only the partitions
 it writes itself, so repeating a load with the same id leaves the table as it was.
@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 
 from emberlog.functions.times import at, log_date, on, parse
 from emberlog.operators.archive import with_storage_columns
-from emberlog.operators.search import (SearchIndex, index_documents, index_grams, index_terms,
-                                       term_bucket)
 from emberlog.schemas import (ALERT_SCHEMA, ARCHIVE_SCHEMA, LOGS_SCHEMA, RETENTION_DAYS,
                               STATISTICS_KEYS, STATISTICS_SCHEMA)
 
@@ -127,66 +125,6 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, ALERT_SCHEMA).drop("load_id")
 
 
-TERMS_SCHEMA = "term string, id string, bucket int, load_id string"
-GRAMS_SCHEMA = "gram string, term string, bucket int, load_id string"
-INDEXED_SCHEMA = "done boolean, load_id string"
-DOCUMENTS_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("content", T.StringType()), T.StructField("log_level", T.StringType()),
-    T.StructField("timestamp", T.TimestampNTZType())])
-
-
-def _write_bucketed(rows: DataFrame, path: str, load: str, column: str) -> None:
-    """Write one load in buckets by ``column``, sorted within a file, so that a search reads few of
-    them. Rebalancing gives a large bucket several writers."""
-    (rows.withColumns({"bucket": term_bucket(F.col(column)), "load_id": F.lit(load)})
-     .hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", column)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket", "load_id").parquet(path))
-
-
-def index_logs(logs: DataFrame, path: str, load_id: str | None = None, with_ngrams: bool = True) -> str:
-    """Add readable logs to the search index. Each step reads what the one before has stored."""
-    spark = logs.sparkSession
-    documents = index_documents(logs.withColumn("log_date", log_date(F.col("created_at"))))
-    load = _write(documents, f"{path}/documents", load_id, "timestamp")
-    this_load = F.col("load_id") == load
-    stored = _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA).filter(this_load)
-    _write_bucketed(index_terms(stored), f"{path}/terms", load, "term")
-    if with_ngrams:
-        terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms").filter(this_load)
-        _write_bucketed(index_grams(terms), f"{path}/grams", load, "gram")
-    (spark.createDataFrame([(True, load)], INDEXED_SCHEMA).write.mode("overwrite")  # last: the load is whole
-     .option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(f"{path}/loads"))
-    return load
-
-
-def indexed_loads(spark: SparkSession, path: str) -> DataFrame | None:
-    """Ids of the loads that are wholly in the index, if there are any."""
-    folder = f"{path}/loads"
-    return spark.read.schema(INDEXED_SCHEMA).parquet(folder).select("load_id") if table_exists(spark, folder) else None
-
-
-def read_index(spark: SparkSession, path: str, loads: DataFrame | None = None) -> SearchIndex:
-    """The stored index, or of it the documents of ``loads``. Loads whose n-grams were not stored get them from their
-    terms, when asked for."""
-    terms = spark.read.schema(TERMS_SCHEMA).parquet(f"{path}/terms")
-    if table_exists(spark, f"{path}/grams"):
-        grams = spark.read.schema(GRAMS_SCHEMA).parquet(f"{path}/grams")
-        bare = terms.join(grams.select("load_id").distinct(), "load_id", "left_anti")
-        grams = grams.select("gram", "term", "bucket").unionByName(_bucketed_grams(bare))
-    else:
-        grams = _bucketed_grams(terms)
-    documents = _read(spark, f"{path}/documents", DOCUMENTS_SCHEMA)
-    if loads is not None:
-        documents = documents.join(loads, "load_id", "left_semi")
-    return SearchIndex(documents.drop("load_id"), terms.drop("load_id"), grams)
-
-
-def _bucketed_grams(terms: DataFrame) -> DataFrame:
-    return index_grams(terms).select("gram", "term", term_bucket(F.col("gram")).alias("bucket"))
-
-
 def _folder(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -260,7 +198,8 @@ def expire_table(spark: SparkSession, path: str, as_of: datetime | str,
                  days: int = RETENTION_DAYS, schema: T.StructType = LOGS_SCHEMA) -> int:
     """Delete logs older than ``days`` before ``as_of`` and return how many.
 
-    Whole days go as folders; only the day the cutoff falls in is rewritten.
+    Whole days go as folders and leave a tombstone for each of their loads, so that no replay brings them back; only
+    the day the cutoff falls in is rewritten.
     """
     cutoff = parse(as_of) - timedelta(days=days)
     old_days = [day for day in table_days(spark, path) if day <= cutoff.date()]
@@ -274,9 +213,12 @@ def expire_table(spark: SparkSession, path: str, as_of: datetime | str,
         kept = stored.filter((F.col("log_date") == on(cutoff.date())) & F.col("load_id").isin(loads)
                              & (F.col("created_at") >= at(cutoff)))
         replace_day(kept.drop("load_id"), path, cutoff.date(), loads)
-    for day in old_days:
-        if day < cutoff.date():
-            filesystem, folder = _folder(spark, f"{path}/log_date={day}")
-            filesystem.delete(folder, True)
+    whole = [day for day in old_days if day < cutoff.date()]
+    gone = [(day, load, True) for day in whole for load in day_loads(spark, path, day)]
+    if gone:  # tombstones first: a replay of these loads brings nothing back
+        spark.createDataFrame(gone, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")
+    for day in whole:
+        filesystem, folder = _folder(spark, f"{path}/log_date={day}")
+        filesystem.delete(folder, True)
     spark.catalog.refreshByPath(path)
     return removed

@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from emberlog.functions.compression import decompress
 from emberlog.operators.ingest import to_log_rows, with_event_id
 from emberlog.operators.rollup import increment_statistics
-from emberlog.sinks.tables import index_logs, write_logs, write_statistics
+from emberlog.sinks.index import index_logs
+from emberlog.sinks.tables import write_logs, write_statistics
 from emberlog.sources.events import parse_messages, rejects
 
 

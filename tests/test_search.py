@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import search
 from emberlog.plans.searching import search_store
 from emberlog.schemas import LOGS_SCHEMA
+from emberlog.sinks import index as stored_index
 from emberlog.sinks import tables
 from emberlog.sources.tables import count_all, find_by_id
 
@@ -36,9 +37,9 @@ def test_range_needs_both_ends(some):
 
 
 def test_index_search(spark, some, tmp_path):
-    tables.index_logs(some, str(tmp_path), "one")
-    tables.index_logs(some, str(tmp_path), "one")
-    index = tables.read_index(spark, str(tmp_path))
+    stored_index.index_logs(some, str(tmp_path), "one")
+    stored_index.index_logs(some, str(tmp_path), "one")
+    index = stored_index.read_index(spark, str(tmp_path))
     assert index.documents.count() == 3
     assert index.terms.exceptAll(index.terms.distinct()).count() == 0
 
@@ -62,8 +63,8 @@ def test_index_search(spark, some, tmp_path):
 
 
 def test_engines(spark, some, tmp_path):
-    tables.index_logs(some, str(tmp_path), with_ngrams=False)
-    index = tables.read_index(spark, str(tmp_path))
+    stored_index.index_logs(some, str(tmp_path), with_ngrams=False)
+    index = stored_index.read_index(spark, str(tmp_path))
     by_index = search.search(some, index, keyword="disk")
     by_table = search.search(some, index, engine="table", keyword="disk", mode="token_any")
     assert by_index.columns == by_table.columns and ids(by_index) == ids(by_table) == ids(search.search(some, keyword="disk"))
@@ -112,14 +113,14 @@ def test_loads_without_index_are_found(spark, logs, tmp_path):
     for load, rows in parts.items():
         tables.write_logs(rows, f"{root}/logs", load)
     assert ids(search_store(spark, root, keyword="disk")) == [0, 1, 2, 10, 11, 12]  # no index: a text in the logs
-    tables.index_logs(parts["one"], f"{root}/index", "one")
-    tables.index_logs(parts["two"], f"{root}/index", "two")
+    stored_index.index_logs(parts["one"], f"{root}/index", "one")
+    stored_index.index_logs(parts["two"], f"{root}/index", "two")
     assert ids(search_store(spark, root, keyword="disk")) == [0, 1, 2]
     assert ids(search_store(spark, root, engine="index", keyword="disk")) == [0, 1]
     assert ids(search_store(spark, root, keyword="three two")) == [1, 2]
     tables.compact_day(spark, f"{root}/logs", "2024-01-01", LOGS_SCHEMA)  # rows of indexed and other loads in one
     assert ids(search_store(spark, root, keyword="disk")) == [0, 1, 2]
     documents = spark.read.parquet(f"{root}/index/documents").filter("load_id = 'two'")
-    half = documents.withColumn("load_id", F.lit("half"))  # a load that stopped before its terms were written
+    half = documents.withColumns({"load_id": F.lit("half"), "load": F.lit("half")})  # a load that stopped before its terms were written
     half.write.mode("append").partitionBy("log_date", "load_id").parquet(f"{root}/index/documents")
     assert ids(search_store(spark, root)) == [0, 1, 2, 10, 11, 12]

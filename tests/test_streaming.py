@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import ingest, metrics, patterns, rollup
 from emberlog.schemas import DETECTION_LOG
 from emberlog.sinks import tables
+from emberlog.sinks.index import read_index
 from emberlog.sources.events import decode_events, read_event_stream
 from emberlog.sources.files import lines_to_events
 from emberlog.sources.tail import tail_log_files
@@ -178,7 +179,7 @@ def test_consumer_stores_every_message_once(spark, tmp_path):
     stats = tables.read_statistics(spark, f"{root}/statistics")
     assert stats.agg(F.sum("count")).first()[0] == 30 and stats.filter("log_level = 'ERROR'").agg(F.sum("count")).first()[0] == 10
     assert [r.raw for r in spark.read.parquet(f"{root}/rejects").collect()] == ["broken {"]
-    index = tables.read_index(spark, f"{root}/index")
+    index = read_index(spark, f"{root}/index")
     assert index.documents.count() == 30 and index.terms.filter("term = 'body'").count() == 30
     assert index.grams.filter("gram = 'ody'").select("term").distinct().count() == 1
 

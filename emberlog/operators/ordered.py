@@ -18,6 +18,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from emberlog.session import materialize
 
 KEY, TIME, BLOCK = "_key", "_us", "_block"
+#: Block functions that one group composes at most, whatever number of blocks a key has.
+FAN_IN = 8
+#: Stands for no window yet, and for an end that no time reaches.
+NEVER, ALWAYS = -(2 ** 62), 2 ** 62
+WINDOWS = "_key string, node bigint, opens boolean, upto array<bigint>, exit array<bigint>, exit_rows array<bigint>, size bigint"
 
 
 def row_key(*columns: str) -> Column:
@@ -97,14 +102,14 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def anchored_nth(ordered: DataFrame, gap_us: int, nth: int) -> DataFrame:
+def anchored_nth(ordered: DataFrame, gap_us: int, nth: int, fan_in: int = FAN_IN) -> DataFrame:
     """The ``nth`` row of every anchored window of a ``range_ordered`` frame.
 
     A window opens at a key's first row and takes the rows up to ``gap_us`` after it; the first row
     later than that opens the next window. With ``nth=1`` this selects rows that are each more than
     ``gap_us`` after the one selected before.
     """
-    entries = _incoming_windows(ordered, gap_us)
+    entries = _incoming_windows(ordered, gap_us, fan_in)
     # At most one row per block: the size is bound by the number of partitions.
     seeded = ordered.join(F.broadcast(entries), BLOCK, "left")
     columns = ordered.columns
@@ -135,8 +140,32 @@ def anchored_nth(ordered: DataFrame, gap_us: int, nth: int) -> DataFrame:
     return seeded.mapInPandas(pick, schema)
 
 
-def _incoming_windows(ordered: DataFrame, gap_us: int) -> DataFrame:
-    """For each block that continues a key: the window (anchor, rows so far) open at its start."""
+def _incoming_windows(ordered: DataFrame, gap_us: int, fan_in: int) -> DataFrame:
+    """For each block that continues a key: the window (anchor, rows so far) open at its start.
+
+    A block maps the window open before it to the one open at its end. These functions are composed up a tree, ``fan_in``
+    neighbours a group, and the windows walk down it again: no group ever holds more than ``fan_in`` blocks of a key.
+    """
+    tree = _window_tree(ordered, gap_us, fan_in)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("node")
+        anchor, count, found = int(rows["anchor"].iloc[0]), int(rows["count"].iloc[0]), []
+        for row in rows.itertuples(index=False):
+            found.append((row[0], row.node, anchor, count))
+            anchor, count = _through((row.upto, row.exit, row.exit_rows, int(row.size)), anchor, count, gap_us)
+        return pd.DataFrame(found, columns=[KEY, "node", "anchor", "count"])
+
+    entering = tree[-1].select(KEY, "node", F.lit(NEVER).alias("anchor"), F.lit(0).cast("bigint").alias("count"))
+    for level in reversed(tree[:-1]):
+        above = entering.withColumnRenamed("node", "parent")
+        entering = (_with_parent(level, fan_in).join(above, [KEY, "parent"])
+                    .groupBy(KEY, "parent").applyInPandas(walk, "_key string, node bigint, anchor bigint, count bigint"))
+    return entering.filter(F.col("anchor") != NEVER).select(F.col("node").cast("int").alias(BLOCK), "anchor", "count")
+
+
+def _window_tree(ordered: DataFrame, gap_us: int, fan_in: int) -> list[DataFrame]:
+    """Functions of blocks, of groups of blocks, of groups of these, up to one a key."""
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, first, head, last = None, None, [], None
@@ -162,30 +191,51 @@ def _incoming_windows(ordered: DataFrame, gap_us: int) -> DataFrame:
         if first is not None:
             own = np.concatenate(head)
             rows = [(first, block, False, *_window_exits(own, gap_us), len(own))]
-            if last is not None:
-                rows.append((last, block, True, [], [anchor], [count], 0))
-            yield pd.DataFrame(rows, columns=[KEY, BLOCK, "opens", "upto", "exit", "exit_rows", "size"])
-
-    narrow = ordered.select(BLOCK, KEY, TIME)
-    summaries = narrow.mapInPandas(summarise, """_key string, _block int, opens boolean,
-        upto array<bigint>, exit array<bigint>, exit_rows array<bigint>, size bigint""")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        anchor, count, found = None, 0, []
-        # Within one block the rows that end the key before come first.
-        for row in pdf.sort_values([BLOCK, "opens"]).itertuples(index=False):
-            block, opens, upto, out, out_rows, size = row[1:]
-            if not opens and anchor is not None:
-                found.append((block, anchor, count))
-            position = 0 if anchor is None else int(np.searchsorted(upto, anchor + gap_us, "right"))
-            if position < len(out):
-                anchor, count = int(out[position]), int(out_rows[position])
-            else:
-                count += int(size)
-        return pd.DataFrame(found, columns=[BLOCK, "anchor", "count"])
-
-    # One group holds block summaries of one key, never its rows.
-    return summaries.groupBy(KEY).applyInPandas(chain, "_block int, anchor bigint, count bigint")
+            if last is not None:  # nothing comes before it, so whatever comes in, this goes out
+                rows.append((last, block, True, [ALWAYS], [anchor], [count], 0))
+            yield pd.DataFrame(rows, columns=[KEY, "node", "opens", "upto", "exit", "exit_rows", "size"])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("node")
+        whole = None
+        for row in rows.itertuples(index=False):
+            one = (np.asarray(row.upto), np.asarray(row.exit), np.asarray(row.exit_rows), int(row.size))
+            whole = one if whole is None else _composed(whole, one, gap_us)
+        upto, exits, exit_rows, size = whole
+        return pd.DataFrame([(rows[KEY].iloc[0], rows["parent"].iloc[0], bool(rows["opens"].iloc[0]), upto.tolist(),
+                              exits.tolist(), exit_rows.tolist(), size)],
+                            columns=[KEY, "node", "opens", "upto", "exit", "exit_rows", "size"])
+
+    tree = [materialize(ordered.select(BLOCK, KEY, TIME).mapInPandas(summarise, WINDOWS))]
+    last = tree[0].agg(F.max("node")).first()[0] or 0
+    while last > 0 or len(tree) == 1:
+        tree.append(_with_parent(tree[-1], fan_in).groupBy(KEY, "parent").applyInPandas(compose, WINDOWS))
+        last //= fan_in
+    return tree
+
+
+def _with_parent(nodes: DataFrame, fan_in: int) -> DataFrame:
+    return nodes.withColumn("parent", F.expr(f"node div {fan_in}"))
+
+
+def _through(function: tuple, anchor: int, count: int, gap_us: int) -> tuple[int, int]:
+    """The window (anchor, rows) that leaves a block, from the one that enters it."""
+    upto, exits, exit_rows, size = function
+    step = int(np.searchsorted(upto, NEVER if anchor == NEVER else anchor + gap_us, "right"))
+    return (int(exits[step]), int(exit_rows[step])) if step < len(exits) else (anchor, count + size)
+
+
+def _composed(one: tuple, two: tuple, gap_us: int) -> tuple:
+    """``two`` after ``one``: where ``one`` closes the window, ``two`` goes on from its exit, else from what came in."""
+    step = np.searchsorted(two[0], one[1] + gap_us, "right")
+    closed = step < len(two[0])
+    at = np.minimum(step, len(two[0]) - 1)
+    late = two[0] > one[0][-1]
+    upto = np.concatenate([one[0], two[0][late]])
+    exits = np.concatenate([np.where(closed, two[1][at], one[1]), two[1][late]])
+    rows = np.concatenate([np.where(closed, two[2][at], one[2] + two[3]), two[2][late]])
+    last_of_step = np.append((exits[1:] != exits[:-1]) | (rows[1:] != rows[:-1]), True)
+    return upto[last_of_step], exits[last_of_step], rows[last_of_step], one[3] + two[3]
 
 
 def _advance(times: np.ndarray, anchor: int | None, count: int, gap_us: int) -> tuple[int, int]:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from emberlog.operators import ordered as scans
 from emberlog.operators.ordered import BLOCK, KEY, TIME, anchored_nth, range_ordered, running_total
 
 
@@ -41,8 +42,9 @@ def test_anchored_windows_match_a_loop(spark, shape, gap, nth):
     frame = spark.createDataFrame(rows, f"{KEY} string, {TIME} bigint, id bigint")
     ordered = range_ordered(frame.repartition(5), TIME, "id")
     assert ordered.select(BLOCK).distinct().count() > 4
-    found = sorted(row.id for row in anchored_nth(ordered, gap, nth).collect())
-    assert found == anchored_by_loop(rows, gap, nth)
+    for fan_in in (2, 8):
+        found = sorted(row.id for row in anchored_nth(ordered, gap, nth, fan_in).collect())
+        assert found == anchored_by_loop(rows, gap, nth)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -78,3 +80,41 @@ def test_hot_key_is_spread_over_blocks(spark):
     frame = spark.createDataFrame([("hot", 5, i) for i in range(4000)], f"{KEY} string, {TIME} bigint, id bigint")
     sizes = [row["count"] for row in range_ordered(frame, TIME, "id").groupBy(BLOCK).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 4000 / 3
+
+
+def test_one_key_over_many_blocks_meets_in_small_groups(spark):
+    rng = random.Random(11)
+    rows = [("only", rng.randrange(20_000), i) for i in range(4000)]
+    frame = spark.createDataFrame(rows, f"{KEY} string, {TIME} bigint, id bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        ordered = range_ordered(frame, TIME, "id")
+        assert ordered.select(BLOCK).distinct().count() > 50
+        tree = scans._window_tree(ordered, 90, 4)
+        assert len(tree) == 4 and tree[-1].count() == 1
+        for level in tree[:-1]:
+            groups = scans._with_parent(level, 4).groupBy(KEY, "parent").count().collect()
+            assert max(row["count"] for row in groups) <= 4
+        for nth in (1, 5):
+            found = sorted(row.id for row in anchored_nth(ordered, 90, nth, 4).collect())
+            assert found == anchored_by_loop(rows, 90, nth)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_composed_functions_equal_both_in_turn(seed):
+    import numpy as np
+    rng = random.Random(seed)
+    times = np.sort(np.array([rng.randrange(rng.choice([60, 400, 3000])) for _ in range(90)]))
+    gap = rng.choice([0, 5, 40, 300])
+    parts = [part for part in np.split(times, sorted(rng.sample(range(1, 90), 3)))]
+    functions = [(*map(np.array, scans._window_exits(part, gap)), len(part)) for part in parts]
+    whole = functions[0]
+    for function in functions[1:]:
+        whole = scans._composed(whole, function, gap)
+    for anchor in (scans.NEVER, *range(int(times[0]) - gap, int(times[0]) + 1)):
+        state = (anchor, 3)
+        for function in functions:
+            state = scans._through(function, *state, gap)
+        assert scans._through(whole, anchor, 3, gap) == state

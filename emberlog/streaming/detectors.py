@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -30,55 +31,75 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set(STATE_STORE, ROCKSDB)
 
 
+#: Errors wait in slices of this length; a slice is taken once the watermark has passed its end.
+SLICE_US = MICROS
+
+
 class ExpiringProcessor(StatefulProcessor):
     """Forgets a key once the watermark is past everything its state can still decide.
 
-    With ``hold`` set, errors wait in the key's state until the watermark has passed them, and are then taken in
-    time order: whatever order they came in, the result is that of the batch.
+    With ``hold`` set, errors wait until the watermark has passed them, and are then taken in time order: whatever order
+    they came in, the result is that of the batch. They wait as map entries by slice of time and number of the batch
+    that brought them, so a batch writes what it brings and never what waits already, and a timer a slice takes one
+    slice after the other.
     """
 
     hold = False
     waiting_columns: list[str] = []
 
-    def keep_until(self, us: int) -> None:
-        self.wake_at((us + self.keep_us) // 1000 + 1)
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        if self.hold:
+            self.waiting = handle.getMapState("waiting", "slice bigint, batch bigint", "rows string")
+            self.marks = handle.getValueState("marks", "batches bigint, forget_ms bigint")
 
-    def wake_at(self, ms: int) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms)
+    def keep_until(self, us: int) -> None:
+        if not self.hold:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((us + self.keep_us) // 1000 + 1)
+            return
+        # Timers of slices lie at whole seconds and a millisecond, this one at half a second: neither takes the other's.
+        batches, before = self.marks.get() if self.marks.exists() else (0, None)
+        wake = ((us + self.keep_us + SLICE_US) // MICROS + 1) * 1000 + 500
+        if wake != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(wake)
+            self.marks.update((batches, wake))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        errors = pd.concat(list(rows)).sort_values(["us", "id"])
         if not self.hold:
-            yield from self.take(key, errors)
+            yield from self.take(key, pd.concat(list(rows)).sort_values(["us", "id"]))
             return
-        waiting = self.held()
-        new = json.loads(errors[self.waiting_columns].to_json(orient="values", force_ascii=False))
-        self.put_back(waiting + new)
+        batches, forget = self.marks.get() if self.marks.exists() else (0, None)
+        for errors in rows:
+            for number, part in errors.groupby(errors["us"] // SLICE_US):
+                text = part[self.waiting_columns].to_json(orient="values", force_ascii=False)
+                self.waiting.updateValue((int(number), batches), (text,))
+                self.handle.registerTimer((int(number) + 1) * SLICE_US // 1000 + 1)
+            batches += 1
+        self.marks.update((batches, forget))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = self.held()
-        us = self.waiting_columns.index("us") if self.waiting_columns else 0
-        ready = [row for row in waiting if row[us] < passed]
-        if ready:
-            errors = pd.DataFrame(ready, columns=self.waiting_columns).sort_values(["us", "id"])
+        now = timerValues.getCurrentWatermarkInMs()
+        if not self.hold:
+            self.forget()
+            return
+        passed = sorted(tuple(at) for at in self.waiting.keys() if (at[0] + 1) * SLICE_US <= now * 1000)
+        for _, entries in groupby(passed, key=lambda at: at[0]):
+            entries = list(entries)
+            rows = [row for at in entries for row in json.loads(self.waiting.getValue(at)[0])]
+            errors = pd.DataFrame(rows, columns=self.waiting_columns).sort_values(["us", "id"])
             yield from self.take(key, errors.reset_index(drop=True))
-        elif not waiting:
+            for at in entries:
+                self.waiting.removeKey(at)
+        batches, forget = self.marks.get() if self.marks.exists() else (0, None)
+        if forget is not None and forget <= now:
             self.forget()
-        if len(ready) < len(waiting):
-            self.put_back([row for row in waiting if row[us] >= passed])
-        elif ready:
-            self.waiting.clear()
-
-    def held(self) -> list:
-        return json.loads(self.waiting.get()[0]) if self.hold and self.waiting.exists() else []
-
-    def put_back(self, rows: list) -> None:
-        self.waiting.update((json.dumps(rows),))
-        us = self.waiting_columns.index("us")
-        self.wake_at(min(row[us] for row in rows) // 1000 + 1)
+            self.marks.update((batches, None))
+            if next(iter(self.waiting.keys()), None) is None:
+                self.marks.clear()
 
     def close(self) -> None:
         pass
@@ -99,9 +120,8 @@ class BurstProcessor(ExpiringProcessor):
         self.state.clear()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.prepare(handle)
         self.state = handle.getValueState("burst", "anchor bigint, errors bigint, alerted bigint")
-        self.waiting = handle.getValueState("waiting", "rows string") if self.hold else None
 
     def take(self, key, errors: pd.DataFrame) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else None
@@ -137,9 +157,8 @@ class RepeatProcessor(ExpiringProcessor):
         self.state.clear()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.prepare(handle)
         self.state = handle.getValueState("repeats", "times binary, newest string, reported bigint")
-        self.waiting = handle.getValueState("waiting", "rows string") if self.hold else None
 
     def take(self, key, errors: pd.DataFrame) -> Iterator[pd.DataFrame]:
         packed, newest, reported = self.state.get() if self.state.exists() else (b"", "[]", None)

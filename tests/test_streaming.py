@@ -240,3 +240,94 @@ def test_held_detectors_equal_the_batch_in_any_order(spark, logs, tmp_path, seed
     mine = sorted((r.trigger_log.id, r.additional_data.repeat_count) for r in drained(spark, repeats, tmp_path / "b").collect())
     batch = patterns.repeated_error(logs(*rows), 3, 20).collect()
     assert mine == sorted((r.trigger_log.id, r.additional_data.repeat_count) for r in batch) and mine
+
+
+class FakeState:
+    """States of one key in memory, with the bytes that are written."""
+
+    def __init__(self):
+        self.value, self.entries, self.written = None, {}, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def keys(self):
+        return iter(list(self.entries))
+
+    def getValue(self, key):
+        return self.entries[key]
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+        self.written += len(value[0])
+
+    def removeKey(self, key):
+        del self.entries[key]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, FakeState())
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, FakeState())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+
+class FakeClock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_held_errors_are_written_once():
+    """A batch writes what it brings, whatever waits; slices are taken in order and nothing stays behind."""
+    import pandas as pd
+    processor, handle = detectors.BurstProcessor(3, 10_000_000, 60_000_000, hold=True), FakeHandle()
+    processor.init(handle)
+    rng = random.Random(4)
+    times = [rng.randrange(300_000_000) for _ in range(3000)]
+    written = []
+    for at in range(0, 3000, 100):
+        batch = pd.DataFrame([("s", k, "a", "x", "ERROR", times[k]) for k in range(at, at + 100)],
+                             columns=processor.waiting_columns)
+        before = handle.states["waiting"].written
+        assert list(processor.handleInputRows(("s",), iter([batch[:40], batch[40:]]), None)) == []
+        written.append(handle.states["waiting"].written - before)
+    assert max(written) < 1.3 * min(written)
+    fired = []
+    for ms in sorted(handle.timers):
+        for found in processor.handleExpiredTimer(("s",), FakeClock(ms), None):
+            fired += found["us"].tolist()
+    while handle.timers - {0}:
+        ms = min(handle.timers)
+        handle.timers.discard(ms)
+        assert not list(processor.handleExpiredTimer(("s",), FakeClock(ms), None))
+    whole = detectors.BurstProcessor(3, 10_000_000, 60_000_000)
+    whole.init(FakeHandle())
+    errors = pd.DataFrame([("s", k, "a", "x", "ERROR", us) for k, us in enumerate(times)], columns=processor.waiting_columns)
+    expected = [us for found in whole.handleInputRows(("s",), iter([errors]), None) for us in found["us"]]
+    assert fired == expected and len(fired) > 3
+    assert not handle.states["waiting"].entries and not handle.states["marks"].exists()

@@ -68,6 +68,17 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     nothing either. Rows that share an id are looked at apart and reported under it together. Ties go to the earliest
     window. Empty tables give an empty one.
     """
+    best = F.max_by(F.struct("first_word", "n_words", "distance", "similarity"),
+                    F.struct("similarity", -F.col("first_word"), -F.col("n_words")))
+    found = matching_windows(docs, items, similarity, radius, blocks, id_col, text_col, item_col, item_text)
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+
+
+def matching_windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS,
+                     blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text",
+                     item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, copy, item_id, first_word, n_words, distance, similarity): every window that repeats an item; ``copy``
+    is the hash of its text and tells rows of one id apart."""
     if 64 % blocks or radius // blocks > 1:
         raise ValueError("blocks must divide 64 and the radius be less than twice their number")
     known = (items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("item_words"))
@@ -125,14 +136,15 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
              .withColumn("similarity", F.col("common") / (F.col("item_weight") + F.col("window_weight") - F.col("common")))
              .filter(F.round("similarity", 9) >= similarity)
              .select("window", "item_id", "distance", F.round("similarity", 9).alias("similarity")))
-    best = F.max_by(F.struct("first_word", "n_words", "distance", "similarity"),
-                    F.struct("similarity", -F.col("first_word"), -F.col("n_words")))
-    return (windows.join(pairs, "window").groupBy("doc_id", "item_id").agg(best.alias("best"))
-            .select("doc_id", "item_id", "best.*"))
+    return windows.join(pairs, "window").select(
+        "doc_id", "copy", "item_id", "first_word", "n_words", "distance", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that repeat no item; rows with a null id are judged, too, all of them together."""
-    found = contaminated(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]), "left_anti")
+    """The rows of ``docs`` that repeat no item. Each row is judged by its own text, whatever rows share its id, and
+    whether it has one."""
+    found = matching_windows(docs, items, **options).select(
+        F.col("doc_id").alias("_found"), F.col("copy").alias("_copy")).distinct()
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    return docs.join(found, docs[id_col].eqNullSafe(found["_found"]) & (F.xxhash64(docs[text_col]) == found["_copy"]),
+                     "left_anti")

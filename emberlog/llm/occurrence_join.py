@@ -386,15 +386,27 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id. Same columns.
 
-    Rows that repeat an id with an equal text are one document. Rows without an id can't be named and stay.
+    Rows that repeat an id with an equal text are one document, with unlike texts they are several: each is kept or
+    goes by its own text. Rows without an id can't be named and stay.
     """
+    repeated = docs.filter(docs[id_col].isNotNull()).groupBy(id_col).count().filter("count > 1")
+    if not repeated.isEmpty():
+        return _keep_one_of_each_row(docs, width, percent, id_col, text_col)
     groups = written(jaccard_groups(docs, width, percent, id_col, text_col).select("doc_id", "component_id"), "groups")
-    named = groups.filter("doc_id IS NOT NULL")
-    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(
-        kept.filter(F.col(id_col).isNull()))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
+def _keep_one_of_each_row(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The same where ids repeat: rows are numbered by id and text, and groups are those of the numbers."""
+    named = docs.filter(docs[id_col].isNotNull()).dropDuplicates([id_col, text_col])
+    order = [F.col("row")[id_col], F.xxhash64(F.col("row")[text_col])]
+    numbered = written(named.select(F.struct("*").alias("row")).repartitionByRange(*order).sortWithinPartitions(*order)
+                       .withColumn("number", F.monotonically_increasing_id()), "numbered")
+    bare = docs.filter(docs[id_col].isNull()).select(F.col(text_col).alias("text")).withColumn("number", F.lit(None).cast("long"))
+    rows = numbered.select(F.col("row")[text_col].alias("text"), "number").unionByName(bare)
+    groups = written(jaccard_groups(rows, width, percent, "number", "text").select("doc_id", "component_id"), "groups")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("number"))
+    return numbered.join(gone, "number", "left_anti").select("row.*").unionByName(docs.filter(docs[id_col].isNull()))

@@ -84,3 +84,13 @@ def test_simhash_votes(spark):
     row = spark.sql("SELECT array('a','b','c') AS w, xxhash64('a') AS x, xxhash64('b') AS y, xxhash64('c') AS z")
     r = row.select(simhash("w").alias("f"), "x", "y", "z").first()
     assert r.f == (r.x & r.y) | (r.x & r.z) | (r.y & r.z)
+
+
+def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
+    item = " ".join(f"w{n}" for n in range(20))
+    clean = " ".join(f"c{n}" for n in range(20))
+    rows = [(None, item), (None, clean), (4, clean), (4, "x " + item), (5, item), (6, None)]
+    docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, copy string")
+    kept = drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, clean), (4, clean), (6, None)], key=str)

@@ -6,7 +6,7 @@ import pytest
 
 from emberlog.llm import occurrence_join
 from emberlog.llm.graph import components
-from emberlog.llm.occurrence_join import jaccard_groups
+from emberlog.llm.occurrence_join import jaccard_groups, keep_one_of_each
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,3 +126,12 @@ def test_sets_of_blocks_spread_over_buckets():
     sets = {b"0" * 16: np.arange(3, dtype=np.uint64)}
     homes = {next(occurrence_join.block_messages(sets, part << 32, 64))[0] for part in range(64)}
     assert len(homes) > 20
+
+
+def test_repeated_ids_keep_unlike_texts(spark):
+    a, b = (" ".join(f"{x}{n}" for n in range(30)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b + " more"), (None, a), (9, None), (9, "")]
+    kept = keep_one_of_each(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, number long, row int"))
+    assert kept.columns == ["doc_id", "text", "number", "row"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(3, a), (5, b), (None, a), (9, None), (9, "")], key=str)

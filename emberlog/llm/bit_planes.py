@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_words import ByteWords, Kept, once
+from .byte_words import KEPT_WORDS, ByteWords, Kept, once
 from .common import arrow_map, keyed_text, rows_of
 
 BLOCK_IDS = 65_536
@@ -27,8 +27,8 @@ PIECES = """part int, ordinal long, doc_id long, chunk int, first_id long, n int
 class WordIds:
     """The ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str):
-        self.bpe = ByteWords(name)
+    def __init__(self, name: str, kept_words: int = KEPT_WORDS):
+        self.bpe, self.kept_words = ByteWords(name), kept_words
         self.table = Kept(lambda word: np.array(
             [piece.id for piece in self.bpe.pieces(self.bpe.shown(word))], "<u4").tobytes())
 
@@ -39,7 +39,7 @@ class WordIds:
                 out.append(np.array([self.bpe.specials[segment]], "<u4").tobytes())
             elif segment:
                 out.append(b"".join(map(self.table.__getitem__, self.bpe.words(segment))))
-        self.table.trim()
+        self.table.trim(self.kept_words)
         return b"".join(out)
 
 
@@ -65,9 +65,10 @@ def from_planes(planes: list[bytes], n_ids: int, layout: str) -> bytes:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2,
-                 block_ids: int = BLOCK_IDS, layout: str = "byte",
-                 id_col: str = "doc_id", text_col: str = "text") -> None:
+                 block_ids: int = BLOCK_IDS, layout: str = "byte", id_col: str = "doc_id", text_col: str = "text",
+                 kept_words: int = KEPT_WORDS) -> None:
     """Encode every whole text, append ``end_id`` and write the chunks to ``path`` in ascending ``id_col`` order.
+    ``kept_words`` bounds the words that a worker remembers; results don't depend on it.
 
     A null text counts as empty. Null ids come first; rows with equal ids are ordered by their text. Both split
     freely over parts, so one id may hold any share of the rows. An empty table writes an empty table.
@@ -81,7 +82,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     def make():
         from pyspark import TaskContext
 
-        coder, part = once(WordIds, tokenizer), TaskContext.get().partitionId()
+        coder, part = once(WordIds, tokenizer, kept_words), TaskContext.get().partitionId()
 
         def run(batches) -> Iterator[tuple]:
             chunk, held, size, continued = 0, [], 0, False

@@ -19,6 +19,8 @@ from emberlog.session import scratch_path
 #: Weights of the domains in the mix, and its size as a share of the incoming tokens.
 MIX, MIX_SCALE = {"good": 0.93, "low": 0.06, "toxic": 0.01}, 0.85
 WIDTH, PERCENT = 5, 80
+#: Words that a worker of the last stage remembers: fewer than alone, as executors still hold what stages before left.
+KEPT_WORDS = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids lie in the written stream, and their checksum, as read back."""
     path = scratch_path(spark, "tokens")
-    bit_planes.write_tokens(docs, path)
+    bit_planes.write_tokens(docs, path, kept_words=KEPT_WORDS)
     return bit_planes.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

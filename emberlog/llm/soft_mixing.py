@@ -28,6 +28,8 @@ SUMS = "domain string, bin int, n long"
 #: Domains of the labels table, and what to aim for.
 LABEL_DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'good' END"
 TARGETS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
+#: A domain's miss is measured by its target, or by this share of all targets where that is more.
+LEAST_SHARE, TOLERANCE = 1e-3, 0.01
 
 
 def word_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,37 +129,57 @@ def rate_after(steps: list[np.ndarray]) -> Column:
         zip_with(posteriors, step, (p, s) -> p * s), 0.0D, (a, b) -> a + b)))""")
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 5e-3, most_steps: int = 60
+def fit_rates(soft: DataFrame, targets: np.ndarray, tolerance: float = 0.01, most_passes: int = 60
               ) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, expected token totals by domain): projected-gradient least squares for totals near ``targets``.
 
-    Rates are measured in units of a document's tokens and residuals in units of the domains' second moments, in
-    which a step of length 1 is safe; without a rate at zero the first step is exact. Stops when every total is
-    within ``tolerance`` of the targets' sum, or when steps no longer help.
+    Rates are measured in units of a document's tokens, residuals in units of each domain's own target. A step goes
+    along the gradient scaled by the second moments of the documents whose rate is above zero; where that, or a
+    shorter one, brings the totals no nearer, a plain gradient step of the safe length does. Stops when every total is
+    within ``tolerance`` of its own target, when no step helps (the targets can't be reached then, and these totals
+    are the nearest found), or after ``most_passes`` passes over the documents.
     """
     size = len(targets)
-    total = max(float(targets.sum()), 1.0)
-    moments = soft.agg(*[F.sum(F.col("n_tokens") * F.get("posteriors", F.lit(a)) * F.get("posteriors", F.lit(b)))
-                         .alias(f"m{a}_{b}") for a in range(size) for b in range(size)]).first()
-    gram = np.array([x or 0.0 for x in moments]).reshape(size, size) / total
-    metric = np.linalg.pinv(gram + 1e-9 * max(np.trace(gram), 1e-9) * np.eye(size))
-    steps: list[np.ndarray] = []
-    best, best_error, reached = [], np.inf, np.zeros(size)
-    for _ in range(most_steps):
+    units = own_units(targets)
+    pairs = [(a, b) for a in range(size) for b in range(a, size)]
+    part = lambda a: F.get("posteriors", F.lit(a))
+    open_tokens = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
+
+    def measured(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         row = soft.withColumn("rate", rate_after(steps)).agg(
-            *[F.sum(F.col("rate") * F.col("n_tokens") * F.get("posteriors", F.lit(a))).alias(f"t{a}")
-              for a in range(size)]).first()
-        totals = np.array([x or 0.0 for x in row])
-        residual = (totals - targets) / total
-        error = float(np.abs(residual).max())
-        if error < best_error * (1 - 1e-3):
-            best, best_error, reached = list(steps), error, totals
-        elif len(steps) > len(best) + 5:
+            *[F.sum(F.col("rate") * F.col("n_tokens") * part(a)) for a in range(size)],
+            *[F.sum(open_tokens * part(a) * part(b)) for a, b in pairs]).first()
+        found = np.array([x or 0.0 for x in row])
+        gram = np.zeros((size, size))
+        for (a, b), x in zip(pairs, found[size:]):
+            gram[a, b] = gram[b, a] = x
+        return found[:size], gram / np.outer(units, units)
+
+    steps: list[np.ndarray] = []
+    totals, gram = measured(steps)
+    steepest = max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)  # at rate 1 all documents count
+    passes, length = 1, 1.0
+    while passes < most_passes:
+        residual = (totals - targets) / units
+        if np.abs(residual).max() <= tolerance:
             break
-        if error <= tolerance:
+        scaled = np.linalg.pinv(gram + 1e-9 * max(np.trace(gram), 1e-9) * np.eye(size)) @ residual
+        for factor in (length, length / 2, length / 4, 0.0):
+            step = (factor * scaled if factor else residual / steepest) / units
+            reached, moments = measured([*steps, step])
+            passes += 1
+            if np.linalg.norm((reached - targets) / units) < np.linalg.norm(residual) * (1 - 1e-3):
+                steps, totals, gram = [*steps, step], reached, moments
+                length = min(1.0, 2 * factor) if factor else length / 4
+                break
+        else:
             break
-        steps.append(metric @ residual)
-    return best, reached
+    return steps, totals
+
+
+def own_units(targets: np.ndarray) -> np.ndarray:
+    """What a domain's miss is measured by: its target, and a thousandth of all targets where it has less."""
+    return np.maximum(targets, max(float(targets.sum()), 1.0) * LEAST_SHARE)
 
 
 def copies(rate: Column, *key: str) -> Column:
@@ -168,27 +190,38 @@ def copies(rate: Column, *key: str) -> Column:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scale: float = 1.0,
         domain: str = LABEL_DOMAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, copy, n_tokens, domain, posterior, rate, copies) for every row of ``docs``.
+    """(doc_id, copy, n_tokens, domain, posterior, rate, copies, target, reached, met) for every row of ``docs``.
 
+    Tokens are words at white space. ``target`` and ``reached`` are the expected tokens aimed at and fitted for the
+    row's likeliest domain, ``met`` tells whether *every* domain is within one percent of its own target (of a
+    thousandth of all targets, for smaller ones): false where the targets can't be reached by rates of zero or more.
     ``targets`` are the domains' weights; their sum is scaled to ``scale`` times the tokens of ``docs``. Domains that
-    nobody labelled can't be aimed at and raise nothing: their weight goes to the others. ``copy`` tells rows of equal
-    id and different text apart. Null and empty texts have no tokens and the posterior of a text without words. Without any label
-    all rates are 1. An empty table gives an empty one.
+    nobody labelled can't be aimed at and raise nothing: their weight goes to the others. ``copy`` tells rows of
+    equal id and different text apart. Null and empty texts have no tokens and the posterior of a text without words. Without any label
+    all rates are 1 and the last three columns null. An empty table gives an empty one.
     """
     bags = written(word_bags(docs, id_col, text_col), "bags")
     domains, bare, weights = learn_domains(bags, labels, domain, id_col)
     soft = written(posteriors(bags, bare, weights), "posteriors")
     aims = np.array([(targets or TARGETS).get(name, 0.0) for name in domains])
     steps: list[np.ndarray] = []
+    wanted, reached, met = np.zeros(0), np.zeros(0), None
     if aims.sum() > 0:
         tokens = float(soft.agg(F.sum("n_tokens")).first()[0] or 0)
-        steps, _ = fit_rates(soft, aims / aims.sum() * tokens * scale)
+        wanted = aims / aims.sum() * tokens * scale
+        steps, reached = fit_rates(soft, wanted, TOLERANCE)
+        met = bool((np.abs(reached - wanted) <= TOLERANCE * own_units(wanted)).all())
     likely = F.array_max("posteriors")
-    names = F.array(*map(F.lit, domains)) if domains else F.expr("CAST(array() AS array<string>)")
+    place = (F.array_position("posteriors", likely) - 1).cast("int")
+
+    def of_domain(values, kind: str) -> Column:
+        return F.get(F.array(*map(F.lit, values)) if len(values) else F.expr(f"CAST(array() AS array<{kind}>)"), place)
+
     return soft.withColumn("rate", rate_after(steps)).select(
-        "doc_id", "copy", "n_tokens",
-        F.get(names, (F.array_position("posteriors", likely) - 1).cast("int")).alias("domain"),
-        likely.alias("posterior"), "rate", copies(F.col("rate"), "doc_id", "copy").alias("copies"))
+        "doc_id", "copy", "n_tokens", of_domain(domains, "string").alias("domain"),
+        likely.alias("posterior"), "rate", copies(F.col("rate"), "doc_id", "copy").alias("copies"),
+        of_domain(wanted.tolist(), "double").alias("target"), of_domain(reached.tolist(), "double").alias("reached"),
+        F.lit(met).cast("boolean").alias("met"))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm.soft_mixing import apply_mix, fit_rates, mix, rate_after
+from emberlog.llm.soft_mixing import TARGETS, apply_mix, fit_rates, mix, rate_after
 
 DOCS = "doc_id long, text string, quality int, _n string"
 
@@ -67,3 +67,36 @@ def test_without_labels_or_rows(spark):
     docs, labels = corpus(spark)
     assert {(r.rate, r.copies) for r in mix(docs, labels.limit(0)).collect()} == {(1.0, 1)}
     assert mix(docs.limit(0), labels).count() == 0
+
+
+def test_the_registered_targets_are_met(spark):
+    docs, labels = corpus(spark)
+    rows = mix(docs, labels, scale=0.85).collect()
+    total = sum(r.n_tokens for r in rows)
+    assert {r.met for r in rows} == {True}
+    for name, share in TARGETS.items():
+        target, reached = next((r.target, r.reached) for r in rows if r.domain == name)
+        assert target == pytest.approx(share * 0.85 * total) and abs(reached / target - 1) <= 0.01
+
+
+def test_each_domain_is_measured_by_its_own_target(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.2, 0.1, 0.05], 2000)
+    n = rng.integers(1, 500, 2000)
+    soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posteriors array<double>")
+    targets = np.array([0.93, 0.06, 0.01]) * n.sum() * 0.85
+    steps, totals = fit_rates(soft, targets)
+    rates = np.ones(2000)
+    for step in steps:
+        rates = np.maximum(0, rates - p @ step)
+    assert np.allclose((rates * n) @ p, totals, rtol=1e-9) and np.abs(totals / targets - 1).max() <= 0.01
+
+
+def test_targets_out_of_reach_are_flagged(spark):
+    """Every document is half good and half low: no rates bring nine parts of one to one of the other."""
+    soft = spark.createDataFrame([(100, [0.5, 0.5]), (50, [0.5, 0.5])], "n_tokens long, posteriors array<double>")
+    steps, totals = fit_rates(soft, np.array([0.9, 0.1]) * 150)
+    assert totals[0] == pytest.approx(totals[1]) and np.abs(totals / (np.array([0.9, 0.1]) * 150) - 1).max() > 0.01
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.met for r in mix(docs, labels, {"good": 0.9, "low": 0.1}).collect()} == {False}

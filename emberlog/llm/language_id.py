@@ -7,7 +7,7 @@ own; everything else covers all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -200,10 +200,14 @@ def identify_languages(docs: DataFrame, **options) -> DataFrame:
     return identify(docs, *fit(docs, **options)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language can be told: neither ``und`` nor below ``min_score``. Same columns."""
+def keep_identified(docs: DataFrame, min_score: float = 0.0, wanted: Collection[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, neither ``und`` nor below ``min_score``, and is one of
+    ``wanted``, if that is given. Same columns."""
     langs, machines = fit(docs)
 
+    def fits(lang: str, score: float) -> bool:
+        return score >= min_score and (wanted is None or lang in wanted)
+
     def make():
         return once(Grams, BITS), Predictor(langs, machines)
 
@@ -214,6 +218,6 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
         grams, predict = make()
         for texts in batches:
             found = [grams(t) if t and langs else None for t in texts]
-            yield pd.Series([bool(f) and predict(*f)[1] >= min_score for f in found], dtype=bool)
+            yield pd.Series([bool(f) and fits(*predict(*f)) for f in found], dtype=bool)
 
     return docs.filter(fine("text"))

@@ -94,3 +94,23 @@ def test_rows_of_one_id_are_dropped_by_their_own_text(spark):
     kept = drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
         [(None, clean), (4, clean), (6, None)], key=str)
+
+
+def test_short_and_unspaced_items(spark):
+    items = spark.createDataFrame([(1, "Quiet rivers carry Stones"), (2, "yes, maybe"), (3, "\u6771\u4eac\u306e\u5929\u6c17\u306f\u3069\u3046\u3067\u3059\u304b"),
+                                   (4, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "they say quiet rivers carry stones, and so on"), (11, "quiet rivers never carry stones"), (12, "Yes - maybe!"),
+        (13, "well yes maybe later"), (14, "\u660e\u65e5\u306e\u6771\u4eac\u306e\u5929\u6c17\u306f\u3069\u3046\u3067\u3059\u304b\u3068\u805e\u304f"),
+        (15, "\u6771\u4eac\u3067\u4f1a\u3044\u307e\u3057\u3087\u3046"), (16, None), (17, "..."),
+        (18, "quiet rivers carry stones; quiet rivers carry stones")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in contaminated(docs, items).collect()}
+    assert found == {(10, 1): (2, 4, 1.0), (12, 2): (0, 2, 1.0), (14, 3): (3, 11, 1.0), (18, 1): (0, 4, 1.0)}
+    assert sorted(r.doc_id for r in drop_contaminated(docs, items).collect()) == [11, 13, 15, 16, 17]
+
+
+def test_simhash_of_any_column_name(spark):
+    words = ["one", "two", "three"]
+    row = spark.createDataFrame([(words, words, words)], "b array<string>, n array<string>, words array<string>").select(
+        simhash("b").alias("x"), simhash("n").alias("y"), simhash("words").alias("z")).first()
+    assert row.x == row.y == row.z

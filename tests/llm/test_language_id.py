@@ -58,3 +58,12 @@ def test_nothing_or_one_language(spark):
     one = spark.createDataFrame([(k, "hello there", "en", "", 0) for k in range(8)], SCHEMA)
     assert {r.lang_pred for r in identify_languages(one).collect()} == {"en"}
     assert Predictor(["xx"], [])(None, None) == ("xx", 1.0)
+
+
+def test_unwanted_and_unsure_languages_go(spark):
+    rows = corpus()
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r for r in identify_languages(table).collect()}
+    kept = {r.doc_id for r in keep_identified(table, min_score=0.6, wanted={"en", "de"}).collect()}
+    assert kept == {k for k, r in found.items() if r.lang_pred in ("en", "de") and r.score >= 0.6}
+    assert 0 < len(kept) < sum(r[2] in ("en", "de") for r in rows) + 10

@@ -77,3 +77,11 @@ def test_run_is_all_stages(spark):
     starts = Window.orderBy("start")
     gaps = found.withColumn("next", F.lead("start").over(starts)).filter("next <> start + n_tokens").count()
     assert gaps == 0 and 100 < found.count() <= 300
+
+
+def test_language_stage_follows_the_prediction(spark, monkeypatch):
+    rows, _, _ = corpus()
+    table = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(corpus_pipeline, "WANTED", {"de"})
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, table, "").collect()}
+    assert set(kept.values()) == {"de"} and len(kept) == sum(r[2] == "de" for r in rows)

@@ -18,14 +18,18 @@ from emberlog.session import scratch_path
 
 #: Weights of the domains in the mix, and its size as a share of the incoming tokens.
 MIX, MIX_SCALE = {"good": 0.93, "low": 0.06, "toxic": 0.01}, 0.85
+#: A language is told if the least sure votes of both levels multiply to this; an even vote on each gives 0.25.
+MIN_SCORE = 0.2
+#: Languages to keep; None keeps every language that was learned.
+WANTED: set[str] | None = None
 WIDTH, PERCENT = 5, 80
 #: Words that a worker of the last stage remembers: fewer than alone, as executors still hold what stages before left.
 KEPT_WORDS = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
-    return keep_identified(docs)
+    """Documents of a wanted language that can be told; null texts and texts without a letter go."""
+    return keep_identified(docs, MIN_SCORE, WANTED)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

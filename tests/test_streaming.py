@@ -120,6 +120,75 @@ def test_service_runs_all_streams(spark, tmp_path):
     assert [(r.processed, r.errors) for r in spark.read.parquet(f"{root}/minutes").collect()] == [(12, 12)]
 
 
+def new_source_pattern():
+    """A plug-in with state of its own: the first log of every source."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class FirstLog(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("seen", "logs bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            rows = pd.concat(list(rows)).sort_values(["us", "id"])
+            before = self.seen.get()[0] if self.seen.exists() else 0
+            self.seen.update((before + len(rows),))
+            yield rows.iloc[:0 if before else 1].assign(source=key[0])[["source", "id", "us"]]
+
+        def close(self):
+            pass
+
+    class NewSource:
+        pattern_id, name, description, severity, enabled = "new-source", "New source", "first log", "WARNING", True
+
+        def detect_stream(self, logs, delay):
+            found = logs.select("source", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us")).groupBy(
+                "source").transformWithStateInPandas(FirstLog(), "source string, id bigint, us bigint", "Append", "None")
+            return found.select(
+                F.lit(self.pattern_id).alias("pattern_id"), F.lit(self.name).alias("pattern_name"),
+                F.lit(True).alias("detected"), F.lit(self.severity).alias("severity"),
+                F.concat(F.lit("new source "), "source").alias("message"),
+                F.timestamp_micros("us").cast("timestamp_ntz").alias("detected_at"))
+
+    return NewSource()
+
+
+def test_plug_in_patterns_run_beside_the_detectors(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "root")
+    folder.mkdir()
+    broken, off = new_source_pattern(), new_source_pattern()
+    broken.pattern_id, broken.detect_stream = "broken", lambda logs, delay: logs.select("no_such_column")
+    off.pattern_id, off.enabled = "off", False
+    failed = []
+
+    def run():
+        started = service.start_service(
+            read_event_stream(spark, str(folder), max_per_trigger=1), root, lambda batch: datetime(2024, 5, 1, 12, batch),
+            "0 seconds", threshold=10, patterns=[new_source_pattern(), broken, off],
+            on_failure=lambda pattern, error: failed.append(pattern.pattern_id), availableNow=True)
+        for query in started.values():
+            query.awaitTermination()
+        return set(started)
+
+    messages_in(spark, folder, 1, [message(2 * i, "ERROR", f"2024-01-01T10:00:{i:02d}", "body") for i in range(12)])
+    assert run() == {"store", "bursts", "repeats", "minutes", "pattern-new-source"} and failed == ["broken"]
+    messages_in(spark, folder, 2, [message(k, "INFO", "2024-01-01T11:00:00") for k in range(4)])
+    messages_in(spark, folder, 3, ['{"source":"late","content":"without a time"}'])
+    run()  # what the first run saw is known from the state
+    alerts = tables.read_alerts(spark, f"{root}/alerts").collect()
+    assert sorted(r.message for r in alerts if r.kind == "new-source") == ["new source late", "new source s0", "new source s1"]
+    assert {r.kind for r in alerts} >= {"error-burst", "new-source"}
+    # The function tells the store the time of the batch: an event without one is not put at one constant for ever.
+    late = tables.read_logs(spark, f"{root}/logs").filter("source = 'late'").first()
+    assert late.created_at in {datetime(2024, 5, 1, 12, 1), datetime(2024, 5, 1, 12, 2)}
+
+
+def test_pattern_ids_must_differ(spark, tmp_path):
+    logs = stream_of(spark, tmp_path / "in", [(1, "a", "x", "ERROR", START)])
+    with pytest.raises(ValueError, match="must differ"):
+        service.start_patterns(logs, str(tmp_path / "root"), [new_source_pattern(), new_source_pattern()])
+
+
 def test_state_expires_without_changing_results(spark, tmp_path):
     batches = [[(10 * n + i, "a", "same", "ERROR", START + timedelta(hours=n, seconds=i)) for i in range(3)] for n in range(4)]
     rows = [row for batch in batches for row in batch]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.times import parse
 from emberlog.operators.archive import archive_logs
-from emberlog.schemas import ALERT_SCHEMA, ARCHIVE_DAYS, LOGS_SCHEMA, RETENTION_DAYS
+from emberlog.schemas import ALERT_SCHEMA, ARCHIVE_DAYS, LOGS_SCHEMA, RETENTION_DAYS, STATISTICS_SCHEMA
 from emberlog.sinks.index import COMMITS, expire_index, index_days, rewrite_day
+from emberlog.sinks.prints import drifted_days
 from emberlog.sinks.tables import (compact_day, counted_write, day_loads, expire_table, read_archive, read_load_logs,
                                    read_logs, rebuild_statistics_day, table_days, table_exists, write_archive)
 from emberlog.sources.tables import scan_old_logs
@@ -51,13 +52,17 @@ def unarchived_days(old: DataFrame, archived: DataFrame) -> list[date]:
 
 def run_nightly(spark: SparkSession, root: str, as_of: datetime | str,
                 archive_days: int = ARCHIVE_DAYS, retention_days: int = RETENTION_DAYS) -> dict[str, int]:
-    """All daily jobs in their order, for the day before ``as_of``."""
+    """All daily jobs in their order, for the day before ``as_of``. Its rollup is rebuilt from the logs only where the
+    prints of its loads tell that it drifted."""
     archived = run_archive(spark, root, as_of, archive_days)
     yesterday = (parse(as_of) - timedelta(days=1)).date()
     # Loads are listed before the logs are read: one that comes later is counted when it comes.
     loads = day_loads(spark, f"{root}/logs", yesterday)
-    logs = read_load_logs(spark, f"{root}/logs").filter(F.col("load_id").isin(loads)).drop("load_id")
-    rebuild_statistics_day(logs, f"{root}/statistics", yesterday, loads)
+    if drifted_days(spark, root, [yesterday]):
+        logs = read_load_logs(spark, f"{root}/logs").filter(F.col("load_id").isin(loads)).drop("load_id")
+        rebuild_statistics_day(logs, f"{root}/statistics", yesterday, loads)
+    elif len(day_loads(spark, f"{root}/statistics", yesterday)) > 1:
+        compact_day(spark, f"{root}/statistics", yesterday, STATISTICS_SCHEMA)
     for table, schema in (("logs", LOGS_SCHEMA), ("alerts", ALERT_SCHEMA)):
         if table_exists(spark, f"{root}/{table}") and len(day_loads(spark, f"{root}/{table}", yesterday)) > 1:
             compact_day(spark, f"{root}/{table}", yesterday, schema)

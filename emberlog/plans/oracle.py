@@ -364,6 +364,14 @@ put("reconcile_statistics", f"""WITH {STATS}, drifted AS (SELECT log_date, hour,
   FROM drifted d FULL OUTER JOIN stats s ON d.log_date = s.log_date AND d.hour = s.hour
     AND d.source = s.source AND d.log_level = s.log_level""")
 
+put("reconcile_stored", f"""WITH {LOGS}, counted AS (SELECT CAST(created_at AS DATE) AS log_date,
+    CAST(hour(created_at) AS INTEGER) AS hour, source, log_level, count(*) AS raw_count,
+    count(*) FILTER (NOT (id % 3 = 1 AND log_level = 'ERROR' AND CAST(created_at AS DATE) = DATE '{DAY}')) AS kept
+  FROM logs GROUP BY 1, 2, 3, 4)
+  SELECT log_date, hour, source, log_level, CASE WHEN kept > 0 THEN kept END AS rollup_count, raw_count,
+         CASE WHEN kept = 0 THEN 'missing' ELSE 'diff' END AS status
+  FROM counted WHERE kept <> raw_count""")
+
 
 def unpivot(panel: str, key: str, rows: str, *metrics: str) -> str:
     return " UNION ALL ".join(

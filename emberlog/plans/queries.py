@@ -19,7 +19,7 @@ from emberlog.plans.params import (ARCHIVE_DAYS, AS_OF, BURST, COUNT_END, COUNT_
 from emberlog.schemas import LOGS_SCHEMA
 from emberlog.session import scratch_path, ship_package
 from emberlog.sinks import index as index_sinks
-from emberlog.sinks import messages, tables as sinks
+from emberlog.sinks import messages, prints, tables as sinks
 from emberlog.sources import events as event_sources
 from emberlog.sources import files, tail
 from emberlog.sources import tables as sources
@@ -672,6 +672,18 @@ def reconcile_statistics(spark, folder):
     return rollup.reconcile_statistics(drifted, logs)
 
 
+@query
+def reconcile_stored(spark, folder):
+    """Three loads, one written twice, one of whose errors of one day never reached the rollup."""
+    root, logs = scratch_path(spark, "store"), logs_of(spark, folder)
+    for load in (0, 1, 2, 1):
+        part = logs.filter(F.col("id") % 3 == load)
+        lost = (F.to_date("created_at") == F.lit(DAY).cast("date")) & (F.col("log_level") == "ERROR") & F.lit(load == 1)
+        sinks.write_logs(part, f"{root}/logs", f"load-{load}")
+        sinks.write_statistics(rollup.hourly_rollup(part.filter(~lost)), f"{root}/statistics", f"load-{load}")
+    return prints.reconcile_stored(spark, root, sinks.table_days(spark, f"{root}/logs"))
+
+
 @query
 def dashboard_stats(spark, folder):
     panels = dashboard.dashboard_stats(logs_of(spark, folder), COUNT_START, COUNT_END, as_of=STATUS_AS_OF, day=DAY,

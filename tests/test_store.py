@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import archive, rollup
 from emberlog.plans.nightly import run_archive, run_nightly, unarchived_days
 from emberlog.schemas import LOGS_SCHEMA, STATISTICS_SCHEMA
-from emberlog.sinks import messages, tables
+from emberlog.sinks import messages, prints, tables
 
 
 def month(logs):
@@ -140,6 +140,49 @@ def test_nightly_jobs(spark, logs, tmp_path):
     assert tables.read_statistics(spark, f"{root}/statistics").agg(F.sum("count")).first()[0] == 200
 
 
+def test_prints_tell_drift_without_reading_logs(spark, logs, tmp_path, monkeypatch):
+    root, days = str(tmp_path), [date(2024, 1, 1 + i) for i in range(20)]
+    parts = [month(logs).filter(f"id % 3 = {k}") for k in range(3)]
+    for k, part in enumerate(parts):
+        tables.write_logs(part, f"{root}/logs", f"load-{k}")
+        tables.write_statistics(rollup.hourly_rollup(part), f"{root}/statistics", f"load-{k}")
+    assert prints.fill_prints(spark, f"{root}/logs", days) == 60
+    assert prints.fill_prints(spark, f"{root}/logs", days) == 0
+    assert prints.drifted_days(spark, root, days) == []
+    assert prints.reconcile_stored(spark, root, days).count() == 0
+    with monkeypatch.context() as patched:  # a night without drift: nothing is rebuilt
+        patched.setattr("emberlog.plans.nightly.rebuild_statistics_day", None)
+        run_nightly(spark, root, "2024-01-21 00:00:00", 50, 50)
+    assert len(tables.day_loads(spark, f"{root}/statistics", "2024-01-20")) == 1
+    assert prints.drifted_days(spark, root, days) == []
+    # one more row; a load written anew under its name; a day of the rollup with another key
+    tables.write_logs(logs((999, "s0", "x", "INFO", "2024-01-02 01:00:00")), f"{root}/logs", "late")
+    tables.write_logs(logs((0, None, "x", "INFO", "2024-01-01 00:00:00")), f"{root}/logs", "load-0")
+    tables.write_statistics(rollup.hourly_rollup(parts[1]).withColumn(
+        "source", F.when(F.col("log_date") == "2024-01-05", "other").otherwise(F.col("source"))), f"{root}/statistics", "load-1")
+    assert prints.drifted_days(spark, root, days) == [date(2024, 1, 1), date(2024, 1, 2), date(2024, 1, 5)]
+    found = prints.reconcile_stored(spark, root, days)
+    assert {r.log_date.day for r in found.select("log_date").collect()} == {1, 2, 5}
+    assert prints.drifted_days(spark, str(tmp_path / "none"), days) == []
+
+
+def test_prints_do_not_read_bodies(spark, logs, tmp_path, monkeypatch):
+    frames = type(logs((1, "a", "b", "INFO", "2024-01-01 00:00:00")))
+    seen, real = [], frames.groupBy
+
+    def noted(frame, *keys):
+        grouped = real(frame, *keys)
+        if "content" in frame.columns:
+            seen.append(grouped.agg(F.sum(F.xxhash64("created_at", "source", "log_level").cast("decimal(28,0)")))
+                        ._jdf.queryExecution().executedPlan().toString())
+        return grouped
+
+    tables.write_logs(month(logs), f"{tmp_path}/logs", "one")
+    monkeypatch.setattr(frames, "groupBy", noted)
+    prints.fill_prints(spark, f"{tmp_path}/logs", [date(2024, 1, 1)])
+    assert seen and all("PartitionFilters: [" in plan and "content" not in plan.split("ReadSchema")[-1] for plan in seen)
+
+
 def test_counted_write(spark, logs, tmp_path):
     path = str(tmp_path / "logs")
     assert tables.counted_write(month(logs), tables.write_logs, path) == 200

@@ -1,3 +1,4 @@
+import time
 import random
 from datetime import datetime, timedelta
 
@@ -11,7 +12,7 @@ from emberlog.sinks import tables
 from emberlog.sinks.index import read_index
 from emberlog.sources.events import decode_events, read_event_stream
 from emberlog.sources.files import lines_to_events
-from emberlog.sources.tail import tail_log_files
+from emberlog.sources.tail import GrowingLogsReader, tail_log_files
 from emberlog.streaming import consume, detectors, service
 
 START = datetime(2024, 1, 1)
@@ -58,6 +59,53 @@ def test_tail_sees_appended_finished_lines_once(spark, tmp_path):
                      ("app.log", "unfinished WARN"), ("late.log", ""), ("late.log", "first"), ("late.log", "x" * 40)]
 
 
+def test_tail_reads_a_backlog_in_bounded_batches(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    sent = {}
+    for name in ("a.log", "b.log", "c.log"):
+        sent[name] = [f"{name} line {i} " + "x" * (i % 7) for i in range(40)]
+        (folder / name).write_text("".join(line + "\n" for line in sent[name]))
+    (folder / "d.log").write_text("y" * 500 + "\nend\n")  # a line longer than a batch
+    sent["d.log"] = ["y" * 500, "end"]
+    by_batch = {}
+
+    def kept():
+        return [row for number in sorted(by_batch) for row in by_batch[number]]
+
+    def drain(until):
+        def keep(batch, number):
+            by_batch[number] = [(r.source, r.content) for r in batch.collect()]  # a batch that is run again counts once
+
+        lines = tail_log_files(spark, str(folder), split_bytes=64, batch_bytes=200, progress=str(tmp_path / "p" / "at"))
+        running = (lines.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state"))
+                   .trigger(processingTime="0 seconds").start())
+        for _ in range(600):
+            if len(kept()) >= until or running.exception():
+                break
+            time.sleep(0.1)
+        running.processAllAvailable() if until >= total else None
+        running.stop()
+
+    total = sum(map(len, sent.values()))
+    drain(30)  # stopped in the middle, then gone on from the checkpoint
+    drain(total)
+    sizes = [sum(len(line) + 1 for _, line in rows) for rows in by_batch.values()]
+    assert sorted(kept()) == sorted((name, line) for name, lines in sent.items() for line in lines)
+    assert max(sizes) <= 501 and sorted(sizes)[-2] <= 200 and len(sizes) >= total * 12 // 200
+    with (folder / "a.log").open("a") as handle:
+        handle.write("more\n")
+    total += 1
+    drain(total)
+    assert kept()[-1] == ("a.log", "more") and len(kept()) == total
+    lost = GrowingLogsReader({"path": str(folder), "batchBytes": "200", "progress": str(tmp_path / "q" / "at")})
+    behind = lost.latestOffset()
+    with pytest.raises(RuntimeError, match="does not belong"):
+        lost.partitions({str(folder / name): (folder / name).stat().st_size for name in sent}, behind)
+    with pytest.raises(ValueError):
+        GrowingLogsReader({"path": str(folder), "batchBytes": "5"})
+
+
 def test_equal_lines_have_positions_and_times(spark, tmp_path):
     from emberlog.operators.ingest import with_event_id
     from emberlog.sources.files import lines_to_events

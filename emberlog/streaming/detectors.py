@@ -41,7 +41,8 @@ class ExpiringProcessor(StatefulProcessor):
     With ``hold`` set, errors wait until the watermark has passed them, and are then taken in time order: whatever order
     they came in, the result is that of the batch. They wait as map entries by slice of time and number of the batch
     that brought them, so a batch writes what it brings and never what waits already, and a timer a slice takes one
-    slice after the other.
+    slice after the other. That is a call of the state store an error in the one task of a key; streams of this module
+    wait in :func:`held` instead.
     """
 
     hold = False
@@ -185,6 +186,19 @@ class RepeatProcessor(ExpiringProcessor):
         yield pd.DataFrame(found, columns=["repeat_count", "logs"])
 
 
+def held(errors: DataFrame) -> DataFrame:
+    """``errors`` once the watermark has passed their slice of time, which is then their ``at``.
+
+    Each distinct error is an aggregation group with a count: a batch writes only what it brings, the waiting errors of a
+    hot key or second lie in all partitions, and none goes through Python before its time.
+    """
+    columns = [name for name in errors.columns if name != "at"]
+    waiting = errors.groupBy(F.window("at", f"{SLICE_US} microseconds").alias("slice"), *columns)
+    passed = waiting.agg(F.count("*").alias("copies"))
+    return (passed.select(*columns, F.window_time("slice").alias("at"), F.explode(F.sequence(F.lit(1), "copies")))
+            .drop("col"))
+
+
 def stream_error_burst(logs: DataFrame, delay: str, threshold: int = BURST_THRESHOLD,
                        window_seconds: int = BURST_WINDOW_SECONDS,
                        cooldown_seconds: int = BURST_COOLDOWN_SECONDS,
@@ -204,8 +218,8 @@ def stream_error_burst(logs: DataFrame, delay: str, threshold: int = BURST_THRES
               .select(scope_key.alias("scope"), "id", "source", "content", "log_level",
                       micros(created).alias("us"), instant(created).alias("at"))
               .withWatermark("at", delay))
-    fired = errors.groupBy("scope").transformWithStateInPandas(
-        BurstProcessor(threshold, window_seconds * MICROS, cooldown_seconds * MICROS, hold),
+    fired = (held(errors) if hold else errors).groupBy("scope").transformWithStateInPandas(
+        BurstProcessor(threshold, window_seconds * MICROS, cooldown_seconds * MICROS),
         outputStructType="scope string, id bigint, source string, content string, log_level string, us bigint",
         outputMode="Append", timeMode="EventTime")
     return fired.withColumn("created_at", from_micros(F.col("us"))).drop("us")

@@ -359,6 +359,26 @@ def test_held_detectors_equal_the_batch_in_any_order(spark, logs, tmp_path, seed
     assert mine == sorted((r.trigger_log.id, r.additional_data.repeat_count) for r in batch) and mine
 
 
+def kept_rows(held, tmp_path):
+    """Rows that each stateful operator of a stream keeps in the end."""
+    query = (held.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return {op["operatorName"]: op["numRowsTotal"] for op in query.lastProgress["stateOperators"]}
+
+
+def waiting_errors():
+    """Errors of one source and message, a second apart, one of them twice."""
+    rows = [(i, "a", "same", "ERROR", START + timedelta(seconds=i)) for i in range(50)]
+    return [*rows, rows[7]]
+
+
+def test_waiting_burst_errors_are_kept_apart(spark, tmp_path):
+    """Errors that wait are rows of their own in all partitions, not entries of their key in the detector."""
+    fired = detectors.stream_error_burst(stream_of(spark, tmp_path / "in", waiting_errors()), "10 days", hold=True)
+    assert kept_rows(fired, tmp_path) == {"stateStoreSave": 50, "transformWithStateInPandasExec": 0}
+
+
 class FakeState:
     """States of one key in memory, with the bytes that are written."""
 

@@ -238,8 +238,8 @@ def stream_repeated_error(logs: DataFrame, delay: str, threshold: int = REPEAT_T
               .select(row_key("source", "prefix").alias("key"), "id", "source", "content",
                       micros(created).alias("us"), instant(created).alias("at"))
               .withWatermark("at", delay))
-    found = errors.groupBy("key").transformWithStateInPandas(
-        RepeatProcessor(threshold, window_seconds * MICROS, related, hold),
+    found = (held(errors) if hold else errors).groupBy("key").transformWithStateInPandas(
+        RepeatProcessor(threshold, window_seconds * MICROS, related),
         outputStructType="repeat_count bigint, "
                          "logs array<struct<id: bigint, source: string, content: string, us: bigint>>",
         outputMode="Append", timeMode="EventTime")

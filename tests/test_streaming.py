@@ -379,6 +379,11 @@ def test_waiting_burst_errors_are_kept_apart(spark, tmp_path):
     assert kept_rows(fired, tmp_path) == {"stateStoreSave": 50, "transformWithStateInPandasExec": 0}
 
 
+def test_waiting_repeated_errors_are_kept_apart(spark, tmp_path):
+    found = detectors.stream_repeated_error(stream_of(spark, tmp_path / "in", waiting_errors()), "10 days", hold=True)
+    assert kept_rows(found, tmp_path) == {"stateStoreSave": 50, "transformWithStateInPandasExec": 0}
+
+
 class FakeState:
     """States of one key in memory, with the bytes that are written."""
 

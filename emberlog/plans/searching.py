@@ -59,8 +59,9 @@ def search_store(spark: SparkSession, root: str, engine: str = "auto", **criteri
 
 
 def _not_indexed(logs: DataFrame, loads: DataFrame, documents: DataFrame) -> DataFrame:
-    """Logs of loads that are not indexed. Rewritten days mix rows of several loads, so there the ids tell."""
-    logs = logs.join(loads, "load_id", "left_anti")
+    """Logs of loads that are not indexed. Rewritten days mix rows of several loads, so there the ids tell. Loads are
+    fewer than the folders that the driver lists; a shuffle would bring all logs of one load to one task."""
+    logs = logs.join(F.broadcast(loads), "load_id", "left_anti")
     base = F.col("load_id").startswith(BASE_LOAD)
     known = documents.select(F.col("id").alias("_id"))
     mixed = logs.filter(base).join(known, F.col("id").cast("string") == F.col("_id"), "left_anti")

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import search
+from emberlog.plans import searching
 from emberlog.plans.nightly import run_nightly
 from emberlog.plans.searching import search_store
+from emberlog.schemas import LOGS_SCHEMA
 from emberlog.sinks import index, tables
 
 
@@ -128,3 +130,24 @@ def test_expiry_without_logs_goes_by_the_second(spark, logs, tmp_path):
     index.expire_index(spark, path, "2024-01-12 10:00:01", 10)
     assert ids(search.search_index(index.read_index(spark, path), keyword="disk")) == [2]
     assert list(index.index_days(spark, path)) == [datetime(2024, 1, 2).date(), datetime(2024, 1, 3).date()]
+
+
+def dealt_by(spark, frame):
+    """The plan of ``frame`` with no broadcast by size: what is dealt out by which columns."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = frame.filter("true")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    return [line for line in plan.splitlines() if "hashpartitioning(" in line] if joins else []
+
+
+def test_logs_of_one_load_do_not_meet_in_one_task(spark, logs, tmp_path):
+    rows = some_logs(logs, 0)
+    tables.write_logs(rows, f"{tmp_path}/logs", "one")
+    stored = tables.read_load_logs(spark, f"{tmp_path}/logs")
+    loads = spark.createDataFrame([("one",)], "load_id string")
+    rest = searching._not_indexed(stored, loads, search.index_documents(rows))
+    assert not any("hashpartitioning(load_id" in line for line in dealt_by(spark, rest)) and not rest.count()

@@ -6,8 +6,9 @@ import base64
 import binascii
 import gzip
 import zlib
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -60,14 +61,24 @@ def _unpack(text: str | None) -> str | None:
         return text
 
 
-@F.pandas_udf(StringType())
-def _pack_all(texts: pd.Series) -> pd.Series:
-    return texts.map(_pack, na_action="ignore")
+#: Bodies that are Python texts at a time; the rest of a batch stays in Arrow's buffers.
+TEXTS_AT_ONCE = 100
 
 
-@F.pandas_udf(StringType())
-def _unpack_all(texts: pd.Series) -> pd.Series:
-    return texts.map(_unpack, na_action="ignore")
+def _each(change: Callable[[str | None], str | None], texts: pa.Array) -> pa.Array:
+    parts = [pa.array([change(text.as_py()) for text in texts[at:at + TEXTS_AT_ONCE]], pa.string())
+             for at in range(0, len(texts), TEXTS_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _pack_all(texts: pa.Array) -> pa.Array:
+    return _each(_pack, texts)
+
+
+@F.arrow_udf(StringType())
+def _unpack_all(texts: pa.Array) -> pa.Array:
+    return _each(_unpack, texts)
 
 
 def compress(content: Column, eligible: Column) -> Column:

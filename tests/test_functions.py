@@ -100,3 +100,18 @@ def test_presets():
     start, end = times.preset_bounds("2024-01-31 00:00:00", "7d")
     assert (end - start).days == 7
     assert times.preset_bounds("2024-01-31 00:00:00", "odd") == times.preset_bounds("2024-01-31 00:00:00")
+
+
+def test_a_batch_of_bodies_is_not_held_as_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+    from emberlog.functions import compression
+    bodies = pa.array([f"{i:07d} " * 2000 for i in range(1500)] + [None, ""])
+    packed = compression._pack_all.func(bodies)
+    tracemalloc.start()
+    assert compression._unpack_all.func(packed).equals(bodies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < bodies.nbytes / 4
+    assert len(compression._unpack_all.func(pa.array([], pa.string()))) == 0

@@ -16,6 +16,8 @@ from emberlog.sources.tables import between_closed, between_dates
 TERM_BUCKETS = 16
 #: Partitions with hits that a search names in its plan; with more, their days prune at run time.
 LISTED_PARTITIONS = 500
+#: Words with a wanted n-gram that go to all tasks; with more, postings are shuffled to them.
+BROADCAST_WORDS = 500_000
 
 
 def given(value: str | None) -> str | None:
@@ -109,8 +111,10 @@ def matching_ids(index: SearchIndex, keyword: str, mode: str = "token_any") -> D
     found = _with_value(index.terms, "term", query_terms(spark, keyword), index.buckets).select(*columns)
     if mode == "ngram_any":
         words = _with_value(index.grams, "gram", query_terms(spark, keyword, grams=True), index.buckets)
-        found = found.unionByName(
-            index.terms.join(words.select("term").distinct(), "term", "left_semi").select(*columns))
+        words = words.select("term").distinct()
+        if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+            words = F.broadcast(words)
+        found = found.unionByName(index.terms.join(words, "term", "left_semi").select(*columns))
     return found
 
 

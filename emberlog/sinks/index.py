@@ -243,10 +243,14 @@ def read_index(spark: SparkSession, path: str, loads: DataFrame | None = None) -
         grams, bare = _segments(spark, path, "grams", []), terms
     else:
         grams = _segments(spark, path, "grams", live["grams"])
-        bare = terms.join(known.filter("kind = 'grams'").select("load"), "load", "left_anti")
-    derived = index_grams(bare).select("gram", "term", term_bucket(F.col("gram"), count).alias("bucket"))
+        without = known.filter("kind = 'terms'").join(known.filter("kind = 'grams'"), "load", "left_anti").select("load")
+        # Postings are read for n-grams only where a load has none.
+        bare = terms.join(F.broadcast(without), "load", "left_semi") if without.take(1) else None
+    grams = grams.select("gram", "term", "bucket")
+    if bare is not None:
+        grams = grams.unionByName(index_grams(bare).select("gram", "term", term_bucket(F.col("gram"), count).alias("bucket")))
     return SearchIndex(documents.select("id", "source", "content", "log_level", "timestamp", "log_date", "load_id"), terms,
-                       grams.select("gram", "term", "bucket").unionByName(derived), places, count)
+                       grams, places, count)
 
 
 def rewrite_day(spark: SparkSession, path: str, day: date, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:

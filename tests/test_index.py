@@ -151,3 +151,16 @@ def test_logs_of_one_load_do_not_meet_in_one_task(spark, logs, tmp_path):
     loads = spark.createDataFrame([("one",)], "load_id string")
     rest = searching._not_indexed(stored, loads, search.index_documents(rows))
     assert not any("hashpartitioning(load_id" in line for line in dealt_by(spark, rest)) and not rest.count()
+
+
+def test_postings_are_not_read_for_stored_ngrams(spark, logs, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    index.index_logs(some_logs(logs, 0), path, "one")
+    grams = index.read_index(spark, path).grams
+    assert grams.inputFiles() and all("/grams/" in file for file in grams.inputFiles())
+    index.index_logs(some_logs(logs, 10, words="fan"), path, "two", with_ngrams=False)
+    for most in (search.BROADCAST_WORDS, 1):
+        monkeypatch.setattr(search, "BROADCAST_WORDS", most)
+        both = index.read_index(spark, path)
+        assert ids(search.search_index(both, keyword="dis", mode="ngram_any")) == [0, 1, 2]
+        assert ids(search.search_index(both, keyword="umb", mode="ngram_any")) == [0, 1, 2, 10, 11, 12]

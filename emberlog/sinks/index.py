@@ -231,7 +231,7 @@ def read_index(spark: SparkSession, path: str, loads: DataFrame | None = None) -
     documents = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents")
     if bad["documents"]:
         documents = documents.filter(~F.col("load_id").isin(*bad["documents"]))
-    documents = documents.join(places, ["load", "log_date", "load_id"], "left_semi").drop("load")
+    documents = documents.join(F.broadcast(places), ["load", "log_date", "load_id"], "left_semi").drop("load")
     live = {kind: [] for kind in SEGMENTS}
     segments = live_segments(spark, path, known)
     for row in segments:

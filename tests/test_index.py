@@ -164,3 +164,11 @@ def test_postings_are_not_read_for_stored_ngrams(spark, logs, tmp_path, monkeypa
         both = index.read_index(spark, path)
         assert ids(search.search_index(both, keyword="dis", mode="ngram_any")) == [0, 1, 2]
         assert ids(search.search_index(both, keyword="umb", mode="ngram_any")) == [0, 1, 2, 10, 11, 12]
+
+
+def test_documents_of_a_load_do_not_meet_in_one_task(spark, logs, tmp_path):
+    path = str(tmp_path)
+    index.index_logs(some_logs(logs, 0), path, "one", with_ngrams=False)
+    found = index.read_index(spark, path).documents.select("id", "content")
+    assert not any("hashpartitioning(load" in line and "log_date" in line for line in dealt_by(spark, found))
+    assert ids(found) == [0, 1, 2]

@@ -197,7 +197,7 @@ def merge_segments(spark: SparkSession, path: str, fanout: int = FANOUT) -> None
         rows = _segments(spark, path, kind, names).drop("bucket", "segment")
         if kind == "terms":
             days = known.filter("kind = 'documents' AND segment <> ''").select("log_date").distinct()
-            rows = rows.join(days, "log_date", "left_semi")
+            rows = rows.join(F.broadcast(days), "log_date", "left_semi")
         _write_segment(rows, path, kind, merged, count, *(["log_date"] if kind == "terms" else []))
         inside = known.filter((F.col("kind") == kind) & F.col("segment").isin(*names))
         _commit(inside.withColumns({"segment": F.lit(merged), "level": F.lit(level + 1),

@@ -172,3 +172,17 @@ def test_documents_of_a_load_do_not_meet_in_one_task(spark, logs, tmp_path):
     found = index.read_index(spark, path).documents.select("id", "content")
     assert not any("hashpartitioning(load" in line and "log_date" in line for line in dealt_by(spark, found))
     assert ids(found) == [0, 1, 2]
+
+
+def test_postings_of_a_day_do_not_meet_in_one_merge_task(spark, logs, tmp_path, monkeypatch):
+    path, merged, write = str(tmp_path), [], index._write_segment
+    for load in ("one", "two"):
+        index.index_logs(some_logs(logs, 0), path, load, with_ngrams=False)
+
+    def recorded(rows, *args, **more):
+        merged.append(dealt_by(spark, rows))
+        write(rows, *args, **more)
+
+    monkeypatch.setattr(index, "_write_segment", recorded)
+    index.merge_segments(spark, path, fanout=2)
+    assert merged == [[]]

@@ -264,7 +264,7 @@ def rewrite_day(spark: SparkSession, path: str, day: date, keep: Callable[[DataF
         return
     rows = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").filter(
         (F.col("log_date") == on(day)) & F.col("load_id").isin(*names)).join(
-        now.select("load", F.col("segment").alias("load_id")), ["load", "load_id"], "left_semi")
+        F.broadcast(now.select("load", F.col("segment").alias("load_id"))), ["load", "load_id"], "left_semi")
     merged = f"merged-{uuid.uuid4().hex}"
     (keep(rows).withColumn("load_id", F.lit(merged)).hint("rebalance", F.col("log_date")).sortWithinPartitions("timestamp")
      .write.mode("append").partitionBy("log_date", "load_id").parquet(f"{path}/documents"))

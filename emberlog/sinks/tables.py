@@ -38,7 +38,7 @@ def _write(rows: DataFrame, path: str, load_id: str | None, *sort: str) -> str:
     known = _manifest(rows.sparkSession, path)
     if known is not None:  # a load whose day was rewritten since is in there already
         done = known.filter((F.col("load_id") == load) & F.col("absorbed")).select("log_date")
-        rows = rows.join(done, "log_date", "left_anti")
+        rows = rows.join(F.broadcast(done), "log_date", "left_anti")
     spread = rows.withColumn("load_id", F.lit(load)).hint("rebalance", F.col("log_date"))
     (spread.sortWithinPartitions("log_date", *sort)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -61,7 +61,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return rows.filter(~base)
     states = known.groupBy("log_date", "load_id").agg(F.max("absorbed").alias("_absorbed"))
     counts = F.coalesce(~F.col("_absorbed"), ~base)
-    return rows.join(states, list(PARTITIONS), "left").filter(counts).select(*rows.columns)
+    return rows.join(F.broadcast(states), list(PARTITIONS), "left").filter(counts).select(*rows.columns)
 
 
 def write_logs(rows: DataFrame, path: str, load_id: str | None = None) -> str:

@@ -186,3 +186,13 @@ def test_postings_of_a_day_do_not_meet_in_one_merge_task(spark, logs, tmp_path,
     monkeypatch.setattr(index, "_write_segment", recorded)
     index.merge_segments(spark, path, fanout=2)
     assert merged == [[]]
+
+
+def test_logs_of_a_day_do_not_meet_in_one_task(spark, logs, tmp_path):
+    path = f"{tmp_path}/logs"
+    tables.write_logs(some_logs(logs, 0), path, "one")
+    tables.write_logs(some_logs(logs, 10), path, "two")
+    tables.compact_day(spark, path, "2024-01-01", LOGS_SCHEMA)
+    stored = tables.read_load_logs(spark, path).select("id", "content", "log_date", "load_id")
+    assert not dealt_by(spark, stored)
+    assert ids(stored) == [0, 1, 2, 10, 11, 12]

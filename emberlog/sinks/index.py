@@ -98,10 +98,13 @@ def indexed_loads(spark: SparkSession, path: str) -> DataFrame | None:
     return _states(spark, path).filter("intact").select(F.col("load").alias("load_id"))
 
 
-def _write_segment(rows: DataFrame, path: str, kind: str, segment: str, buckets: int, *sort: str) -> None:
+def _write_segment(rows: DataFrame, path: str, kind: str, segment: str, buckets: int, *sort: str,
+                   same: dict | None = None) -> None:
+    """What is equal in all rows comes behind the sort, so that it is neither shuffled nor sorted."""
     column = SEGMENTS[kind].split()[0]
-    (rows.withColumns({"bucket": term_bucket(F.col(column), buckets), "segment": F.lit(segment)})
+    (rows.withColumn("bucket", term_bucket(F.col(column), buckets))
      .hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", column, *sort)
+     .withColumns({**(same or {}), "segment": F.lit(segment)})
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket", "segment").parquet(f"{path}/{kind}"))
 
@@ -151,8 +154,8 @@ def index_logs(logs: DataFrame, path: str, load_id: str | None = None, with_ngra
      .sortWithinPartitions("log_date", "timestamp").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "load_id").parquet(f"{path}/documents"))
     stored = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").filter(F.col("load_id") == load)
-    postings = stored.select("log_date", "load", "id", F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
-    _write_segment(postings, path, "terms", load, count, "log_date")
+    postings = stored.select("log_date", "id", F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
+    _write_segment(postings, path, "terms", load, count, "log_date", same={"load": F.lit(load)})
     kinds = ["terms"]
     if with_ngrams:
         kinds += ["words", "grams"]

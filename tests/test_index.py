@@ -196,3 +196,12 @@ def test_logs_of_a_day_do_not_meet_in_one_task(spark, logs, tmp_path):
     stored = tables.read_load_logs(spark, path).select("id", "content", "log_date", "load_id")
     assert not dealt_by(spark, stored)
     assert ids(stored) == [0, 1, 2, 10, 11, 12]
+
+
+def test_what_all_rows_share_is_not_shuffled(spark, logs, tmp_path, monkeypatch):
+    frame, dealt = type(logs()), []
+    monkeypatch.setattr(frame, "hint", lambda self, *a, f=frame.hint: dealt.append(self.columns) or f(self, *a))
+    index.index_logs(some_logs(logs, 0), str(tmp_path), "one")
+    segments = [columns for columns in dealt if "bucket" in columns]
+    assert len(segments) == 3 and not any({"load", "segment"} & set(columns) for columns in segments)
+    assert {row.load for row in index.read_index(spark, str(tmp_path)).terms.collect()} == {"one"}

@@ -15,8 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_words import KEPT_WORDS, ByteWords, Kept, once
-from .common import arrow_map, keyed_text, rows_of
+from .byte_words import KEPT_WORDS, ByteWords, Kept
+from .common import arrow_map, keyed_text, once, rows_of
 
 BLOCK_IDS = 65_536
 CHUNKS = """part int, chunk int, n_ids int, continued boolean, open boolean, ordinals array<long>,

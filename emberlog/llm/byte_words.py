@@ -111,14 +111,3 @@ class Kept(dict):
         if len(self) > most:
             for key in list(islice(reversed(self), len(self) // 2)):
                 del self[key]
-
-
-_loaded: dict[tuple, object] = {}
-
-
-def once(kind, *args):
-    """One ``kind(*args)`` a worker process."""
-    key = (kind, *args)
-    if key not in _loaded:
-        _loaded[key] = kind(*args)
-    return _loaded[key]

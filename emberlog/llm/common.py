@@ -39,8 +39,10 @@ def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kinds)
+        work = make()
+        forget_unasked()
         rows: list[tuple] = []
-        for row in make()(batches):
+        for row in work(batches):
             rows.append(row)
             if len(rows) >= ROWS_OUT:
                 yield pack(rows, arrow)
@@ -53,6 +55,30 @@ def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, kinds)
 
 
+_loaded: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
+
+def once(kind, *args):
+    """One ``kind(*args)`` a worker process, for tasks in a row that ask for it."""
+    key = (kind, *args)
+    _asked.add(key)
+    if key not in _loaded:
+        _loaded[key] = kind(*args)
+    return _loaded[key]
+
+
+def forget_unasked() -> None:
+    """Drop what this worker holds by :func:`once` for tasks before and this task, set up by now, hasn't asked for:
+    workers are reused, and a stage's tables would stay beside those of all stages after it."""
+    unasked = _loaded.keys() - _asked
+    _asked.clear()
+    if unasked:
+        for key in unasked:
+            del _loaded[key]
+        release_memory()
+
+
 def release_memory() -> None:
     """Hand freed memory back to the machine; Spark reuses workers, and idle ones would keep it."""
     gc.collect()

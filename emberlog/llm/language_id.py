@@ -12,11 +12,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_words import once
-from .common import arrow_map, rows_of, ship_package, written
+from .common import arrow_map, forget_unasked, once, release_memory, rows_of, ship_package, written
 
 #: Language families. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -200,6 +200,14 @@ def identify_languages(docs: DataFrame, **options) -> DataFrame:
     return identify(docs, *fit(docs, **options)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def decisions(texts: pa.Array, grams, fits) -> Iterator[bool]:
+    """Whether each text has features and they fit; one text's features at a time, as a batch has thousands."""
+    for at in range(0, len(texts), 64):
+        for text in texts.slice(at, 64).to_pylist():
+            found = grams(text) if text and grams else None
+            yield bool(found) and bool(fits(found))
+
+
 def keep_identified(docs: DataFrame, min_score: float = 0.0, wanted: Collection[str] | None = None) -> DataFrame:
     """The rows of ``docs`` whose language can be told, neither ``und`` nor below ``min_score``, and is one of
     ``wanted``, if that is given. Same columns."""
@@ -213,11 +221,13 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0, wanted: Collection[
 
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def fine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams, predict = make()
+        forget_unasked()
         for texts in batches:
-            found = [grams(t) if t and langs else None for t in texts]
-            yield pd.Series([bool(f) and fits(*predict(*f)) for f in found], dtype=bool)
+            yield pa.array(decisions(texts, grams if langs else None, lambda f: fits(*predict(*f))), pa.bool_())
+        texts = None
+        release_memory()
 
     return docs.filter(fine("text"))

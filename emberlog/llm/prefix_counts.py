@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_words import ByteWords, Kept, once
-from .common import arrow_map, keyed_text, rows_of
+from .byte_words import ByteWords, Kept
+from .common import arrow_map, keyed_text, once, rows_of
 
 COUNTS = "doc_id long, n_chars long, n_bytes long, n_tokens long, prefix_counts binary"
 #: Contractions that the word pattern knows, of those with more than one letter.

@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from emberlog.session import scratch_path, ship_package
 
 from .bit_planes import WordIds
-from .byte_words import once
-from .common import arrow_map, keyed_text, rows_of
+from .common import arrow_map, keyed_text, once, rows_of
 
 PIECES = "part int, doc_id long, piece int, start long, length int, nth long, ids binary"
 #: Bits of a number among the items of one length; lengths and numbers make one sortable key of 63 bits.

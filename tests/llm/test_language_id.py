@@ -1,7 +1,10 @@
+import gc
 import random
 import zlib
 
-from emberlog.llm.language_id import Predictor, fit, identify_languages, keep_identified
+import pyarrow as pa
+from emberlog.llm.common import arrow_map, once
+from emberlog.llm.language_id import Predictor, decisions, fit, identify_languages, keep_identified
 from pyspark.sql import functions as F
 
 WORDS = {"en": "the of and to in that with this house water thing",
@@ -67,3 +70,42 @@ def test_unwanted_and_unsure_languages_go(spark):
     kept = {r.doc_id for r in keep_identified(table, min_score=0.6, wanted={"en", "de"}).collect()}
     assert kept == {k for k, r in found.items() if r.lang_pred in ("en", "de") and r.score >= 0.6}
     assert 0 < len(kept) < sum(r[2] in ("en", "de") for r in rows) + 10
+
+
+def test_a_stage_drops_what_stages_before_it_kept_in_the_workers(spark):
+    rows = spark.range(0, 64, 1, 8)
+
+    def held():
+        return sum(isinstance(x, Predictor) for x in gc.get_objects())
+
+    def keeps():
+        once(Predictor, (), ())
+        return lambda batches: [(held(),) for _ in batches]
+
+    def asks_nothing():
+        return lambda batches: [(held(),) for _ in batches]
+
+    kept = arrow_map(rows, keeps, "held int")
+    assert {r.held for r in kept.collect()} == {1}
+    assert {r.held for r in arrow_map(rows, asks_nothing, "held int").collect()} == {0}
+    kept.collect()
+    texts = spark.createDataFrame(corpus(), SCHEMA).repartition(8)
+    assert keep_identified(texts).count() == len(corpus())
+    assert {r.held for r in arrow_map(rows, asks_nothing, "held int").collect()} == {0}
+
+
+def test_features_of_a_batch_are_not_held_together():
+    class Features:
+        alive = most = 0
+
+        def __init__(self, text):
+            self.text = text
+            Features.alive += 1
+            Features.most = max(Features.most, Features.alive)
+
+        def __del__(self):
+            Features.alive -= 1
+
+    texts = pa.array([None, "", *(f"t{k}" for k in range(500))])
+    assert list(decisions(texts, Features, lambda f: f.text != "t7")) == [False, False] + [k != 7 for k in range(500)]
+    assert Features.most <= 2 and not any(decisions(texts, None, bool))

@@ -116,6 +116,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) per document of a written table; ``ids`` are little-endian 32-bit integers.
 
     A document inside one chunk comes straight from it; only those cut by a block's end are put together again.
+    The ids of all others are never shuffled: where a part begins, one number a part, goes to every task.
     """
     chunks = spark.read.parquet(path)
     block = chunks.agg(F.max("n_ids")).first()[0] or 0
@@ -143,5 +144,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
            .withColumn("ids", F.expr("aggregate(cuts, X'', (all, c) -> concat(all, c.ids))")))
     columns = ["part", "doc_id", "first_id", "n", "ids"]
     whole = pieces.filter("whole").select(*columns).union(cut.select(*columns))
-    return whole.join(before, "part").select(
+    return whole.join(F.broadcast(before), "part").select(
         "doc_id", (F.col("before") + F.col("first_id")).alias("start"), F.col("n").cast("long").alias("n_tokens"), "ids")

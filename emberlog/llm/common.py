@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from emberlog.session import scratch_path, ship_package
 
 #: Rows of an Arrow batch that goes back to Spark: batches stay small whatever the input's rows weigh.
 ROWS_OUT = 512
+#: Spark's setting that an execution removes its shuffle files as it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,13 +27,29 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
+    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors.
+    Once it is written, nothing needs the shuffles that made it, so their files go."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside frees its shuffle files as it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
     """``mapInArrow`` over row tuples: ``make()`` is called once a task and gives a function from the
     batches' columns (as lists) to rows (tuples in the order of ``schema``)."""

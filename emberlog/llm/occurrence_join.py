@@ -312,7 +312,8 @@ def linked_classes(docs: DataFrame, width: int, percent: int, total: int) -> Dat
     partitions = shuffle_partitions(spark)
     buckets = min(MOST_BUCKETS, max(4 * partitions, total // BUCKET_SHINGLES))
     requests = count_requests(docs, width, buckets)
-    answers = requests.groupBy("bucket").applyInPandas(lambda rows: answer_bucket(rows, buckets), MESSAGES)
+    answers = written(requests.groupBy("bucket").applyInPandas(lambda rows: answer_bucket(rows, buckets), MESSAGES),
+                      "answers")  # the requests are the largest shuffle: they go before the answers are shuffled
     found = answers.groupBy("block").applyInPandas(surviving_classes(percent, buckets), CLASSES)
     classes = written(found.groupBy("class").agg(
         *[F.first(c).alias(c) for c in ("n", "shingles", "prefix")]), "classes")

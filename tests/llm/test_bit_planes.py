@@ -37,3 +37,16 @@ def test_planes_reverse():
 def test_empty_table(spark, tmp_path):
     bit_planes.write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"))
     assert bit_planes.read_tokens(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_ids_are_not_shuffled_to_the_parts(spark, tmp_path):
+    """Where a part begins is broadcast whatever the planner thinks of sizes: only cut documents' ids are shuffled."""
+    docs = spark.createDataFrame([(i, t) for i, t in TEXTS], "doc_id long, text string")
+    bit_planes.write_tokens(docs, str(tmp_path / "t"), block_ids=7)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bit_planes.read_tokens(spark, str(tmp_path / "t"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

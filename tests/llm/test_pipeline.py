@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus, each against brute force on its own input."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from test_occurrence_join import brute as brute_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from emberlog.llm.common import DROP_SHUFFLES, written
 
 WORDS = {"en": "the of and to in that with this house water thing clean river stone", "de": "der die und das nicht ein mit haus"}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, similarity double, copies int"
@@ -85,3 +87,20 @@ def test_language_stage_follows_the_prediction(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "WANTED", {"de"})
     kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, table, "").collect()}
     assert set(kept.values()) == {"de"} and len(kept) == sum(r[2] == "de" for r in rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A table's own shuffles go as it is written, those of others stay, and the session's setting is as before."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+        if f.getName().endswith(".data")}
+    other = spark.range(1000).groupBy((F.col("id") % 9).alias("k")).count()
+    other.collect()
+    before = files()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    deadline = time.time() + 20  # files go in the background
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert sum(r["count"] for r in table.collect()) == 1000 == sum(r["count"] for r in other.collect())
+    assert spark.conf.get(DROP_SHUFFLES, None) is None
